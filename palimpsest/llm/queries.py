@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, langid, mixing, quality, records, sharding, warc
+from . import bpe, langid, mixing, quality, records, sharding, substrings, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(_table(spark, sf_dir, "documents"))[0]
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.dedup_substrings(docs, digest=True)
+
+
 def op5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -47,7 +52,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_langid": op2_langid, "op3_sharding": op3_sharding, "op5_records": op5_records, "op6_warc": op6_warc, "op7_mixing": op7_mixing, "op9_quality": op9_quality}
+    return {"op1_bpe": op1_bpe, "op2_langid": op2_langid, "op3_sharding": op3_sharding, "op4_substrings": op4_substrings, "op5_records": op5_records, "op6_warc": op6_warc, "op7_mixing": op7_mixing, "op9_quality": op9_quality}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -58,7 +58,8 @@ def ship(spark: SparkSession) -> None:
                     full = os.path.join(top, name)
                     z.write(full, os.path.relpath(full, os.path.dirname(_PACKAGE)))
     sc.addPyFile(path)
-    # Batches for Python are counted in rows; texts are long, so fewer rows than Spark's default go into one.
+    # Texts are long, so batches for Python are smaller than by Spark's defaults.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(1000, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))))
     sc._palimpsest_shipped = True
 

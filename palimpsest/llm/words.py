@@ -89,15 +89,29 @@ def hash_slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
     return h
 
 
+def join_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of "a, then b"; not symmetric."""
+    x = a * _M1
+    x ^= x >> U64(32)
+    x += b
+    x *= _M2
+    x ^= x >> U64(29)
+    return x
+
+
 def windows(keys: np.ndarray, first: np.ndarray, width: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all ``width`` consecutive keys, and which of those windows lie in one value."""
     n = len(keys) - width + 1
     if n <= 0:
         return np.zeros(0, U64), np.zeros(0, bool)
-    h = np.full(n, U64(seed) * _GOLDEN + U64(width), U64)
-    for i in range(width):
-        h *= _M1
-        h += keys[i : i + n]
-        h ^= h >> U64(32)
+    out, done, level, size = np.full(n, U64(seed) * _GOLDEN + U64(width), U64), 0, keys, 1
+    while True:  # the width in binary: hashes of 1, 2, 4, ... keys
+        if width & size:
+            out = join_hashes(out, level[done : done + n])
+            done += size
+        if size * 2 > width:
+            break
+        level = join_hashes(level[:-size], level[size:])
+        size *= 2
     value = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    return mix64(h), value[:n] == value[width - 1 :]
+    return mix64(out), value[:n] == value[width - 1 :]
