@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, langid, mixing, quality, records, sharding, substrings, warc
+from . import bpe, langid, mixing, quality, records, sharding, substrings, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,17 +46,21 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.links_and_components(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return out.select("doc_id", *quality.BASE, "base_failed", "kept")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_langid": op2_langid, "op3_sharding": op3_sharding, "op4_substrings": op4_substrings, "op5_records": op5_records, "op6_warc": op6_warc, "op7_mixing": op7_mixing, "op9_quality": op9_quality}
+    return {"op1_bpe": op1_bpe, "op2_langid": op2_langid, "op3_sharding": op3_sharding, "op4_substrings": op4_substrings, "op5_records": op5_records, "op6_warc": op6_warc, "op7_mixing": op7_mixing, "op8_vectors": op8_vectors, "op9_quality": op9_quality}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": OP6_SQL, "op7_mixing": OP7_SQL}
+    return {"op6_warc": OP6_SQL, "op7_mixing": OP7_SQL, "op8_vectors": OP8_SQL}
 
 
 OP6_SQL = """
@@ -97,3 +101,15 @@ SELECT f.doc_id, f.source, f.size, source_size, target, (copies * f.size)::BIGIN
   SELECT f.*, CASE WHEN f.size > 0 THEN (sure + CASE WHEN rank IS NOT NULL AND (upto <= left_ OR (last IS NOT NULL AND last.rank = rank AND last.size = f.size AND last.id IS NOT DISTINCT FROM f.doc_id)) THEN 1 ELSE 0 END) ELSE 0 END::INTEGER AS copies
   FROM f LEFT JOIN l ON f.source IS NOT DISTINCT FROM l.source) f
 """
+
+OP8_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c ON vec_id = c.a LEFT JOIN n ON vec_id = n.a
+"""
