@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, langid, mixing, quality, records, sharding, substrings, vectors, warc
+from . import bpe, langid, mixing, neardup, quality, records, sharding, substrings, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,12 +55,17 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality.BASE, "base_failed", "kept")
 
 
+def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return neardup.near_duplicates(docs)[1].select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_langid": op2_langid, "op3_sharding": op3_sharding, "op4_substrings": op4_substrings, "op5_records": op5_records, "op6_warc": op6_warc, "op7_mixing": op7_mixing, "op8_vectors": op8_vectors, "op9_quality": op9_quality}
+    return {"op1_bpe": op1_bpe, "op2_langid": op2_langid, "op3_sharding": op3_sharding, "op4_substrings": op4_substrings, "op5_records": op5_records, "op6_warc": op6_warc, "op7_mixing": op7_mixing, "op8_vectors": op8_vectors, "op9_quality": op9_quality, "op10_neardup": op10_neardup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": OP6_SQL, "op7_mixing": OP7_SQL, "op8_vectors": OP8_SQL}
+    return {"op6_warc": OP6_SQL, "op7_mixing": OP7_SQL, "op8_vectors": OP8_SQL, "op10_neardup": OP10_SQL}
 
 
 OP6_SQL = """
@@ -113,3 +118,17 @@ n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
 FROM embeddings JOIN c ON vec_id = c.a LEFT JOIN n ON vec_id = n.a
 """
+
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(list_aggregate(ws[i : i + 4], 'string_agg', ' ')) AS h
+  FROM (SELECT doc_id, ws, unnest(CASE WHEN len(ws) = 0 THEN [] ELSE range(1, greatest(len(ws) - 3, 2)) END) AS i FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT i.a, i.b FROM i JOIN n x ON i.a = x.doc_id JOIN n y ON i.b = y.doc_id WHERE 100 * i.n >= 85 * (x.n + y.n - i.n)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents JOIN c ON doc_id = c.a LEFT JOIN n USING (doc_id)
+"""
