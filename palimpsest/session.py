@@ -59,7 +59,7 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(_PACKAGE)))
     sc.addPyFile(path)
     # Texts are long, so batches for Python are smaller than by Spark's defaults.
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(1000, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))))
     sc._palimpsest_shipped = True
 
