@@ -248,7 +248,7 @@ class WarcWriter(DataSourceWriter):
         at, offsets, sink = 0, [], None
         for row in rows:
             if sink is None:
-                sink = fs.open_output_stream(f"{root}/{name}")
+                sink = fs.open_output_stream(f"{root}/{name}", compression=None)  # else .gz would be compressed again
             if not offsets or at - offsets[-1] >= INDEX_EVERY:
                 offsets.append(at)
             raw = record(row.asDict())
@@ -329,15 +329,15 @@ def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     )
 
 
-def archive_pages(pages: DataFrame, out: str | None = None, **options) -> DataFrame:
-    """Write an archive, read it back: (page_id, payload_bytes, payload_digest, record_type, refers_to, target_uri) of every record.
+def archive_pages(pages: DataFrame, out: str | None = None, compression: str = "gzip", **options) -> DataFrame:
+    """Write an archive (a gzip member each record, or plain with ``compression="none"``), read it back: (page_id, payload_bytes, payload_digest, record_type, refers_to, target_uri) of every record.
 
     Length and digest of a response are those of the payload that was read; a revisit has them in its header.
     """
     spark = pages.sparkSession
     register(spark)
     out = out or scratch(spark, "warc")
-    page_records(pages, **options).write.format("warc").mode("append").option("path", out).save()
+    page_records(pages, **options).write.format("warc").mode("append").option("path", out).option("compression", compression).save()
     a = read_warc(spark, out, ["record_type", "record_id", "refers_to", "target_uri", "payload_digest", "payload_length", "payload"])
     full = F.col("record_type") == "response"
     return a.select(
