@@ -13,7 +13,10 @@ from . import Catalog
 CATALOG = Catalog()
 q = CATALOG.add
 INS = f"WITH {INSTANCES_SQL} "
-n_rows = F.count(F.lit(1)).alias("n")
+
+
+def n_rows():
+    return F.count(F.lit(1)).alias("n")
 
 
 @q("a1_distinct", "SELECT DISTINCT event_type, user_id % 10 AS k FROM events")
@@ -29,7 +32,7 @@ def _(spark, d):
 
 @q("a3_count", "SELECT count(*) AS n FROM lineitem")
 def _(spark, d):
-    return table(spark, d, "lineitem").agg(n_rows)
+    return table(spark, d, "lineitem").agg(n_rows())
 
 
 @q("a4_lifetimes", "SELECT user_id AS entity, arg_min(event_type, event_id) AS first, arg_max(event_type, event_id) AS last, count(DISTINCT event_type) AS n FROM events GROUP BY user_id")
@@ -70,12 +73,12 @@ def _(spark, d):
 @q("a15_rename_frequency", "SELECT split_part(p_name, ' ', 1) AS old, p_brand AS new, count(*) AS n FROM part GROUP BY 1, 2 HAVING count(*) > 1")
 def _(spark, d):
     p = table(spark, d, "part").select(F.split("p_name", " ")[0].alias("old"), F.col("p_brand").alias("new"))
-    return p.groupBy("old", "new").agg(n_rows).filter("n > 1").orderBy(F.desc("n"), "old", "new")
+    return p.groupBy("old", "new").agg(n_rows()).filter("n > 1").orderBy(F.desc("n"), "old", "new")
 
 
 @q("a16_rename_bonus", "SELECT p_brand AS old, p_type AS new, count(*) AS n, sum(p_size)::BIGINT AS bonus FROM part GROUP BY 1, 2")
 def _(spark, d):
-    return table(spark, d, "part").groupBy(F.col("p_brand").alias("old"), F.col("p_type").alias("new")).agg(n_rows, F.sum("p_size").alias("bonus"))
+    return table(spark, d, "part").groupBy(F.col("p_brand").alias("old"), F.col("p_type").alias("new")).agg(n_rows(), F.sum("p_size").alias("bonus"))
 
 
 @q("a17_move_groups", "SELECT l_orderkey, count(DISTINCT l_suppkey) AS groups FROM lineitem GROUP BY l_orderkey")
@@ -115,7 +118,7 @@ def _(spark, d):
 
 @q("o1_pairs_by_metric", INS + "SELECT v0, count(*) AS n FROM ins GROUP BY v0 ORDER BY n DESC, v0")
 def _(spark, d):
-    return lenses.instances(spark, d).groupBy("v0").agg(n_rows).orderBy(F.desc("n"), "v0")
+    return lenses.instances(spark, d).groupBy("v0").agg(n_rows()).orderBy(F.desc("n"), "v0")
 
 
 @q("o5_sampled_instances")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..session import ship
 from .alignments import align, heaviest_increasing, lcs, stable_match
@@ -24,18 +24,26 @@ def quick_ratio(pairs: DataFrame, left: str, right: str, key: str = "pair_id") -
     return d.select(key, F.round(ratio, 6).alias("ratio"))
 
 
-@F.pandas_udf("double")
+# Types are objects here: type names would need a session when this is imported.
+_INT, _DOUBLE = T.IntegerType(), T.DoubleType()
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
+
+
+@F.pandas_udf(_DOUBLE)
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Gestalt ratio of two strings or arrays."""
     return pd.Series([None if x is None or y is None else round(difflib.SequenceMatcher(None, x if isinstance(x, str) else list(x), y if isinstance(y, str) else list(y)).ratio(), 6) for x, y in zip(a, b)])
 
 
-@F.pandas_udf("array<struct<op string, i int, j int>>")
+@F.pandas_udf(T.ArrayType(_struct(op=T.StringType(), i=_INT, j=_INT)))
 def alignment(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([[{"op": o, "i": i, "j": j} for o, i, j in align(list(x), list(y))] for x, y in zip(a, b)])
 
 
-@F.pandas_udf("struct<tokens1 int, tokens2 int, matches int, changes int, ratio double>")
+@F.pandas_udf(_struct(tokens1=_INT, tokens2=_INT, matches=_INT, changes=_INT, ratio=_DOUBLE))
 def token_diff(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """Numbers of tokens, matched ones and changes, and their ratio."""
     rows = []
@@ -46,12 +54,12 @@ def token_diff(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["tokens1", "tokens2", "matches", "changes", "ratio"])
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(_INT))
 def increasing_places(values: pd.Series) -> pd.Series:
     return pd.Series([heaviest_increasing(list(v)) for v in values])
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(_INT)
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([len(lcs(x, y)) for x, y in zip(a, b)], dtype="int32")
 

@@ -80,9 +80,13 @@ class Bindings:
         return self._with(self.rows.join(other, shared, how))
 
     def match(self, *patterns: str) -> "Bindings":
-        out = self
-        for p in patterns:
-            out = out._join(out._solve(p))
+        """Conjunction.  A pattern waits for one that shares a variable with what is bound."""
+        out, left = self, list(patterns)
+        while left:
+            bound = set() if out.rows is None else set(out.rows.columns)
+            ready = next((p for p in left if not bound or bound & {t[1:] for t in p.split()[::2] if t[0] == "?"}), left[0])
+            left.remove(ready)
+            out = out._join(out._solve(ready))
         return out
 
     def group(self, *patterns: str) -> DataFrame:
