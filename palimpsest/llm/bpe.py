@@ -1,4 +1,4 @@
-r"""Byte-level BPE without regular expressions.
+r"""Byte-level BPE; texts are split into pieces without regular expressions.
 
 Pre-tokenisation works on whole batches: every code point gets a class, every class is a function
 from states to states, and as the composition of functions is associative, the state in front of
@@ -11,14 +11,14 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import unicodedata
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, types as T
 
-from .batches import chunks, column
+from .batches import chunks, column, lean
 from .shared import free_name, ship
 from .words import hash_slices, utf8
 
@@ -38,8 +38,11 @@ BLOCK = 128
 @lru_cache(1)
 def class_table() -> np.ndarray:
     """Class of each code point, from its Unicode category."""
-    kinds = {"L": LETTER, "N": NUMBER}
-    table = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
+    table = np.full(0x110000, OTHER, np.uint8)
+    every = "".join(map(chr, [*range(0xD800), *[0] * 0x800, *range(0xE000, 0x110000)]))  # no surrogates
+    for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER)):
+        for run in regex.finditer(pattern, every):
+            table[run.start() : run.end()] = kind
     table[WHITE_SPACE] = BLANK
     table[0x20] = SPACE
     return table
@@ -70,41 +73,39 @@ def transition_monoid() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 functions.append(h)
     at = {f: i for i, f in enumerate(functions)}
     product = np.array([[at[tuple(g[f[s]] for s in range(9))] for g in functions] for f in functions], np.uint16)
-    return np.array(functions, np.uint8), product, np.array([at[f] for f in base], np.uint16)
+    assert len(functions) ** 2 <= 256  # products are looked up by one byte
+    return np.array(functions, np.uint8), product, np.array([at[f] for f in base], np.uint8)
 
 
-def _totals(f: np.ndarray, flat: np.ndarray, k: int) -> np.ndarray:
-    """Composition of each row's functions, first to last."""
-    acc = f[:, 0].astype(np.int32)
-    columns = np.ascontiguousarray(f.T)
-    for j in range(1, f.shape[1]):
-        acc *= k
-        acc += columns[j]
-        acc = flat[acc]
-    return acc
+def _lookup(table: bytes, index: np.ndarray) -> np.ndarray:
+    """table[index] for unsigned bytes."""
+    return np.frombuffer(index.tobytes().translate(table), np.uint8)
+
+
+def _table(values: np.ndarray) -> bytes:
+    return values.astype(np.uint8).ravel().tobytes().ljust(256, b"\0")
 
 
 def states_before(f: np.ndarray) -> np.ndarray:
-    """State in front of each function's code point, by a scan: totals of blocks, their prefixes, then within blocks."""
-    functions, product, _ = transition_monoid()
-    n, k = len(f), len(functions)
-    identity_safe = np.uint16(transition_monoid()[2][OTHER])  # only behind the end
+    """State in front of each function's code point, by a scan: totals of blocks, their prefixes (the same scan), then within blocks."""
+    functions, product, of_class = transition_monoid()
+    k = np.uint8(len(functions))
+    then, step = _table(product), _table(functions.T)  # by first and second function; by state and function
+    n = len(f)
     blocks = -(-n // BLOCK)
-    padded = np.full(blocks * BLOCK, identity_safe, np.uint16)
-    padded[:n] = f
-    grid = padded.reshape(blocks, BLOCK)
-    if blocks == 1:
-        entry = np.full(1, START, np.uint8)
-    else:
-        totals = _totals(grid, product.ravel().astype(np.int32), k).astype(np.uint16)
-        entry = states_before(totals)  # the same scan over blocks
-    step = functions.T.ravel()  # by state, then function
-    columns = np.ascontiguousarray(grid.T).astype(np.int32)
+    grid = np.full(blocks * BLOCK, of_class[OTHER], np.uint8)  # what is behind the end doesn't matter
+    grid[:n] = f
+    columns = np.ascontiguousarray(grid.reshape(blocks, BLOCK).T)
+    state = np.full(1, START, np.uint8)
+    if blocks > 1:
+        total = columns[0]
+        for j in range(1, BLOCK):
+            total = _lookup(then, total * k + columns[j])
+        state = states_before(total)
     out = np.empty((BLOCK, blocks), np.uint8)
-    state = entry
     for j in range(BLOCK):
         out[j] = state
-        state = step[state.astype(np.int32) * k + columns[j]]
+        state = _lookup(step, state * k + columns[j])
     return np.ascontiguousarray(out.T).ravel()[:n]
 
 
@@ -148,9 +149,9 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
                 hit &= ahead[1] == ord(c[1])
             kinds[marks[hit]] = APOS1 if len(c) == 1 else APOS2
     of_class = transition_monoid()[2]
-    before = states_before(of_class[kinds + 7 * first[:n].astype(np.uint8)])
+    before = states_before(_lookup(_table(of_class), kinds + np.uint8(7) * first[:n].view(np.uint8)))
     before[first[:n]] = START
-    starts = _STARTS.ravel()[before * np.uint8(7) + kinds]
+    starts = _lookup(_table(_STARTS), before * np.uint8(7) + kinds).astype(bool)
     # Of white space with something behind it, the last code point stands alone (or leads the next piece).
     white = (kinds == SPACE) | (kinds == BLANK)
     follows = np.zeros(n, bool)
@@ -181,37 +182,33 @@ class Ragged:
 
 
 class PieceCache:
-    """Ids of pieces seen more than once in a batch; at most ``most`` pieces, then it starts anew."""
+    """Ids of the pieces seen so far, by hash, in sorted segments of growing size; beyond ``most`` pieces it starts anew."""
 
-    def __init__(self, most: int = 1 << 19):
+    def __init__(self, most: int = 1 << 20):
         self.most = most
-        self.clear()
-
-    def clear(self) -> None:
-        self.keys, self.ids = np.zeros(0, np.uint64), Ragged(np.zeros(0, np.uint32), np.zeros(1, np.int64))
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Row of each key, or -1."""
-        if not len(self.keys):
-            return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, at, -1)
+        self.segments: list[tuple[np.ndarray, Ragged]] = []
 
     def add(self, keys: np.ndarray, ids: Ragged) -> None:
-        if len(self.keys) + len(keys) > self.most:
-            self.clear()
+        if sum(len(k) for k, _ in self.segments) + len(keys) > self.most:
+            self.segments = []
         if len(keys) > self.most or not len(keys):
             return
-        both = Ragged(np.concatenate([self.ids.values, ids.values]), np.concatenate([self.ids.offsets, self.ids.offsets[-1] + ids.offsets[1:]]))
-        every = np.concatenate([self.keys, keys])
-        order = np.argsort(every, kind="stable")
-        self.keys, self.ids = every[order], both.take(order)
+        self.segments.append((keys, ids))
+        while len(self.segments) > 1 and len(self.segments[-2][0]) < 2 * len(self.segments[-1][0]):
+            (a, x), (b, y) = self.segments[-2:]
+            every = np.concatenate([a, b])
+            order = np.argsort(every, kind="stable")
+            both = Ragged(np.concatenate([x.values, y.values]), np.concatenate([x.offsets, x.offsets[-1] + y.offsets[1:]]))
+            self.segments[-2:] = [(every[order], both.take(order))]
 
 
 class ByPiece:
-    """Encodes batches of texts piece by piece; ``encode_pieces(data, starts, ends) -> Ragged`` does the distinct ones."""
+    """Encodes batches of texts piece by piece; ``encode_pieces(data, starts, ends) -> Ragged`` does the distinct new ones.
+
+    Pieces are told apart by 64-bit hashes, among those of a batch and a cache.
+    """
 
-    def __init__(self, encode_pieces, most: int = 1 << 19):
+    def __init__(self, encode_pieces, most: int = 1 << 20):
         self.encode_pieces, self.cache = encode_pieces, PieceCache(most)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[Ragged, np.ndarray, np.ndarray]:
@@ -221,29 +218,24 @@ class ByPiece:
             return Ragged(np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)), np.zeros(1, np.int64), np.zeros(0, np.int64)
         ends = np.append(starts[1:], len(data))
         keys = hash_slices(data, starts, ends)
-        unique, sample, inverse, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-        self._same(data, starts, ends, sample[inverse])
-        row = self.cache.find(unique)
-        new = np.flatnonzero(row < 0)
-        fresh = self.encode_pieces(data, starts[sample[new]], ends[sample[new]])
-        known = self.cache.ids
-        both = Ragged(np.concatenate([known.values, fresh.values]), np.concatenate([known.offsets, known.offsets[-1] + fresh.offsets[1:]]))
-        row[new] = len(known.offsets) - 1 + np.arange(len(new))
-        out = both.take(row[inverse])
-        per_piece = np.diff(out.offsets)
-        again = np.flatnonzero(counts[new] > 1)
-        self.cache.add(unique[new[again]], fresh.take(again))
-        return Ragged(out.values, out.offsets[firsts]), np.append(starts, len(data)), per_piece
-
-    @staticmethod
-    def _same(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, like: np.ndarray) -> None:
-        """Pieces with one hash must be equal: length and first and last 8 bytes are compared."""
-        lanes = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]).data, strides=(1,))
-        length = ends - starts
-        head = lanes[starts] << (np.uint64(64) - np.minimum(length, 8).astype(np.uint64) * np.uint64(8))
-        tail = lanes[np.maximum(ends - 8, starts)] << (np.uint64(64) - np.minimum(length, 8).astype(np.uint64) * np.uint64(8))
-        if (length != length[like]).any() or (head != head[like]).any() or (tail != tail[like]).any():
-            raise RuntimeError("two pieces of a batch have one hash")
+        unique, sample, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        counts, got, todo = np.zeros(len(unique), np.int64), [], np.arange(len(unique))
+        for known, ids in self.cache.segments:
+            at = np.minimum(np.searchsorted(known, unique[todo]), len(known) - 1)
+            hit = known[at] == unique[todo]
+            got.append((todo[hit], ids.take(at[hit])))
+            todo = todo[~hit]
+        fresh = self.encode_pieces(data, starts[sample[todo]], ends[sample[todo]])
+        got.append((todo, fresh))
+        self.cache.add(unique[todo], fresh)
+        for rows, ids in got:
+            counts[rows] = np.diff(ids.offsets)
+        at = np.concatenate([[0], np.cumsum(counts)])
+        values = np.empty(at[-1], np.uint32)
+        for rows, ids in got:
+            values[spread(at[rows], counts[rows])] = ids.values
+        out = Ragged(values, at).take(inverse)
+        return Ragged(out.values, out.offsets[firsts]), np.append(starts, len(data)), np.diff(out.offsets)
 
 
 class Bpe:
@@ -400,6 +392,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     ids_col, ends_col = free_name(df, "ids"), free_name(df, "ends")
     schema = T.StructType([*df.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False)), T.StructField(ends_col, T.ArrayType(T.IntegerType(), False))])
 
+    @lean
     def run(batches):
         b = tokenizer(path)
         for batch in batches:
@@ -420,6 +413,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     name = free_name(df, "decoded")
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.BinaryType())])
 
+    @lean
     def run(batches):
         b = tokenizer(path)
         for batch in batches:
@@ -449,6 +443,7 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         at = offsets.tolist()
         return [hashlib.sha256(view[s:e]).hexdigest() for s, e in zip(at[:-1], at[1:])]
 
+    @lean
     def run(batches):
         b = tokenizer(path)
         for batch in batches:

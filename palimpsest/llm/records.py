@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .batches import chunks, column, filesystem
+from .batches import chunks, column, filesystem, lean
 from .bpe import ByPiece, Ragged, spread
 from .shared import scratch, ship, stored
 from .words import utf8
@@ -61,15 +61,18 @@ def crc32c(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     n_blocks = -(-size // BLOCK)
     row = np.repeat(np.arange(len(size)), n_blocks)
     left = n_blocks[row] - spread(np.zeros(len(size), np.int64), n_blocks)  # blocks from the end, 1 for the last
-    at = (ends[row] - left * BLOCK)[:, None] + np.arange(BLOCK)
+    padded = np.concatenate([np.zeros(BLOCK, np.uint8), data])
+    blocks = np.lib.stride_tricks.sliding_window_view(padded, BLOCK)
+    at = ends[row] - left * BLOCK + BLOCK
+    before = np.maximum(starts[row] + BLOCK - at, 0)  # bytes of a first block that lie in front of the slice
     part = np.empty(len(row), np.uint32)
     offset = np.arange(BLOCK, dtype=np.int32) * 256
     flat = table.ravel()
-    for i in range(0, len(row), 4096):
-        where = at[i : i + 4096]
-        got = data[np.maximum(where, 0)]
-        got[where < starts[row[i : i + 4096]][:, None]] = 0
-        part[i : i + 4096] = np.bitwise_xor.reduce(flat[got + offset], axis=1)
+    for i in range(0, len(row), 1024):
+        got = blocks[at[i : i + 1024]]
+        short = np.flatnonzero(before[i : i + 1024])
+        got[short] *= np.arange(BLOCK) >= before[i : i + 1024][short][:, None]
+        part[i : i + 1024] = np.bitwise_xor.reduce(flat[got + offset], axis=1)
     crc = np.zeros(len(size), np.uint32)
     first = np.cumsum(n_blocks) - n_blocks
     by_block = advance[BLOCK.bit_length() - 1]
@@ -102,8 +105,7 @@ def frame(doc_ids: np.ndarray, ids: Ragged, width: int) -> tuple[bytes, np.ndarr
 
     put(at, payload.astype("<u8"), 8)
     put(at + 12, doc_ids.astype("<i8"), 8)
-    values = ids.values.astype(f"<u{width}").view(np.uint8)
-    out[spread(at + 20, counts * width)] = values
+    out.view(f"<u{width}")[spread((at + 20) // width, counts)] = ids.values  # records are whole numbers of ids long
     put(at + 8, masked(crc32c(out, at, at + 8)).astype("<u4"), 4)
     put(at + 12 + payload, masked(crc32c(out, at + 12, at + 12 + payload)).astype("<u4"), 4)
     return out.tobytes(), size
@@ -118,27 +120,53 @@ def parse(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray
     if (masked(crc32c(data, offsets + 12, offsets + 12 + payload)) != lanes(offsets + 12 + payload, "<u4", 4)).any():
         raise ValueError("a record doesn't match its checksum")
     counts = (payload - 8) // width
-    values = data[spread(offsets + 20, counts * width)].view(f"<u{width}").astype(np.uint32)
+    values = data.view(f"<u{width}")[spread((offsets + 20) // width, counts)].astype(np.uint32)
     return lanes(offsets + 12, "<i8", 8), Ragged(values, np.concatenate([[0], np.cumsum(counts)]))
 
 
 @lru_cache(2)
 def _library(path: str) -> ByPiece:
-    """The tokenizers library, given each distinct piece of a batch once (its pre-tokenizer splits no piece further)."""
+    """The tokenizers library, given each distinct piece of a batch once (its pre-tokenizer splits no piece further).
+
+    Pieces of a blank and a run of what isn't white space can stand side by side in one text: the
+    library begins a new piece at each blank.  Where its tokens end says which piece they are of.
+    """
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True  # their strings in a text are ordinary text
+    vocabulary = t.get_vocab()
+    n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+    n_bytes[list(vocabulary.values())] = [len(x) for x in vocabulary]  # one character stands for a byte
+
+    def one_by_one(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [np.array(x.ids, np.uint32) for x in t.encode_batch_fast(words, add_special_tokens=False)]
+        return np.concatenate(got) if got else np.zeros(0, np.uint32), np.array([len(x) for x in got], np.int64)
+
+    def side_by_side(words: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        texts = ["".join(words[i : i + 1000]) for i in range(0, len(words), 1000)]
+        ids = np.concatenate([np.array(x.ids, np.uint32) for x in t.encode_batch_fast(texts, add_special_tokens=False)])
+        ends = np.cumsum(n_bytes[ids])
+        last = np.searchsorted(ends, np.cumsum(sizes))
+        if len(ends) != last[-1] + 1 or (ends[last] != np.cumsum(sizes)).any():
+            raise RuntimeError("a token crosses the end of a piece")
+        return ids, np.diff(np.concatenate([[0], last + 1]))
 
     def encode(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Ragged:
         raw = data.tobytes()
         words = [raw[s:e].decode("utf-8") for s, e in zip(starts.tolist(), ends.tolist())]
-        ids, counts = [], np.zeros(len(words), np.int64)
-        for i in range(0, len(words), 5000):
-            got = t.encode(words[i : i + 5000], is_pretokenized=True, add_special_tokens=False)
-            ids.append(np.array(got.ids, np.uint32))
-            np.add.at(counts, i + np.array(got.word_ids, np.int64), 1)
-        return Ragged(np.concatenate(ids) if ids else np.zeros(0, np.uint32), np.concatenate([[0], np.cumsum(counts)]))
+        plain = np.array([len(w) > 1 and w[0] == " " and not w[1].isspace() for w in words], bool)
+        counts, parts = np.zeros(len(words), np.int64), []
+        for rows in (np.flatnonzero(plain), np.flatnonzero(~plain)):
+            if len(rows):
+                some = [words[r] for r in rows.tolist()]
+                ids, counts[rows] = side_by_side(some, (ends - starts)[rows]) if plain[rows[0]] else one_by_one(some)
+                parts.append((rows, ids))
+        offsets = np.concatenate([[0], np.cumsum(counts)])
+        values = np.empty(offsets[-1], np.uint32)
+        for rows, ids in parts:
+            values[spread(offsets[rows], counts[rows])] = ids
+        return Ragged(values, offsets)
 
     return ByPiece(encode)
 
@@ -157,6 +185,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out: str, end_id: in
     keys = ["doc_id", F.xxhash64("text")]
     d = d.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
+    @lean
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         by_piece = _library(tokenizer_path)
@@ -201,8 +230,9 @@ def read_token_files(manifest: DataFrame, most_bytes: int = 4 << 20) -> DataFram
     ship(manifest.sparkSession)
     before = F.sum("n_tokens").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))  # one row a file
     files = manifest.withColumn("before", F.coalesce(before, F.lit(0)))
-    files = files.repartition("path")
+    files = files.repartition(max(1, manifest.count()))  # a number that is asked for isn't coalesced
 
+    @lean
     def run(batches):
         for batch in batches:
             for f in batch.to_pylist():
