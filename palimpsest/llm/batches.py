@@ -2,15 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+import ctypes
+import sys
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 
 #: Bytes of text that a kernel handles at once (a longer text is handled alone).
-CHUNK = 4 << 20
+CHUNK = 2 << 20
+
+# Arrow's buffers come from malloc, so that lean() can give them back.
+pa.set_memory_pool(pa.system_memory_pool())
+
+
+def lean(run: Callable) -> Callable:
+    """A mapInArrow function that gives freed memory back to the system when its task ends: workers are kept between tasks."""
+
+    @wraps(run)
+    def task(batches):
+        yield from run(batches)
+        if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return task
+
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -28,11 +46,6 @@ def chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK) -> Iterator[pa.
         i = j
 
 
-@lru_cache(16)
-def _filesystem(scheme_and_host: str) -> pafs.FileSystem:
-    return pafs.FileSystem.from_uri(f"{scheme_and_host}/")[0]
-
-
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a URI (or of an absolute local path)."""
     if uri.startswith("file:"):
@@ -41,6 +54,3 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
         return pafs.LocalFileSystem(), uri
     return pafs.FileSystem.from_uri(uri)
 
-
-def binary(values: list[bytes] | np.ndarray) -> pa.Array:
-    return pa.array(values, pa.binary())

@@ -18,11 +18,11 @@ import pyarrow.dataset as ds
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .batches import chunks, column, filesystem
+from .batches import chunks, column, filesystem, lean
 from .shared import scratch, ship, stored
 
 #: Bytes of text in a block, and of all texts for one bucket of keys.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 BUCKET_BYTES = 16 << 20
 LEAST_BUCKETS = 64
 
@@ -32,6 +32,7 @@ def write_blocks(docs: DataFrame, text_col: str) -> DataFrame:
     ship(docs.sparkSession)
     schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("bytes", T.LongType()), T.StructField("rows", T.ArrayType(docs.schema))])
 
+    @lean
     def run(batches):
         part, block = TaskContext.get().partitionId(), 0
         held: list[pa.RecordBatch] = []

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .batches import column
+from .batches import column, lean
 from .shared import ship, stored
 
 #: Links that a task contracts at once.
@@ -29,6 +29,7 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[below], nodes[top[below]]
 
 
+@lean
 def _contract(batches):
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .batches import chunks, column
+from .batches import chunks, column, lean
 from .bpe import LETTER, class_table
 from .shared import free_name, ship
 from .words import utf8
@@ -213,6 +213,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     names = [free_name(docs, n) for n in ("lang_pred", "score", "rejected")]
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType())))])
 
+    @lean
     def run(batches):
         languages = np.array([*model.languages, UNKNOWN], object)
         for batch in batches:

@@ -74,8 +74,9 @@ def _scored(d: DataFrame, goal: DataFrame, most: int, bins: int) -> DataFrame:
     return d.drop("e", "pi", "w", "u", "weighed")
 
 
-#: Order of the sample within a source.
-_PLACE = F.struct("rank", "size", "doc_id")
+
+def _place() -> Column:
+    return F.struct("rank", "size", "doc_id")
 
 
 def _narrow(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight_col: str | None, seed: str) -> list:
@@ -98,24 +99,24 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     # Only in the bin with the cut are documents sorted; equal ones are in or out together.
     edge = _by_source(scored, cut).filter("bin = cut")
     edge = edge.withColumn("upto", F.sum("size").over(W.partitionBy("source").orderBy("rank", "size", "doc_id").rangeBetween(W.unboundedPreceding, W.currentRow)))
-    edge = edge.filter("upto <= room").groupBy("source").agg(F.max(_PLACE).alias("upto_place"), F.max("upto").alias("used"))
+    edge = edge.filter("upto <= room").groupBy("source").agg(F.max(_place()).alias("upto_place"), F.max("upto").alias("used"))
     plan = _by_source(_by_source(goal, cut), stored(edge, "mix-edge"))
     plan = stored(plan.withColumn("open", F.col("room") - F.coalesce("used", F.lit(0))).drop("room", "used"), "mix-plan")
     # The last place of the fixed-size sample goes to the document, not taken yet, whose length fits best.
     gap = F.abs(F.col("open") - F.col("size"))
     out = _scored(d, plan, most, bins).filter(~_inside(bins) & (gap < F.col("open")))
-    last = out.groupBy("source").agg(F.min(F.struct(gap.alias("gap"), _PLACE.alias("last")))["last"].alias("last"))
+    last = out.groupBy("source").agg(F.min(F.struct(gap.alias("gap"), _place().alias("last")))["last"].alias("last"))
     return d, stored(_by_source(plan, stored(last, "mix-last")), "mix-plan")
 
 
 def _inside(bins: int) -> Column:
     below = F.col("bin") < F.coalesce("cut", F.lit(bins))
-    return F.coalesce(below | ((F.col("bin") == F.col("cut")) & (_PLACE <= F.col("upto_place"))), F.lit(False))
+    return F.coalesce(below | ((F.col("bin") == F.col("cut")) & (_place() <= F.col("upto_place"))), F.lit(False))
 
 
 def _copies(d: DataFrame, plan: DataFrame, most: int, bins: int) -> DataFrame:
     d = _scored(d, plan, most, bins)
-    further = _inside(bins) | (F.col("rank").isNotNull() & F.coalesce(_PLACE == F.col("last"), F.lit(False)))
+    further = _inside(bins) | (F.col("rank").isNotNull() & F.coalesce(_place() == F.col("last"), F.lit(False)))
     copies = F.when(F.col("size") > 0, F.col("sure") + further.cast("int")).otherwise(0).cast("int")
     return d.withColumn("copies", copies)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.dataset as ds
 from pyspark.sql import DataFrame, functions as F
 
-from .batches import column, filesystem
+from .batches import column, filesystem, lean
 from .blocks import rows_of, write_blocks
 from .bpe import Ragged, spread
 from .components import components, forest
@@ -120,6 +120,7 @@ def candidate_links(classes: DataFrame) -> DataFrame:
     n = classes.count()
     buckets = max(64, -(-n // CLASSES_A_BUCKET))
 
+    @lean
     def spread_keys(batches):
         held, size = [], 0
 
@@ -151,6 +152,7 @@ def candidate_links(classes: DataFrame) -> DataFrame:
         nodes = np.frombuffer(b"".join(t["nodes"].to_pylist()), np.int64)
         return pa.Table.from_batches([_edges(*forest(*_stars(keys, nodes)[2:]))])
 
+    @lean
     def local(batches):
         for batch in batches:
             for u, v in zip(column(batch, "keys").to_pylist(), column(batch, "nodes").to_pylist()):
@@ -199,6 +201,7 @@ def linked(a: Ragged, b: Ragged | None, hundredths: int = SIMILARITY) -> tuple[n
     return np.nonzero(np.triu(ok, 1) if b is None else ok)
 
 
+@lean
 def _confirm(batches):
     """Rows (grp, i, j, side, node, shingles), sorted by cell: a forest of the confirmed links of each cell."""
     held, cell = [], None
@@ -266,6 +269,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ship(docs.sparkSession)
     blocks = write_blocks(docs, text_col)
 
+    @lean
     def sign(batches):
         for batch in batches:
             for part, block, rows in rows_of(batch):
@@ -289,6 +293,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / CELL_SHINGLES), F.ceil(F.count(F.lit(1)) / CELL_SETS)).cast("int").alias("n_cells"))
     side = _by_part(members.join(sizes, "root").select("part", "block", "at", "node", F.col("root").alias("grp"), "n_cells"), "dup-places")
 
+    @lean
     def gather(batches):
         for batch in batches:
             for part, block, rows in rows_of(batch):
@@ -330,6 +335,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     blocks, rows = near_duplicates(docs, id_col, text_col)
     path = _by_part(rows.filter(~F.col("leads")).select("part", "block", "at"), "dup-dropped")
 
+    @lean
     def keep(batches):
         for batch in batches:
             for part, block, rows in rows_of(batch):

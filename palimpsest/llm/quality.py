@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .batches import chunks, column
+from .batches import chunks, column, lean
 from .shared import ship, stored
 from .words import hash_slices, mix64, split, utf8, windows
 
@@ -114,6 +114,7 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = [*BASE, *MORE]
     schema = T.StructType([d.schema["doc_id"], *(T.StructField(x, T.LongType()) for x in names)])
 
+    @lean
     def run(batches):
         for batch in batches:
             for part in chunks(batch, "text", 2 << 20):

@@ -1,72 +1,5 @@
-"""Where intermediate tables go, and how the package reaches the executors."""
+"""What the operators share with the rest of the engine."""
 
-from __future__ import annotations
+from ..session import free_name, scratch, shared_root, ship, stored
 
-import atexit
-import os
-import shutil
-import tempfile
-import uuid
-import zipfile
-
-from pyspark.sql import DataFrame, SparkSession
-
-_PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as set in ``spark.checkpoint.dir``.
-
-    Only where that is unset, as in local tests, a temporary folder takes its place.
-    """
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_palimpsest_root", None)
-    if not root:
-        if not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="palimpsest-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        root = sc._palimpsest_root = f"file://{folder}"
-    return root.rstrip("/")
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_root(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, what)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for an application."""
-    sc = spark.sparkContext
-    if getattr(sc, "_palimpsest_shipped", False):
-        return
-    folder = tempfile.mkdtemp(prefix="palimpsest-code-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    path = os.path.join(folder, f"palimpsest_{uuid.uuid4().hex[:8]}.zip")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for top, _, names in os.walk(_PACKAGE):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(top, name)
-                    z.write(full, os.path.relpath(full, os.path.dirname(_PACKAGE)))
-    sc.addPyFile(path)
-    # Texts are long, so batches for Python are smaller than by Spark's defaults.
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(1000, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))))
-    sc._palimpsest_shipped = True
-
-
-def free_name(df: DataFrame, name: str) -> str:
-    """``name``, with underscores added until no column has it (names are compared without case)."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
+__all__ = ["free_name", "scratch", "shared_root", "ship", "stored"]

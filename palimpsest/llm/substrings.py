@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .batches import column
+from .batches import column, lean
 from .blocks import ASKED, answer, answered, ask, n_buckets, rows_of, write_blocks
 from .shared import free_name
 from .words import hash_slices, join_hashes, mix64, split, utf8, windows
@@ -185,6 +185,7 @@ def repeated_windows(docs: DataFrame, text_col: str = "text", width: int = WIDTH
     blocks = write_blocks(docs, text_col)
     buckets = n_buckets(blocks)
 
+    @lean
     def ask_names(batches):
         for part, number, _, b in _blocks_of(batches, text_col, width):
             yield ask(part, number, *b.named(), buckets)
@@ -195,6 +196,7 @@ def repeated_windows(docs: DataFrame, text_col: str = "text", width: int = WIDTH
         keys, _ = b.named()
         return b.doubtful(keys, answered(names, part, number, keys, buckets))
 
+    @lean
     def ask_windows(batches):
         for part, number, _, b in _blocks_of(batches, text_col, width):
             keys, counts = np.unique(b.hashed(doubtful(part, number, b)), return_counts=True)
@@ -227,6 +229,7 @@ def dedup_substrings(docs: DataFrame, text_col: str = "text", width: int = WIDTH
     kept_fields = [f for f in docs.schema.fields if not (digest and f.name == text_col)]
     schema = T.StructType([*kept_fields, *(T.StructField(n, T.LongType()) for n in added[:2]), *(T.StructField(n, T.StringType()) for n in added[2:])])
 
+    @lean
     def run(batches):
         for part, number, rows, b in _blocks_of(batches, text_col, width):
             removed = mark(part, number, b)

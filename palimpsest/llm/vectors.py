@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .batches import column, filesystem
+from .batches import column, filesystem, lean
 from .components import components, forest
 from .shared import scratch, ship, stored
 
@@ -130,6 +130,7 @@ def links_and_components(vectors: DataFrame, id_col: str = "vec_id", vector_col:
         k, box = min(ORDER_AXES, dims), min(BOX_AXES, dims)
         eps = float(np.sqrt(2 - 2 * threshold))
 
+        @lean
         def cells(batches):
             for batch in batches:
                 cell = np.floor((_unit(column(batch, "v")) @ axes[:, :k]) / eps).astype(np.int32)
@@ -141,6 +142,7 @@ def links_and_components(vectors: DataFrame, id_col: str = "vec_id", vector_col:
         sequence = stored(classes.select("node", "w", "v").mapInArrow(cells, spec), "vector-cells").repartitionByRange(*order, "node").sortWithinPartitions(*order, "node")
         folder = scratch(spark, "vector-blocks")
 
+        @lean
         def write(batches):
             fs, root = filesystem(folder)
             fs.create_dir(root, recursive=True)
@@ -177,6 +179,7 @@ def links_and_components(vectors: DataFrame, id_col: str = "vec_id", vector_col:
         pairs = stored(pairs, "vector-pairs")
         tasks = max(1, min(pairs.count(), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
+        @lean
         def compare(batches):
             for batch in batches:
                 for r in batch.to_pylist():
