@@ -273,3 +273,60 @@ def _(spark, d):
     s = lenses.store(spark, d)
     s.insert(lenses.facts(spark, d).filter("p = 'name'"))
     return s.facts().groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+
+
+@CATALOG.add("r_rules_to_fixpoint", f"WITH RECURSIVE {FACTS_SQL}, {CLOSURE_SQL} SELECT DISTINCT s, o FROM c")
+def _(spark, d):
+    """Two rules until nothing is new: what is in something that is located elsewhere is located there too."""
+    from ..plans.rules import Rule, fixpoint
+
+    s = lenses.store(spark, d)
+    fixpoint(s, [Rule("direct", ("?x locatedIn ?y",), lambda b: b.match("?x in ?y")), Rule("further", ("?x locatedIn ?z",), lambda b: b.match("?x locatedIn ?y", "?y locatedIn ?z"))])
+    return s.scan("locatedIn")
+
+
+@q("r_guarded_rule", "SELECT a.s, 'sells' AS p, b.s AS o FROM t a JOIN t b ON a.o = b.o AND b.p = 'inNation' AND b.s LIKE 'supplier/%' WHERE a.p = 'inNation' AND a.s LIKE 'customer/%' AND a.s NOT IN (SELECT s FROM t WHERE p = 'segment' AND o = 'BUILDING')")
+def _(spark, d):
+    """Suppliers in the nation of customers outside of one segment."""
+    from ..plans.rules import Rule
+
+    s = lenses.store(spark, d)
+    r = Rule("sells", ("?c sells ?x",), lambda b: b.match("?c a Customer", "?c inNation ?n", "?x inNation ?n", "?x a Supplier").unless("?c segment BUILDING"))
+    return s.new(r.facts(s))
+
+
+@q("s2_triple_files", "SELECT DISTINCT s, p, o FROM t")
+def _(spark, d):
+    """Facts written as lines in compressed files of at most 1,000, and read back."""
+    from ..session import scratch
+    from ..sources import triples
+
+    path = scratch(spark, "triples")
+    f = lenses.facts(spark, d).withColumn("literal", F.col("p").isin("name", "segment", "status")).withColumn("datatype", F.lit(None).cast("string"))
+    triples.write_triples(f, path)
+    return triples.read_triples(spark, path).select("s", "p", "o").distinct()
+
+
+@q("s8_versioned_facts", "SELECT 'v' || (o_orderkey % 3) AS version, count(*) AS n FROM orders GROUP BY 1")
+def _(spark, d):
+    from ..plans.store import guarded
+    from ..session import scratch
+
+    path = scratch(spark, "guarded")
+    f = lenses.facts(spark, d).filter("p = 'status'").withColumn("version", F.concat(F.lit("v"), F.split("s", "/")[1].cast("long") % 3))
+    guarded(f).write.partitionBy("version").parquet(path)
+    return spark.read.parquet(path).groupBy("version").agg(F.count(F.lit(1)).alias("n"))
+
+
+@q("x1_streamed_facts", "SELECT p, count(DISTINCT (s, o)) AS n FROM t GROUP BY p")
+def _(spark, d):
+    """The same facts arriving twice as a stream."""
+    from ..session import scratch
+    from ..streaming.ingest import fact_stream, ingest
+
+    src = scratch(spark, "arriving")
+    s = FactStore(spark, ontology=lenses.ONTOLOGY)
+    for part in range(2):
+        lenses.facts(spark, d).write.mode("append").parquet(src)
+        ingest(fact_stream(spark, src), s, scratch(spark, "stream")).awaitTermination()
+    return s.facts().groupBy("p").agg(F.count(F.lit(1)).alias("n"))

@@ -217,3 +217,28 @@ def _(spark, d):
     n = _page_trees(spark, d)
     ids = table(spark, d, "pages").select(F.col("page_id").cast("string").alias("tree1"), (F.col("page_id") + 1).cast("string").alias("tree2"), F.col("page_id").alias("pair_id"))
     return trees.compare_trees(n, n, ids)
+
+
+@q("s24_class_files", PAIRS_SQL + "SELECT class, coalesce(path1, '') AS path1, coalesce(path2, '') AS path2 FROM pairs")
+def _(spark, d):
+    """The file classes as CSV files in a folder each, read back."""
+    from ..session import scratch
+    from ..sources.reports import write_classes
+
+    path = scratch(spark, "classes")
+    write_classes(pairing.pair_files(*lenses.two_versions(spark, d)), path)
+    back = spark.read.schema("path1 string, path2 string, class string").csv(path, header=True)
+    return back.select("class", F.coalesce("path1", F.lit("")).alias("path1"), F.coalesce("path2", F.lit("")).alias("path2"))
+
+
+@q("a12_version_similarity", "SELECT x.n, x.m, x.r, CASE WHEN x.n = 0 THEN 0.0::DOUBLE ELSE round((2 * (x.m - x.r) + x.r) / x.n::DOUBLE, 6) END AS similarity FROM (SELECT c_nationkey AS k, count(*) AS n, sum((c_acctbal > 0)::INT)::BIGINT AS m, sum((c_acctbal > 5000)::INT)::BIGINT AS r FROM customer GROUP BY 1) x")
+def _(spark, d):
+    c = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("c_acctbal") > 0).cast("long")).alias("m"), F.sum((F.col("c_acctbal") > 5000).cast("long")).alias("r"))
+    return c.select("n", "m", "r", edits.version_similarity(F.col("n"), F.col("m"), F.col("r")).alias("similarity"))
+
+
+@q("d26_nesting_depth", f"WITH {NODES_SQL} SELECT len(string_split(path, '/'))::INTEGER - 1 AS depth, count(*) AS n FROM l GROUP BY 1")
+def _(spark, d):
+    l, _ = lenses.two_node_tables(spark, d)
+    deep = edits.ancestors(l).groupBy("pair_id", "path").agg(F.max("depth").alias("depth"))
+    return l.join(deep, ["pair_id", "path"], "left").groupBy(F.coalesce("depth", F.lit(0)).alias("depth")).agg(F.count(F.lit(1)).alias("n"))

@@ -490,19 +490,190 @@ rule("super_ivk0", "?x mayInvoke ?called", "?x mayInvokeMethod ?m")(_constructor
 rule("this_ivk0", "?x mayInvoke ?called", "?x mayInvokeMethod ?m")(_constructor_call("ThisInvocation", False))
 
 
+# --- overloads --------------------------------------------------------------------------------------
+
+
+def _applicable(b: B) -> B:
+    """Of candidates (x, args, m, nparams, nargs, v): those whose arity fits and none of whose arguments contradicts its parameter.
+
+    An argument contradicts a parameter's type name if it has no such type name, and is of no type
+    declared by that name or below it in the version, and the name isn't java.lang.Object; or if both
+    have dimensions and these differ.  Beyond the parameters of a method of variable arity, arguments
+    are held against its last one.  Only arguments 0 to 5 are looked at; unknown ones contradict nothing.
+    """
+    paths = b.paths
+    b = b.bind("nparams", "cast(nparams as int)").bind("nargs", "cast(nargs as int)").where("nparams between 1 and 15").flag("many", "?m isVariableArityMethod true")
+    b = b.where("nparams = nargs or (many and (nargs = nparams - 1 or nparams < nargs))")
+    facts = paths.store.facts()
+    position = lambda p: F.regexp_extract("p", f"^{p}([0-9]+)$", 1).try_cast("int")
+    args = facts.select(F.col("s").alias("args"), position("child").alias("place"), F.col("o").alias("arg")).filter("place between 0 and 5")
+    types = facts.select(F.col("s").alias("m"), position("parameterTypeName").alias("k"), F.col("o").alias("named")).filter("k is not null")
+    dims = facts.select(F.col("s").alias("m"), position("parameterTypeDims").alias("k"), F.col("o").alias("pdims")).filter("k is not null")
+    d = b.rows.select("x", "m", "args", "nparams", "nargs", "v").distinct().join(args, "args")
+    d = d.withColumn("k", F.when(F.col("place") < F.col("nparams"), F.col("place")).when(F.col("place") < F.col("nargs"), F.col("nparams") - 1)).join(types, ["m", "k"]).join(dims, ["m", "k"], "left")
+    same = Bindings(paths).match("?arg typeName ?named").rows.distinct().withColumn("same", F.lit(True))
+    below = Bindings(paths).match("?arg ofReferenceType ?aty", "?aty version ?v", "?aty subTypeOf* ?ty", "?ty version ?v", "?ty a TypeDeclaration", "?ty fullyQualifiedName ?named")
+    below = below.rows.select("arg", "named", "v").distinct().withColumn("below", F.lit(True))
+    sized = Bindings(paths).match("?arg typeDims ?adims").rows
+    d = d.join(same, ["arg", "named"], "left").join(below, ["arg", "named", "v"], "left").join(sized, "arg", "left")
+    wrong = d.filter("(same is null and below is null and named <> 'java.lang.Object') or adims <> pdims").select("x", "m").distinct()
+    return Bindings(paths, b.rows.join(wrong, ["x", "m"], "left_anti"))
+
+
+def _uncalled(b: B) -> B:
+    return b.unless("?x mayInvoke ?any1", "?x mayInvokeMethod ?any2")
+
+
+def _method(b: B, kind: str) -> B:
+    return b.match(f"?m a {kind}", "?m fullyQualifiedName ?q", "?m signature ?sig").bind("called", "concat(q, sig)")
+
+
+_CALL = ("?x mayInvoke ?called", "?x mayInvokeMethod ?m")
+
+
+@rule("this_ivkx", *_CALL)
+def _(b: B) -> B:
+    b = b.match("?x a ThisInvocation", "?x inConstructor ?own", "?x nArguments ?nargs", "?x child1 ?args", "?own a ConstructorDeclaration", "?own inTypeDeclaration ?t", "?t a TypeDeclaration", "?t version ?v")
+    return _uncalled(_applicable(_method(b.match("?m inTypeDeclaration ?t", "?m nParameters ?nparams"), "ConstructorDeclaration")))
+
+
+@rule("super_ivkx", *_CALL)
+def _(b: B) -> B:
+    b = b.match("?x a SuperInvocation", "?x inConstructor ?own", "?x nArguments ?nargs", "?x child1 ?args", "?own a ConstructorDeclaration", "?own inTypeDeclaration ?t", "?t a TypeDeclaration", "?t version ?v", "?t subClassOf ?u")
+    return _uncalled(_applicable(_method(b.match("?m inTypeDeclaration ?u", "?m nParameters ?nparams"), "ConstructorDeclaration")))
+
+
+def _in_reach(b: B, of: str = "t", to: str = "u") -> B:
+    """Types that a type sees without a qualifier: of the types around it and itself, their super types and themselves."""
+    return b.match(f"?{of} inTypeDeclaration* ?around", f"?around subTypeOf* ?{to}", f"?{of} version ?v", f"?{to} version ?v")
+
+
+def _simple(b: B, name: str) -> B:
+    b = b.match("?x a Invocation", "?x a! ?kind", "?x inTypeDeclaration ?t", f"?x {name} ?n", "?x child1 ?args").values("kind", ["SimpleMethodInvocation", "SimpleMethodInvocationStatement"])
+    return _in_reach(b).match(f"?m {name} ?n", "?m inTypeDeclaration ?u")
+
+
+@rule("simple_ivk0", *_CALL)
+def _(b: B) -> B:
+    return _uncalled(_method(_simple(b, "extendedName").match("?m nParameters 0"), "MethodDeclaration"))
+
+
+@rule("simple_ivkx", *_CALL)
+def _(b: B) -> B:
+    b = _simple(b, "name").match("?x nArguments ?nargs", "?args a Arguments", "?m nParameters ?nparams")
+    return _uncalled(_applicable(_method(b, "MethodDeclaration")))
+
+
+@rule("simple_ivk", *_CALL)
+def _(b: B) -> B:
+    """Only where a class and what it extends hold a single candidate."""
+    c = b.match("?m a MethodDeclaration", "?m child5 ?body", "?m extendedName ?n", "?m inTypeDeclaration ?u", "?t subClassOf* ?u", "?t a TypeDeclaration", "?t version ?v", "?u version ?v")
+    one = c.rows.groupBy("n", "t").agg(F.count_distinct("m").alias("k"), F.any_value("m").alias("m")).filter("k = 1").drop("k")
+    b = Bindings(b.paths, one).match("?x extendedName ?n", "?x a Invocation", "?x a! ?kind").values("kind", ["SimpleMethodInvocation", "SimpleMethodInvocationStatement"])
+    return _uncalled(_method(b.match("?x inTypeDeclaration+ ?t"), "MethodDeclaration"))
+
+
+def _offered(b: B) -> B:
+    """Methods ?m without parameters, named ?n, that a type ?t offers: its own, inherited ones, and those of types around it."""
+    b = b.match("?m a MethodDeclaration", "?m name ?n", "?m nParameters 0", "?m inTypeDeclaration ?u", "?u version ?v", "?t1 subTypeOf* ?u", "?t1 version ?v")
+    inner = b.match("?t inTypeDeclaration+ ?t1", "?t a TypeDeclaration", "?t version ?v", "?t fullyQualifiedName ?tq")
+    own = b.bind("t", "t1").match("?t fullyQualifiedName ?tq")
+    columns = ["m", "n", "t", "tq", "v"]
+    return Bindings(b.paths, own.rows.select(*columns).unionByName(inner.rows.select(*columns)).distinct())
+
+
+@rule("type_ivk0", *_CALL)
+def _(b: B) -> B:
+    b = _offered(b).match("?m child5 ?body").bind("full", "concat(tq, '.', n)").match("?x name ?full", "?x a Invocation", "?x nArguments 0", "?x inTypeDeclaration/version ?v")
+    return _uncalled(_method(b.match("?x a ?kind").values("kind", ["TypeMethodInvocation", "TypeMethodInvocationStatement"]), "MethodDeclaration"))
+
+
+@rule("primary_ivk0", *_CALL)
+def _(b: B) -> B:
+    b = _offered(b).match("?e ofReferenceType ?t", "?e a Primary", "?e parent ?x", "?x name ?n", "?x nArguments 0", "?x child2 ?args", "?args a Arguments")
+    return _uncalled(_method(b.match("?x a ?kind").values("kind", ["PrimaryMethodInvocation", "PrimaryMethodInvocationStatement"]), "MethodDeclaration"))
+
+
+def _creations(b: B, ways: tuple[int, ...]) -> B:
+    """Instance creations ?x and constructors ?m by name: 0 as it is, 1 with the package or an import on demand in front, 2 as an inner class of a super class."""
+    c = b.match("?m a ConstructorDeclaration", "?m name ?mn", "?m inTypeDeclaration ?t", "?m nParameters ?nparams", "?t version ?v", "?t name ?tn", "?t fullyQualifiedName ?tq")
+    c = c.bind("full", "concat(tq, '.', mn)").bind("short", "concat(tn, '.', mn)").distinct("m", "v", "full", "short", "nparams")
+    x = b.match("?x a InstanceCreation", "?x nArguments ?nargs", "?x name ?short", "?x inTypeDeclaration ?own", "?own version ?v")
+    found = []
+    if 0 in ways:
+        found.append(x.bind("full", "short").rows.select("x", "nargs", "v", "full").join(c.rows, ["v", "full"]))
+    if 1 in ways:
+        y = x.match("?own inFile ?f").either(["?p parent/inFile ?f", "?p a PackageDeclaration", "?p name ?pn"], ["?p parent/parent/inFile ?f", "?p a TypeImportOnDemandDeclaration", "?p name ?pn"])
+        found.append(y.bind("full", "concat(pn, '.', short)").rows.select("x", "nargs", "v", "full", "short").distinct().join(c.rows, ["v", "full", "short"]))
+    if 2 in ways:
+        y = x.match("?own inFile ?f", "?own subClassOf+ ?u", "?u version ?v", "?inner inTypeDeclaration ?u", "?inner a TypeDeclaration", "?inner name ?in", "?u name ?un", "?p parent/inFile ?f", "?p a PackageDeclaration", "?p name ?pn")
+        y = y.where("short = concat(`in`, '.<init>')").bind("full", "concat(pn, '.', un, '$', short)")
+        found.append(y.rows.select("x", "nargs", "v", "full", "short").distinct().join(c.rows, ["v", "full", "short"]))
+    rows = None
+    for one in found:
+        one = one.select("x", "m", "v", "nargs", "nparams")
+        rows = one if rows is None else rows.unionByName(one)
+    return Bindings(b.paths, rows.distinct())
+
+
+@rule("new_ivk0", *_CALL)
+def _(b: B) -> B:
+    return _uncalled(_method(_creations(b, (0, 1, 2)).where("nargs = '0' and nparams = '0'"), "ConstructorDeclaration"))
+
+
+for _name, _ways in (("new_ivkx", (0, 1, 2)), ("new_ivkx0", (0,)), ("new_ivkx1", (1,)), ("new_ivkx2", (2,))):
+    rule(_name, *_CALL)(lambda b, ways=_ways: _uncalled(_applicable(_method(_creations(b, ways).match("?args parent ?x", "?args a Arguments"), "ConstructorDeclaration"))))
+
+
+@rule("declared_by_field0-1", "?x declaredBy ?d")
+def _(b: B) -> B:
+    b = _in_reach(_own_access(b, "?x inTypeDeclaration ?t").distinct("x", "n", "t")).distinct("x", "n", "u")
+    return b.match("?fd inTypeDeclaration ?u", *_FIELD).unless("?x declaredBy ?any")
+
+
+@rule("declared_by_field2", "?x declaredBy ?d")
+def _(b: B) -> B:
+    """By the field's full name, with ``$`` or ``.`` between types, in the version; or by its name within its own type."""
+    f = b.match("?d a VariableDeclarator", "?d parent ?fd", "?d name ?fn", "?fd a FieldDeclaration", "?fd inTypeDeclaration ?t", "?t a TypeDeclaration", "?t fullyQualifiedName ?q")
+    full = F.array_distinct(F.array(F.concat("q", F.lit("."), "fn"), F.concat(F.translate("q", "$", "."), F.lit("."), "fn")))
+    wide = f.bind("n", F.explode(full)).match("?t version ?v", "?x name ?n", "?x a Name", "?x inTypeDeclaration/version ?v")
+    near = f.bind("n", "fn").match("?x name ?n", "?x a Name", "?x inTypeDeclaration ?t")
+    return Bindings(b.paths, wide.rows.select("x", "d").unionByName(near.rows.select("x", "d")).distinct()).unless("?x declaredBy ?any")
+
+
+@rule("resolved_type_ivk", "?x name ?full")
+def _(b: B) -> B:
+    b = b.match("?m a MethodDeclaration", "?m name ?mn", "?m fullyQualifiedName ?q", "?m nParameters ?k", "?m inTypeDeclaration ?t", "?t inSourceTree ?tree", "?t name ?tn", "?t inFile ?f", "?p parent/inFile ?f", "?p a PackageDeclaration", "?p name ?pn")
+    b = b.bind("n", "concat(tn, '.', mn)").bind("full", F.translate("q", "$", ".")).where("full = concat(pn, '.', n)").distinct("pn", "full", "tree", "k", "n")
+    b = b.match("?x name ?n", "?x a Invocation", "?x nArguments ?k", _TREE, "?x a ?kind").values("kind", ["TypeMethodInvocation", "TypeMethodInvocationStatement"])
+    return b.match("?x inTypeDeclaration/inFile ?g", "?r parent/inFile ?g", "?r a PackageDeclaration", "?r name ?pn")
+
+
+@rule("reftype_of_expr", "?x ofReferenceType ?t")
+def _(b: B) -> B:
+    """What the three rules for array accesses, parentheses and field accesses give together."""
+    rows = None
+    for name in ("reftype_of_expr0", "reftype_of_expr1", "reftype_of_expr2"):
+        one = RULES[name].body(b).rows.select("x", "t")
+        rows = one if rows is None else rows.unionByName(one)
+    return Bindings(b.paths, rows.distinct())
+
+
 #: In this order; the second list is run three times, as names, types and calls feed one another.
 FIRST = [
     "tdecl_in_srctree", "stmt_level0", "stmt_level", *(n for n in RULES if n.startswith(("pruned_", "grafted_"))), "resolved_tyvar",
     "class_hierarchy", "class_name_hierarchy", "interface_hierarchy", "tdecl_mapped_eq", "tdecl_modified", "file_mapping", "stable_mapping",
     "refers_to_decl", "return_type", "return_reftype", "param_ty", "param_ty_name", "declared_by_catch_param", "declared_by_for_header",
-    "declared_by_field0-0-0", "declared_by_field0-0-1", "type_of_literal", "type_of_new", "super_ivk0", "this_ivk0",
+    "declared_by_field0-0-0", "declared_by_field0-0-1", "declared_by_field0-1", "type_of_literal", "type_of_new", "super_ivk0", "this_ivk0", "new_ivk0", "simple_ivk0",
 ]
 AGAIN = [
-    "resolved_enum_const", "resolved_reftype", "resolved_facc", "resolved_facc0", "resolved_type_ivk_pe", "resolved_type_ivk_ps", "declared_by_field0-0-2",
+    "resolved_enum_const", "resolved_reftype", "resolved_facc", "resolved_facc0", "resolved_type_ivk", "resolved_type_ivk_pe", "resolved_type_ivk_ps", "declared_by_field0-0-2",
     "reftype_of_this", "reftype_of_declared_var", "reftype_of_var_declared_by_param", "reftype_of_enum_const", "reftype_of_new0", "reftype_of_new",
     "reftype_of_cast", "reftype_of_ivk", "reftype_of_expr0", "reftype_of_expr1", "reftype_of_expr2", "type_of_this", "type_of_declared_var",
     "type_of_var_declared_by_param", "type_of_enum_const", "type_of_ivk", "type_of_cast", "type_of_uop", "type_of_bop", "type_of_array_access",
-]
+    "primary_ivk0", "type_ivk0", "simple_ivkx", "this_ivkx", "super_ivkx", "new_ivkx0", "new_ivkx1", "new_ivkx2",
+]
+LAST = ["declared_by_field2"]
 ROUNDS = 3
 
 
@@ -510,4 +681,4 @@ def materialize_java(store) -> int:
     """All rules in run order; returns the number of new facts."""
     from .rules import materialize
 
-    return materialize(store, [RULES[n] for n in FIRST]) + materialize(store, [RULES[n] for n in AGAIN], ROUNDS)
+    return materialize(store, [RULES[n] for n in FIRST]) + materialize(store, [RULES[n] for n in AGAIN], ROUNDS) + materialize(store, [RULES[n] for n in LAST])

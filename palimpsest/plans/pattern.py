@@ -40,7 +40,11 @@ class Paths:
         if path[-1] in "+*":
             if path not in self.kept:
                 inner = path[:-1].strip("()").replace("~", "|")
-                self.kept[path] = closure(self.table(inner), int(path[-1] == "+"))
+                found = closure(self.table(inner), 1)
+                if path[-1] == "*":  # no step at all: every subject reaches itself, whether it has such edges or not
+                    nodes = self.store.facts().select("s").union(found.select("o")).distinct()
+                    found = found.filter("s <> o").unionByName(nodes.select("s", F.col("s").alias("o")))
+                self.kept[path] = found
             return self.kept[path]
         if path.rstrip("!") == TYPE:
             return self.store.facts().filter(F.col("p") == TYPE).select("s", "o")

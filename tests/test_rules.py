@@ -9,7 +9,7 @@ from palimpsest.plans.pattern import Bindings, Paths
 from palimpsest.plans.rules import materialize
 from palimpsest.plans.store import FactStore
 
-CLASSES = [("ClassDeclaration", "TypeDeclaration"), ("InterfaceDeclaration", "TypeDeclaration"), ("EnumDeclaration", "TypeDeclaration"), ("MethodDeclaration", "MethodOrConstructor"), ("ConstructorDeclaration", "MethodOrConstructor"), ("IntType", "PrimitiveType"), ("PrimitiveType", "Type"), ("ReferenceType", "Type"), ("IfStatement", "Statement"), ("TypeDeclaration", "Entity"), ("FieldAccess", "Expression"), ("This", "Expression")]
+CLASSES = [("SimpleMethodInvocation", "Invocation"), ("ClassDeclaration", "TypeDeclaration"), ("InterfaceDeclaration", "TypeDeclaration"), ("EnumDeclaration", "TypeDeclaration"), ("MethodDeclaration", "MethodOrConstructor"), ("ConstructorDeclaration", "MethodOrConstructor"), ("IntType", "PrimitiveType"), ("PrimitiveType", "Type"), ("ReferenceType", "Type"), ("IfStatement", "Statement"), ("TypeDeclaration", "Entity"), ("FieldAccess", "Expression"), ("This", "Expression")]
 
 FACTS = """
 v0 next v1
@@ -141,6 +141,57 @@ bctor inTypeDeclaration B
 sup a SuperInvocation
 sup inConstructor bctor
 sup child1 args
+cc a ConstructorDeclaration
+cc inTypeDeclaration A
+cc nParameters 2
+cc fullyQualifiedName p.A.<init>
+cc signature (I,B)V
+cc parameterTypeName0 int
+cc parameterTypeName1 p.A
+cv a ConstructorDeclaration
+cv inTypeDeclaration A
+cv nParameters 1
+cv isVariableArityMethod true
+cv fullyQualifiedName p.A.<init>
+cv signature ([I)V
+cv parameterTypeName0 int
+t2 a ThisInvocation
+t2 inConstructor actor
+t2 nArguments 2
+t2 child1 t2a
+t2a child0 lit
+t2a child1 ofb
+ofb parent t2a
+ofb ofReferenceType B
+t3 a ThisInvocation
+t3 inConstructor actor
+t3 nArguments 3
+t3 child1 t3a
+t3a child0 lit
+t3a child1 lit
+t3a child2 lit
+lit parent t3a
+t4 a ThisInvocation
+t4 inConstructor actor
+t4 nArguments 3
+t4 child1 t4a
+t4a child0 lit
+t4a child1 lit
+t4a child2 str
+str parent t4a
+call a SimpleMethodInvocation
+call inTypeDeclaration B
+call extendedName run#0
+call child1 cargs
+run a MethodDeclaration
+run inTypeDeclaration A
+run extendedName run#0
+run nParameters 0
+run fullyQualifiedName p.A.run
+run signature ()V
+bacc a FieldAccess
+bacc name k
+bacc inTypeDeclaration B
 """
 
 
@@ -150,7 +201,7 @@ def store(spark):
     s = FactStore.of(spark.createDataFrame(facts, "s string, p string, o string"), Ontology(classes=CLASSES))
     names = [n for n in javarules.FIRST if n not in ("class_name_hierarchy", "resolved_tyvar")]
     materialize(s, [javarules.RULES[n] for n in names])
-    materialize(s, [javarules.RULES[n] for n in ("type_of_bop", "type_of_cast", "type_of_array_access", "reftype_of_this", "super_ivk0")])
+    materialize(s, [javarules.RULES[n] for n in ("type_of_bop", "type_of_cast", "type_of_array_access", "reftype_of_this", "super_ivk0", "this_ivkx")])
     return s
 
 
@@ -190,6 +241,13 @@ def test_declarations_and_calls(store):
     assert objects(store, "sup", "mayInvoke") == {"p.A.<init>()V"} and objects(store, "sup", "mayInvokeMethod") == {"actor"}
 
 
+def test_overloads(store):
+    assert objects(store, "t2", "mayInvokeMethod") == {"cc"}  # B is below A, and isn't an int
+    assert objects(store, "t3", "mayInvokeMethod") == {"cv"} and objects(store, "t4", "mayInvokeMethod") == set()
+    assert objects(store, "call", "mayInvoke") == {"p.A.run()V"}  # inherited
+    assert objects(store, "bacc", "declaredBy") == {"vd"}
+
+
 def test_statement_levels(store):
     assert [objects(store, s, "stmtLevel") for s in ("s1", "s2", "s3")] == [{"0"}, {"1"}, {"2"}]
 
@@ -204,7 +262,7 @@ def test_every_rule_has_a_plan(store):
     paths = Paths(store)
     for r in javarules.RULES.values():
         assert r.facts(store, paths).columns == ["s", "p", "o"]
-    assert set(javarules.FIRST + javarules.AGAIN) <= set(javarules.RULES)
+    assert set(javarules.FIRST + javarules.AGAIN + javarules.LAST) <= set(javarules.RULES)
 
 
 def test_closure(spark):
