@@ -24,8 +24,9 @@ from .bpe import LETTER, class_table
 from .shared import free_name, ship
 from .words import utf8
 
-#: Bound of the sample: rows of each language, and languages (the most frequent ones).
+#: Bound of the sample: rows of each language, of all together, and languages (the most frequent ones).
 ROWS_A_LANGUAGE = 400
+ROWS = 4000
 LANGUAGES = 200
 BUCKET_BITS = 16
 DIMENSIONS = 16
@@ -185,7 +186,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_a_language: int = ROWS_A_LANGUAGE) -> Model:
-    """Train on at most 2 * ``rows_a_language`` rows (about ``rows_a_language``) of each language, chosen by a hash of the id.
+    """Train on about ``rows_a_language`` rows of each language (fewer if all would be over ROWS), chosen by a hash of the id; twice that is the limit.
 
     Rows with a null text, language or id, and held-out ones, are not learned from.
     """
@@ -193,6 +194,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     counts = usable.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return train([], [])
+    rows_a_language = max(1, min(rows_a_language, ROWS // len(counts)))
     share = F.lit(0.0)
     for r in counts:
         share = F.when(F.col(lang_col) == r["lang"], F.lit(rows_a_language / r["count"])).otherwise(share)

@@ -60,7 +60,8 @@ def rebalance(current: DataFrame, sizes: DataFrame, n_shards: int) -> DataFrame:
         )
 
     start = F.struct(F.col("loads"), F.expr("cast(array() as array<struct<virtual_slot:int,to:int>>)").alias("placed"))
-    placed = moving.crossJoin(loads).select(F.explode(F.aggregate("moving", start, place)["placed"]).alias("x")).select("x.*")  # one row each
+    both = moving.withColumn("one", F.lit(1)).join(loads.withColumn("one", F.lit(1)), "one")  # one row each
+    placed = both.select(F.explode(F.aggregate("moving", start, place)["placed"]).alias("x")).select("x.*")
     edited = F.coalesce("to", "shard").alias("shard")
     return s.join(placed, "virtual_slot", "left").select("virtual_slot", edited, (F.col("version") + 1).alias("version"))
 
