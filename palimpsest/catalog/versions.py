@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import lenses
 from ..lenses import NODES_SQL, VERSIONS_SQL, table
-from ..operators import edits, pairing, sequences, trees
+from ..operators import edits, pairing, refine, sequences, trees
 from ..session import ship
 from . import Catalog
 
@@ -242,3 +242,60 @@ def _(spark, d):
     l, _ = lenses.two_node_tables(spark, d)
     deep = edits.ancestors(l).groupBy("pair_id", "path").agg(F.max("depth").alias("depth"))
     return l.join(deep, ["pair_id", "path"], "left").groupBy(F.coalesce("depth", F.lit(0)).alias("depth")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@q("d36_bijection", "WITH s AS (SELECT (l_partkey % 40)::VARCHAR AS path1, (l_suppkey % 40)::VARCHAR AS path2, (l_orderkey % 20) AS pair_id, sum(l_quantity) AS score FROM lineitem GROUP BY ALL) SELECT pair_id, path1, path2, score FROM s QUALIFY row_number() OVER (PARTITION BY pair_id, path1 ORDER BY score DESC, path2) = 1 AND row_number() OVER (PARTITION BY pair_id, path2 ORDER BY score DESC, path1) = 1")
+def _(spark, d):
+    return refine.bijection(_scored(spark, d))
+
+
+def _scored(spark, d):
+    g = table(spark, d, "lineitem").groupBy((F.col("l_orderkey") % 20).alias("pair_id"), (F.col("l_partkey") % 40).cast("string").alias("path1"), (F.col("l_suppkey") % 40).cast("string").alias("path2"))
+    return g.agg(F.sum("l_quantity").alias("score"))
+
+
+@q("d15_competition", "WITH s AS (SELECT (l_partkey % 40)::VARCHAR AS path1, (l_suppkey % 40)::VARCHAR AS path2, (l_orderkey % 20) AS pair_id, sum(l_quantity) AS score FROM lineitem GROUP BY ALL), b AS (SELECT pair_id, path1, path2, max(score) AS score FROM (SELECT pair_id, path1, path2, score FROM s WHERE score > 100 UNION ALL SELECT pair_id, path1, path2, score / 2 FROM s) GROUP BY ALL) SELECT pair_id, path1, path2, score FROM b QUALIFY row_number() OVER (PARTITION BY pair_id, path1 ORDER BY score DESC, path2) = 1 AND row_number() OVER (PARTITION BY pair_id, path2 ORDER BY score DESC, path1) = 1")
+def _(spark, d):
+    s = _scored(spark, d)
+    return refine.compete(s.filter("score > 100"), s.withColumn("score", F.col("score") / 2))
+
+
+@q("d14_ancestor_support", EDITS_SQL + "SELECT n, count(*) AS pairs FROM (SELECT m.path1, count(u.path1) AS n FROM m LEFT JOIN m u ON contains(m.path1, '/') AND u.path1 = split_part(m.path1, '/', 1) GROUP BY m.path1) GROUP BY n")
+def _(spark, d):
+    l, _, m, _ = _edits(spark, d)
+    return refine.support(m, l).groupBy("n").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+@q("a13_units", EDITS_SQL + ", x AS (SELECT split_part(coalesce(path1, path2), '/', 1) AS unit, 1 AS e, 0 AS m FROM e WHERE contains(coalesce(path1, path2), '/') UNION ALL SELECT split_part(path1, '/', 1), 0, 1 FROM m WHERE contains(path1, '/')) SELECT 'p' AS pair_id, unit, sum(e)::BIGINT AS edits, sum(m)::BIGINT AS mapped FROM x WHERE unit IN (SELECT path FROM l) GROUP BY unit")
+def _(spark, d):
+    l, _, m, e = _edits(spark, d)
+    return refine.by_unit(e, m, l.filter("label = 'order'"))
+
+
+@q("d20_rename_votes", "WITH n AS (SELECT p_size, p_brand AS old, p_type AS new, count(*) AS n FROM part GROUP BY ALL) SELECT p_size, old, new, n, sum(n) OVER (PARTITION BY p_size, old)::BIGINT AS \"of\" FROM n QUALIFY row_number() OVER (PARTITION BY p_size, old ORDER BY n DESC, new) = 1")
+def _(spark, d):
+    return refine.rename_votes(table(spark, d, "part").select("p_size", F.col("p_brand").alias("old"), F.col("p_type").alias("new")), ["p_size"])
+
+
+@q("d31_token_delta", f"WITH {VERSIONS_SQL} SELECT CASE WHEN a.digest IS NULL THEN 'added' WHEN b.digest IS NULL THEN 'removed' WHEN a.digest = b.digest THEN 'equal' ELSE 'changed' END AS state, count(*) AS files, coalesce(sum(len(a.name)), 0)::BIGINT AS tokens1, coalesce(sum(len(b.name)), 0)::BIGINT AS tokens2 FROM v0 a FULL JOIN v1 b USING (path) GROUP BY 1")
+def _(spark, d):
+    a, b = (x.select("path", "digest", F.length("name").alias("tokens")) for x in lenses.two_versions(spark, d))
+    return refine.token_delta(a, b)
+
+
+@q("d17_reordered_siblings")
+def _(spark, d):
+    li = table(spark, d, "lineitem")
+    m = li.select("l_orderkey", F.xxhash64("l_partkey", "l_suppkey").alias("id"), F.col("l_linenumber").alias("pos1"), F.col("l_extendedprice").alias("pos2"), F.lit(1.0).alias("weight"))
+    return refine.reordered(m, ["l_orderkey"])
+
+
+@q("d29_hunks")
+def _(spark, d):
+    return refine.hunks(_line_pairs(spark, d), "l", "r")
+
+
+@q("j22_rescued_by_similarity")
+def _(spark, d):
+    p = table(spark, d, "part").select(F.concat("p_brand", F.lit("/"), F.col("p_partkey").cast("string")).alias("path"), F.col("p_name").alias("content"), F.col("p_brand").alias("block"), "p_partkey")
+    return refine.rescue(p.filter("p_partkey % 2 = 0"), p.filter("p_partkey % 2 = 1"), "block")
