@@ -2,7 +2,7 @@
 
 Every record belongs to one of ``n_slots`` virtual slots for good: a hash of its id and text
 decides.  Bytes are added up by slot, and a versioned table maps slots to shards.  To rebalance,
-only that table is edited: a new version moves as few slots as it takes; records keep their slots.
+only that table is edited: a new version moves what exceeds the mean, and records keep their slots.
 
 Everything is DataFrame and SQL functions.  What meets in one task is the slot table, whose size
 is ``n_slots`` whatever the input.
