@@ -322,7 +322,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     c = classes.select("h1", "h2", "node").join(roots, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("root"))
     rows = stored(signed.drop("sig").join(c, ["h1", "h2"], "left").drop("h1", "h2"), "dup-rows")  # equal hashes of empty sets have no class
     first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", place.alias("place"))
-    least = rows.filter("root is not null").groupBy("root").agg(F.min(first).alias("first"))
+    # Stored, so that the join has shuffles of its own, which Spark can split where a group is large.
+    least = stored(rows.filter("root is not null").groupBy("root").agg(F.min(first).alias("first")), "dup-least")
     rows = rows.join(least, "root", "left")
     alone = F.col("root").isNull()
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id"))
