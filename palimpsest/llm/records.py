@@ -28,6 +28,8 @@ from .words import utf8
 POLYNOMIAL = 0x82F63B78  # CRC-32C, bits reversed
 MASK_DELTA = 0xA282EAD8
 BLOCK = 256
+#: Bytes of text encoded at once, and pieces that a worker keeps: beside the sort of texts there is little room.
+CHUNK, PIECES = 1 << 20, 1 << 19
 NULL_ID = -(1 << 63)
 SCHEMA = "part int, path string, index_path string, width int, n_records long, n_tokens long"
 
@@ -168,7 +170,7 @@ def _library(path: str) -> ByPiece:
             values[spread(offsets[rows], counts[rows])] = ids
         return Ragged(values, offsets)
 
-    return ByPiece(encode)
+    return ByPiece(encode, PIECES)
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 2, width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,7 +197,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out: str, end_id: in
         name = f"{folder}/tokens-{part:06d}-{uuid.uuid4().hex[:12]}"
         index, n_tokens, at, sink = [], 0, 0, None
         for batch in batches:
-            for piece in chunks(batch, "text"):
+            for piece in chunks(batch, "text", CHUNK):
                 if sink is None:
                     sink = fs.open_output_stream(f"{name}.records")
                 ids = by_piece.encode(*utf8(column(piece, "text")))[0]
