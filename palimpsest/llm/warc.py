@@ -7,7 +7,7 @@ decoded.  Writing: each task writes files under names of its own, and only the m
 commit, makes them part of the archive; what a lost task has left behind is never read.
 
 Options: path (in a store that all executors reach), split_bytes (stretch of a file for one task),
-compression (``gzip``: one member a record).
+index_bytes (between offsets of the index), compression (``gzip``: one member a record).
 """
 
 from __future__ import annotations
@@ -240,6 +240,7 @@ class WarcWriter(DataSourceWriter):
 
     def __init__(self, options, schema, overwrite: bool):
         self.root, self.gzip, self.overwrite = options["path"], options.get("compression") == "gzip", overwrite
+        self.every = int(options.get("index_bytes", INDEX_EVERY))
 
     def write(self, rows) -> Written:
         fs, root = filesystem(self.root)
@@ -249,7 +250,7 @@ class WarcWriter(DataSourceWriter):
         for row in rows:
             if sink is None:
                 sink = fs.open_output_stream(f"{root}/{name}", compression=None)  # else .gz would be compressed again
-            if not offsets or at - offsets[-1] >= INDEX_EVERY:
+            if not offsets or at - offsets[-1] >= self.every:
                 offsets.append(at)
             raw = record(row.asDict())
             if self.gzip:
