@@ -2,7 +2,7 @@
 
 A document is the set of its 5-word shingles.  Its signature has SYMBOLS b-bit minima, and similar
 sets have signatures at a small Hamming distance: of two with similarity 0.85, one in 10^5 pairs
-differs in more than RADIUS symbols.  The signature is cut into CHUNKS chunks.  If two signatures
+differs in more than RADIUS symbols (with 0.8, one in 10^3; by binomial estimate 2 in 10^6 share no key).  The signature is cut into CHUNKS chunks.  If two signatures
 differ in at most RADIUS = 2 * CHUNKS - 1 symbols, then in some chunk they differ in at most one
 (pigeonhole); so for each chunk and each of its symbols a key of the others is made, and any pair
 within RADIUS shares a key.  Keys join sets into candidate groups, and within those all pairs are
@@ -30,7 +30,7 @@ from .shared import scratch, ship, stored
 from .words import hash_slices, lower_ascii, mix64, split, utf8, windows
 
 SHINGLE = 5
-SIMILARITY = 85  # in hundredths
+SIMILARITY = 85  # in hundredths; what op10's contract says, and the default
 SYMBOLS, CHUNKS = 50, 10
 RADIUS = 2 * CHUNKS - 1
 #: A block of a candidate group has about so many shingles, and documents, at most.
@@ -201,44 +201,48 @@ def linked(a: Ragged, b: Ragged | None, hundredths: int = SIMILARITY) -> tuple[n
     return np.nonzero(np.triu(ok, 1) if b is None else ok)
 
 
-@lean
-def _confirm(batches):
-    """Rows (grp, i, j, side, node, shingles), sorted by cell: a forest of the confirmed links of each cell."""
-    held, cell = [], None
-    links: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def close():
-        side = np.array([x[0] for x in held])
-        nodes = np.array([x[1] for x in held], np.int64)
-        parts = []
-        for s in (0, 1):
-            at = np.flatnonzero(side == s)
-            sets = [np.frombuffer(held[k][2], np.uint64) for k in at.tolist()]
-            parts.append((nodes[at], Ragged(np.concatenate(sets) if sets else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64))))
-        (u, a), (w, b) = parts
-        if cell[1] == cell[2]:
-            i, j = linked(a, None)
-            w = u
-        else:
-            i, j = linked(a, b)
-        if len(i):
-            links.append(forest(u[i], w[j]))
-
-    for batch in batches:
-        columns = [column(batch, c).to_pylist() for c in ("grp", "i", "j", "side", "node", "shingles")]
-        for g, i, j, side, node, shingles in zip(*columns):
-            if (g, i, j) != cell:
-                if held:
-                    close()
-                held, cell = [], (g, i, j)
-            held.append((side, node, shingles))
-        if sum(len(u) for u, _ in links) > 100_000:
+def _confirm(similarity: int):
+    """Of rows (grp, i, j, side, node, shingles), sorted by cell: a forest of the links of each cell confirmed at that similarity."""
+
+    @lean
+    def run(batches):
+        held, cell = [], None
+        links: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def close():
+            side = np.array([x[0] for x in held])
+            nodes = np.array([x[1] for x in held], np.int64)
+            parts = []
+            for s in (0, 1):
+                at = np.flatnonzero(side == s)
+                sets = [np.frombuffer(held[k][2], np.uint64) for k in at.tolist()]
+                parts.append((nodes[at], Ragged(np.concatenate(sets) if sets else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64))))
+            (u, a), (w, b) = parts
+            if cell[1] == cell[2]:
+                i, j = linked(a, None, similarity)
+                w = u
+            else:
+                i, j = linked(a, b, similarity)
+            if len(i):
+                links.append(forest(u[i], w[j]))
+
+        for batch in batches:
+            columns = [column(batch, c).to_pylist() for c in ("grp", "i", "j", "side", "node", "shingles")]
+            for g, i, j, side, node, shingles in zip(*columns):
+                if (g, i, j) != cell:
+                    if held:
+                        close()
+                    held, cell = [], (g, i, j)
+                held.append((side, node, shingles))
+            if sum(len(u) for u, _ in links) > 100_000:
+                yield _edges(*map(np.concatenate, zip(*links)))
+                links = []
+        if held:
+            close()
+        if links:
             yield _edges(*map(np.concatenate, zip(*links)))
-            links = []
-    if held:
-        close()
-    if links:
-        yield _edges(*map(np.concatenate, zip(*links)))
+
+    return run
 
 
 @lru_cache(4)
@@ -258,13 +262,14 @@ def _by_part(df: DataFrame, what: str) -> str:
     return path
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(blocks, rows): the written blocks of ``docs``; and for each row its place (part, block, at), doc_id,
     n_shingles, component_id, kept and leads.
 
     component_id: the smallest id in the row's component, nulls aside (null if all are); kept: the id
     equals it.  leads: true for exactly one row of each component, one that is kept.  Null texts and
     those without words have no shingles, and are components of their own, each row by itself.
+    similarity is in hundredths; the signatures are made for 80 and more.
     """
     ship(docs.sparkSession)
     blocks = write_blocks(docs, text_col)
@@ -318,7 +323,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = ["grp", "i", "j", "side", "node", "shingles"]
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
     cells = blocks.mapInArrow(gather, "grp long, i int, j int, side int, node long, shingles binary").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
-    roots = components(cells.mapInArrow(_confirm, "u long, v long"))
+    roots = components(cells.mapInArrow(_confirm(similarity), "u long, v long"))
     c = classes.select("h1", "h2", "node").join(roots, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("root"))
     rows = stored(signed.drop("sig").join(c, ["h1", "h2"], "left").drop("h1", "h2"), "dup-rows")  # equal hashes of empty sets have no class
     first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", place.alias("place"))
@@ -331,9 +336,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return blocks, rows
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
     """One row of each component, with the columns of ``docs``: that with the smallest id."""
-    blocks, rows = near_duplicates(docs, id_col, text_col)
+    blocks, rows = near_duplicates(docs, id_col, text_col, similarity)
     path = _by_part(rows.filter(~F.col("leads")).select("part", "block", "at"), "dup-dropped")
 
     @lean

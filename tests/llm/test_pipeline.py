@@ -3,7 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline as P
-from palimpsest.llm import mixing
+from palimpsest.llm import mixing, neardup
 from test_neardup import brute as components
 from test_substrings import brute as substrings
 
@@ -43,3 +43,15 @@ def test_empty(spark, empty):
     for _, f in P.STAGES:
         docs = f(spark, docs, "")
     assert docs.count() == 0
+
+
+def test_near_copies_from_similarity_08(spark):
+    """Sets of 180 shingles: with k last words changed, 180 - k of 180 + k are common."""
+    rows = []
+    for g, k in enumerate([20, 17, 21, 90]):  # 160 of 200, 163 of 197, 159 of 201, 90 of 270
+        words = [f"g{g}w{i}" for i in range(184)]
+        rows += [(10 * g, " ".join(words)), (10 * g + 1, " ".join(words[:-k] + [f"x{w}" for w in words[-k:]]))]
+    docs = table(spark, [(i, text, "en", "web", len(text)) for i, text in rows])
+    got = sorted(r["doc_id"] for r in P.drop_near_duplicates(spark, docs, "").collect())
+    assert got == [0, 10, 20, 21, 30, 31]
+    assert neardup.dedup(docs).count() == len(rows)  # op10's own limit is 0.85
