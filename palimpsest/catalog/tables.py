@@ -106,7 +106,7 @@ def _(spark, d):
 @q("w2_precedence_any")
 def _(spark, d):
     i = lenses.instances(spark, d).withColumn("key", F.array(F.col("key"), F.col("key") % 7))
-    return mining.first_seen(i, ["e1"], parts=2).select("v0", "e1")
+    return mining.first_seen(i, ["e1"], parts=2, one_to_one=[True, True]).select("v0", "e1")
 
 
 @q("w6_sibling_places", "SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS nth FROM lineitem")

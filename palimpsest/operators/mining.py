@@ -39,25 +39,33 @@ def coverage(changes: DataFrame) -> DataFrame:
     return d.filter("level in (0, 3, 15)").withColumn("coverage", F.round(F.try_divide("identified", "total"), 6))
 
 
-def first_seen(instances: DataFrame, order: list[str], parts: int = 1) -> DataFrame:
+def first_seen(instances: DataFrame, order: list[str], parts: int = 1, one_to_one: list[bool] | None = None) -> DataFrame:
     """Instances whose key wasn't seen by an earlier one of their version pair, in this order.
 
-    ``parts`` > 1: keys are arrays, and an instance is skipped if any of its elements was seen; that
-    depends on what was skipped before, and so runs in order within a version pair.
+    ``parts`` > 1: keys are arrays, and what was seen is kept by position; that depends on what was
+    skipped before, and so runs in order within a version pair.  ``one_to_one`` gives the mode: an
+    instance is skipped if all of its elements were seen (none true, the default), if any was (all
+    true), or if all at the positions that aren't one-to-one were (mixed; positions that it lacks are not one-to-one).
     """
     if parts == 1:
         r = F.row_number().over(W.partitionBy("v0", "v1", "key").orderBy(*order))
         return instances.withColumn("r_", r).filter("r_ = 1").drop("r_")
+    flags = list(one_to_one or [])
+    any_mode = bool(flags) and all(flags)
+    counted = [i for i in range(parts) if any_mode or not (i < len(flags) and flags[i])]
+    skip = any if any_mode else all
 
     def run(d: pd.DataFrame) -> pd.DataFrame:
-        seen: set = set()
+        seen: list[set] = [set() for _ in range(parts)]
         keep = []
-        for _, key in d.sort_values(order)["key"].items():
-            ok = not any(k in seen for k in key)
+        d = d.sort_values(order)
+        for k, key in enumerate(d["key"]):
+            ok = k == 0 or not skip(key[i] in seen[i] for i in counted)
             keep.append(ok)
             if ok:
-                seen.update(key)
-        return d.sort_values(order)[keep]
+                for x, s in zip(key, seen):
+                    s.add(x)
+        return d[keep]
 
     return instances.groupBy("v0", "v1").applyInPandas(run, instances.schema)
 
