@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from ..session import ship
+from ..session import ship, stored
 from .alignments import align, heaviest_increasing
 from .edits import ancestors
 from .sequences import ratio
@@ -117,20 +117,37 @@ def token_delta(left: DataFrame, right: DataFrame) -> DataFrame:
     return d.groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("tokens1"), F.lit(0)).alias("tokens1"), F.coalesce(F.sum("tokens2"), F.lit(0)).alias("tokens2"))
 
 
-def rescue(removed: DataFrame, added: DataFrame, block: str, least: float = 0.7, least_path: float = 0.8) -> DataFrame:
+def rescue(removed: DataFrame, added: DataFrame, block: str, least: float = 0.7, least_path: float = 0.8, modified1: DataFrame | None = None, modified2: DataFrame | None = None, least_mapped: float = 0.9) -> DataFrame:
     """Pairs (path1, path2, score) of files (path, content, block) left over, by similarity of contents or of paths.
 
     Only files of one block meet, and of those only whose lengths allow the score (2 min / (n1 + n2)
     bounds it).  The best candidate of each file of either side counts, so that a file may be in
-    several pairs; of equal scores the first path wins.
+    several pairs; of equal scores the first path wins.  ``modified1`` and ``modified2`` are the files of
+    either side that are mapped already: a file without a candidate by content is compared with those
+    of the other side, and its best one over ``least_mapped`` is a pair too.
     """
     ship(removed.sparkSession)
-    a = removed.select(F.col(block), F.col("path").alias("path1"), F.col("content").alias("c1"))
-    b = added.select(F.col(block), F.col("path").alias("path2"), F.col("content").alias("c2"))
-    n1, n2 = F.length("c1"), F.length("c2")
+    side = lambda d, n: d.select(F.col(block), F.col("path").alias(f"path{n}"), F.col("content").alias(f"c{n}"))
+    a, b = side(removed, 1), side(added, 2)
+
+    def alike(d: DataFrame, x: str, y: str, bound: float) -> DataFrame:
+        return d.filter(2 * F.least(F.length(x), F.length(y)) >= bound * (F.length(x) + F.length(y))).select("path1", "path2", ratio(x, y).alias("score"))
+
     d = a.join(b, block)
-    by_content = d.filter(2 * F.least(n1, n2) >= least * (n1 + n2)).select("path1", "path2", ratio("c1", "c2").alias("score")).filter(F.col("score") >= least)
-    by_path = d.filter(2 * F.least(F.length("path1"), F.length("path2")) >= least_path * (F.length("path1") + F.length("path2"))).select("path1", "path2", ratio("path1", "path2").alias("score")).filter(F.col("score") >= least_path)
+    by_content = alike(d, "c1", "c2", least).filter(F.col("score") >= least)
+    mapped = modified1 is not None or modified2 is not None
+    if mapped:
+        by_content = stored(by_content, "rescued")
+    by_path = alike(d, "path1", "path2", least_path).filter(F.col("score") >= least_path)
     found = by_content.unionByName(by_path).groupBy("path1", "path2").agg(F.max("score").alias("score"))
     best = lambda side, other: F.row_number().over(W.partitionBy(side).orderBy(F.desc("score"), other))
-    return found.withColumn("b1", best("path1", "path2")).withColumn("b2", best("path2", "path1")).filter("b1 = 1 or b2 = 1").drop("b1", "b2")
+    out = found.withColumn("b1", best("path1", "path2")).withColumn("b2", best("path2", "path1")).filter("b1 = 1 or b2 = 1").drop("b1", "b2")
+    if not mapped:
+        return out
+    for lone, other, n, m in ((a, modified2, 1, 2), (b, modified1, 2, 1)):
+        if other is not None:
+            lone = lone.join(by_content.select(f"path{n}").distinct(), f"path{n}", "left_anti")
+            more = alike(lone.join(side(other, m), block), "c1", "c2", least_mapped).filter(F.col("score") > least_mapped)
+            more = more.withColumn("r", best(f"path{n}", f"path{m}")).filter("r = 1").select("path1", "path2", "score")
+            out = out.unionByName(more)
+    return out

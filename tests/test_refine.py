@@ -35,3 +35,19 @@ def test_ontology():
     <owl:ObjectProperty rdf:about="http://x/o#p"><rdfs:subPropertyOf rdf:resource="http://x/o#q"/></owl:ObjectProperty></rdf:RDF>"""
     o, labels = read_ontology([text])
     assert o.members("C") == ["A", "B", "C"] and o.narrower("q") == ["p", "q"] and labels == [("A", "a")]
+
+
+def test_rescue_against_mapped_files(spark):
+    text = "the quick brown fox jumps over the lazy dog"
+    a = [("p/part.c", text + "s", "x"), ("p/pair.c", text + "!", "y"), ("p/far.c", "nothing alike in here", "x"), ("p/else.c", text, "z")]
+    b = [("q/mine.c", text[::-1], "x"), ("q/pair.c", text + "?", "y")]
+    modified1 = [("m/left.c", text[::-1] + "s", "x"), ("m/worse.c", text[::-1] + "sss", "x")]
+    modified2 = [("m/right.c", text, "x"), ("m/pair.c", text + "!", "y"), ("m/less.c", text[:-12], "x")]
+    table = lambda rows: spark.createDataFrame(rows, "path string, content string, block string")
+    got = {(r["path1"], r["path2"]): r["score"] for r in refine.rescue(table(a), table(b), "block", modified1=table(modified1), modified2=table(modified2)).collect()}
+    score = lambda x, y: round(difflib.SequenceMatcher(None, x, y).ratio(), 6)
+    # p/pair.c has a candidate by content, so that m/pair.c, though equal, isn't asked; nothing of another block is.
+    want = {("p/part.c", "m/right.c"): score(text + "s", text), ("m/left.c", "q/mine.c"): score(text[::-1] + "s", text[::-1]), ("p/pair.c", "q/pair.c"): score(text + "!", text + "?")}
+    assert got == want
+    plain = {(r["path1"], r["path2"]) for r in refine.rescue(table(a), table(b), "block").collect()}
+    assert plain == {("p/pair.c", "q/pair.c")}
