@@ -1,16 +1,18 @@
 """Pairing the files of two versions: unmodified, moved, renamed, copied, glued, modified, added, removed.
 
 Passes are equi-joins by content digest, by path and by name; what a pass has paired leaves the pool
-by an anti-join.  Groups are counted before they are joined, so that only groups of one file on each
-side, or names within a digest, meet: no pass joins all copies of a content with each other.
+by an anti-join.  Groups are counted before they are joined: no pass joins all copies of a content with
+each other.  Only the files of one name that no earlier pass has paired are all compared.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+import pandas as pd
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from ..functions.text import path_key
-from ..session import stored
+from ..session import ship, stored
+from .alignments import dissimilarity
 
 #: Columns of a version's files.
 FILE = ["path", "dir", "name", "digest"]
@@ -77,11 +79,31 @@ def by_path(left: DataFrame, right: DataFrame) -> DataFrame:
     return _pairs(_side(a, 1, "key").join(_side(b, 2, "key"), "key").filter("digest1 <> digest2"), "modified")
 
 
+@F.pandas_udf(T.DoubleType())
+def _dissimilarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([dissimilarity(x.encode(), y.encode()) for x, y in zip(a, b)], dtype="float64")
+
+
 def by_name(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Equal names (case aside) with other contents, one file on each side: modified."""
-    a = _counted(left.withColumn("key", F.lower("name")), ["key"], 1).filter("n1 = 1")
-    b = _counted(right.withColumn("key", F.lower("name")), ["key"], 2).filter("n2 = 1")
-    return _pairs(_side(a, 1, "key").join(_side(b, 2, "key"), "key").filter("digest1 <> digest2"), "modified")
+    """Equal names (case aside) with other contents: modified.
+
+    One file on each side is a pair.  Of several, those are whose paths are the least dissimilar for
+    both sides (of equal ones, the first path), and then what is left over, if it is one on each side.
+    All paths of such a name are compared: that work grows with the product of its files.
+    """
+    ship(left.sparkSession)
+    a = _side(_counted(left.withColumn("key", F.lower("name")), ["key"], 1), 1, "key", "n1")
+    b = _side(_counted(right.withColumn("key", F.lower("name")), ["key"], 2), 2, "key", "n2")
+    differ = F.col("digest1") != F.col("digest2")
+    ones = a.filter("n1 = 1").join(b.filter("n2 = 1"), "key").filter(differ)
+    c = a.join(b, "key").filter("n1 > 1 or n2 > 1").repartition("path1", "path2")
+    c = stored(c.select("key", "path1", "path2", "digest1", "digest2", _dissimilarity("path1", "path2").alias("score")), "names")
+    best1 = c.groupBy("path1").agg(F.min(F.struct("score", "path2")).alias("m")).select("path1", F.col("m.path2").alias("path2"))
+    best2 = c.groupBy("path2").agg(F.min(F.struct("score", "path1")).alias("m")).select("path2", F.col("m.path1").alias("path1"))
+    mutual = stored(c.filter(differ).select("key", "path1", "path2").join(best1, ["path1", "path2"]).join(best2, ["path1", "path2"]), "names")
+    rest = c.join(mutual.select("path1"), "path1", "left_anti").join(mutual.select("path2"), "path2", "left_anti")
+    one = rest.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("path1").alias("path1"), F.min("path2").alias("path2"), F.min("digest1").alias("digest1"), F.min("digest2").alias("digest2")).filter("k = 1").filter(differ)
+    return _pairs(ones, "modified").unionByName(_pairs(mutual, "modified")).unionByName(_pairs(one, "modified"))
 
 
 def rename_patterns(pairs: DataFrame, most_parts: int = 64) -> DataFrame:
