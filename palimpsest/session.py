@@ -8,26 +8,46 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = os.path.dirname(os.path.abspath(__file__))
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` as a full URI of the store that it lies in, the same for Spark and for code outside it.
+
+    A path without a scheme is one of the default file system (``fs.defaultFS``), not of the local
+    disk; a mount (viewfs) is followed to what is behind it.  The folder is made if it isn't there.
+    """
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(conf)
+    fs.mkdirs(p)
+    return fs.resolvePath(p).toString().rstrip("/")
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as set in ``spark.checkpoint.dir``.
+    """The folder that driver and executors share, as set in ``spark.checkpoint.dir``, as a full URI.
 
     Only where that is unset, as in local tests, a temporary folder takes its place.
     """
     sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_palimpsest_root", None)
+    asked = sc.getConf().get("spark.checkpoint.dir")
+    known = getattr(sc, "_palimpsest_root", None)
+    if known and known[0] == asked:
+        return known[1]
+    root = asked
     if not root:
         if not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="palimpsest-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        root = sc._palimpsest_root = f"file://{folder}"
-    return root.rstrip("/")
+        root = f"file://{folder}"
+    sc._palimpsest_root = asked, qualified(spark, root)
+    return sc._palimpsest_root[1]
 
 
 def scratch(spark: SparkSession, what: str) -> str:
@@ -43,6 +63,21 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """Everything that scratch() names inside goes to one folder, which is removed at the end: write results elsewhere first."""
+    sc = spark.sparkContext
+    root, before = shared_root(spark), getattr(sc, "_palimpsest_root", None)
+    folder = qualified(spark, f"{root}/run-{uuid.uuid4().hex}")
+    sc._palimpsest_root = before[0], folder
+    try:
+        yield folder
+    finally:
+        sc._palimpsest_root = before
+        p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once for an application."""
     sc = spark.sparkContext
