@@ -9,6 +9,7 @@ from functools import wraps
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
 import pyarrow.fs as pafs
 
 #: Bytes of text that a kernel handles at once (a longer text is handled alone).
@@ -46,11 +47,30 @@ def chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK) -> Iterator[pa.
         i = j
 
 
-def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    """File system and path of a URI (or of an absolute local path)."""
-    if uri.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    if "://" not in uri:
-        return pafs.LocalFileSystem(), uri
-    return pafs.FileSystem.from_uri(uri)
+#: Schemes that Spark and the kernels' file systems call by different names.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
 
+def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a full URI.
+
+    A path without a scheme is refused: Spark takes it from ``fs.defaultFS``, code outside Spark from
+    the local disk.  ``shared.qualified`` makes it a URI.  So is a scheme that this code can't open.
+    """
+    scheme, colon, rest = uri.partition(":")
+    if not colon or "/" in scheme:
+        raise ValueError(f"{uri} has no scheme, so that it isn't clear in which store it lies")
+    if scheme == "file":
+        return pafs.LocalFileSystem(), "/" + rest.lstrip("/")
+    try:
+        return pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
+    except (pa.ArrowInvalid, NotImplementedError) as e:
+        raise ValueError(f"executors can't open {scheme}: ({uri}); set spark.checkpoint.dir to a folder in a store that they can") from e
+
+
+def rows_at(folder: str, what: str, columns: list[str] | None = None) -> list[dict]:
+    """Rows of the Parquet files in a folder; that it is missing is an error."""
+    fs, root = filesystem(folder)
+    if fs.get_file_info(root).type != pafs.FileType.Directory:
+        raise FileNotFoundError(f"no {what} in {folder}")
+    return ds.dataset(root, filesystem=fs, format="parquet").to_table(columns=columns).to_pylist()

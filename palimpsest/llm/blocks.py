@@ -14,22 +14,24 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.dataset as ds
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .batches import chunks, column, filesystem, lean
+from .batches import chunks, column, lean, rows_at
 from .shared import scratch, ship, stored
 
 #: Bytes of text in a block, and of all texts for one bucket of keys.
 BLOCK_BYTES = 2 << 20
 BUCKET_BYTES = 16 << 20
 LEAST_BUCKETS = 64
+#: Blocks of a part whose answers are stored, and read, together.
+STRETCH = 16
 
 
 def write_blocks(docs: DataFrame, text_col: str) -> DataFrame:
     """(part, block, bytes, rows): blocks of rows of ``docs``, each within one row of the written table."""
     ship(docs.sparkSession)
+    most = BLOCK_BYTES
     schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("bytes", T.LongType()), T.StructField("rows", T.ArrayType(docs.schema))])
 
     @lean
@@ -45,10 +47,10 @@ def write_blocks(docs: DataFrame, text_col: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([size], pa.int64()), lists], names=schema.names)
 
         for batch in batches:
-            for piece in chunks(batch, text_col, BLOCK_BYTES // 4):
+            for piece in chunks(batch, text_col, most // 4):
                 held.append(piece)
                 size += column(piece, text_col).nbytes
-                if size >= BLOCK_BYTES:
+                if size >= most:
                     yield flush()
                     held, size, block = [], 0, block + 1
         if held:
@@ -74,14 +76,39 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)) % np.uint64(buckets)
 
 
-ASKED = "bucket int, part int, block int, keys binary, often binary"
+ASKED = "bucket int, part int, block int, wide boolean, keys binary, often binary"
 
 
-def ask(part: int, block: int, keys: np.ndarray, often: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Rows of ASKED for the distinct, ascending ``keys`` of a block; ``often``: those with two occurrences in it."""
-    b = _bucket(keys, buckets)
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys, place of each key among them, how often each is there); keys of two halves are rows of two.
+
+    Sorted by their first halves alone, and by both only where first halves are equal and second ones are not.
+    """
+    if keys.ndim == 1:
+        return np.unique(keys, return_inverse=True, return_counts=True)
+    order = np.argsort(keys[:, 0], kind="stable")
+    for again in (False, True):
+        k = keys[order]
+        near = k[1:, 0] == k[:-1, 0]
+        new = np.concatenate([np.ones(min(1, len(k)), bool), ~near | (k[1:, 1] != k[:-1, 1])])
+        if again or not (near & new[1:]).any():
+            break
+        order = np.lexsort((keys[:, 1], keys[:, 0]))
+    at = np.empty(len(keys), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return k[new], at, np.diff(np.append(np.flatnonzero(new), len(k)))
+
+
+def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the keys by bucket, cuts between buckets)."""
+    b = _bucket(keys if keys.ndim == 1 else keys[:, 0], buckets)
     order = np.argsort(b, kind="stable")
-    cuts = np.searchsorted(b[order], np.arange(buckets + 1, dtype=np.uint64))
+    return order, np.searchsorted(b[order], np.arange(buckets + 1, dtype=np.uint64))
+
+
+def ask(part: int, block: int, keys: np.ndarray, often: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Rows of ASKED for the distinct keys of a block; ``often``: those with two occurrences in it."""
+    order, cuts = _dealt(keys, buckets)
     used = np.flatnonzero(np.diff(cuts))
     raw, flags = [], []
     for k in used.tolist():
@@ -89,50 +116,49 @@ def ask(part: int, block: int, keys: np.ndarray, often: np.ndarray, buckets: int
         raw.append(keys[at].tobytes())
         flags.append(np.packbits(often[at]).tobytes())
     n = len(used)
-    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(np.full(n, part), pa.int32()), pa.array(np.full(n, block), pa.int32()), pa.array(raw, pa.binary()), pa.array(flags, pa.binary())], names=["bucket", "part", "block", "keys", "often"])
+    kinds = pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()
+    columns = used, np.full(n, part), np.full(n, block), np.full(n, keys.ndim > 1), raw, flags
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["bucket", "part", "block", "wide", "keys", "often"])
 
 
 def _answer(asked: pa.Table) -> pa.Table:
-    keys = [np.frombuffer(x, np.uint64) for x in asked["keys"].to_pylist()]
+    shape = (-1, 2) if asked["wide"][0].as_py() else -1  # all of a bucket are of one kind
+    keys = [np.frombuffer(x, np.uint64).reshape(shape) for x in asked["keys"].to_pylist()]
     often = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)).astype(bool) for x, k in zip(asked["often"].to_pylist(), keys)]
-    every, flags = np.concatenate(keys), np.concatenate(often)
-    order = np.argsort(every, kind="stable")
-    same = np.concatenate([[False], every[order][1:] == every[order][:-1], [False]])
-    shared = np.empty(len(every), bool)
-    shared[order] = same[1:] | same[:-1]
-    shared |= flags
+    _, at, counts = distinct(np.concatenate(keys))
     # A key that is often in one block, but in no other, is flagged there; in two blocks all have it.
+    shared = (counts > 1)[at] | np.concatenate(often)
     cuts = np.cumsum([0, *map(len, keys)])
     bits = [np.packbits(shared[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
     return pa.table({"part": asked["part"], "block": asked["block"], "bucket": asked["bucket"], "bits": pa.array(bits, pa.binary())})
 
 
-def answer(asked: DataFrame) -> str:
-    """Path of the stored answers: which keys occur twice or more in all blocks together."""
+def answer(asked: DataFrame) -> tuple[str, int]:
+    """Path of the stored answers, and blocks of a stretch: which keys occur twice or more in all blocks together."""
     got = asked.groupBy("bucket").applyInArrow(_answer, "part int, block int, bucket int, bits binary")
+    got = got.withColumn("stretch", F.floor(F.col("block") / STRETCH).cast("int"))
     path = scratch(asked.sparkSession, "answers")
-    got.repartition("part").write.option("compression", "zstd").partitionBy("part").parquet(path)
-    return path
+    got.repartition("part", "stretch").write.option("compression", "zstd").partitionBy("part", "stretch").parquet(path)
+    return path, STRETCH
 
 
 @lru_cache(4)
-def _answers_of(path: str, part: int) -> dict[int, dict[int, bytes]]:
-    fs, root = filesystem(f"{path}/part={part}")
+def _answers_of(path: str, part: int, stretch: int) -> dict[int, dict[int, bytes]]:
     out: dict[int, dict[int, bytes]] = {}
-    if fs.get_file_info(root).type.name == "Directory":
-        for r in ds.dataset(root, filesystem=fs, format="parquet").to_table(columns=["block", "bucket", "bits"]).to_pylist():
-            out.setdefault(r["block"], {})[r["bucket"]] = r["bits"]
+    for r in rows_at(f"{path}/part={part}/stretch={stretch}", "answers", ["block", "bucket", "bits"]):
+        out.setdefault(r["block"], {})[r["bucket"]] = r["bits"]
     return out
 
 
-def answered(path: str, part: int, block: int, keys: np.ndarray, buckets: int) -> np.ndarray:
-    """For the keys asked for, in the same order: whether they occur twice or more."""
-    got = _answers_of(path, part).get(block, {})
-    b = _bucket(keys, buckets)
-    order = np.argsort(b, kind="stable")
-    cuts = np.searchsorted(b[order], np.arange(buckets + 1, dtype=np.uint64))
+def answered(found: tuple[str, int], part: int, block: int, keys: np.ndarray, buckets: int) -> np.ndarray:
+    """For the keys asked for, in the same order: whether they occur twice or more.  A missing answer is an error."""
     out = np.zeros(len(keys), bool)
+    if not len(keys):
+        return out
+    path, stretch = found
+    got = _answers_of(path, part, block // stretch)[block]
+    order, cuts = _dealt(keys, buckets)
     for k in np.flatnonzero(np.diff(cuts)).tolist():
         n = int(cuts[k + 1] - cuts[k])
-        out[order[cuts[k] : cuts[k + 1]]] = np.unpackbits(np.frombuffer(got[k], np.uint8), count=n).astype(bool)  # a missing answer is an error
+        out[order[cuts[k] : cuts[k + 1]]] = np.unpackbits(np.frombuffer(got[k], np.uint8), count=n).astype(bool)
     return out

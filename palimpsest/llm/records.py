@@ -11,6 +11,8 @@ the job returns, says which of them count: a lost or repeated task leaves no tra
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 import zlib
 from functools import lru_cache
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .batches import chunks, column, filesystem, lean
 from .bpe import ByPiece, Ragged, spread
-from .shared import scratch, ship, stored
+from .shared import qualified, scratch, ship, stored
 from .words import utf8
 
 POLYNOMIAL = 0x82F63B78  # CRC-32C, bits reversed
@@ -30,6 +32,8 @@ MASK_DELTA = 0xA282EAD8
 BLOCK = 256
 #: Bytes of text encoded at once, and pieces that a worker keeps: beside the sort of texts there is little room.
 CHUNK, PIECES = 1 << 20, 1 << 19
+#: Bytes of text for one file, and files at most (then they grow).
+FILE_BYTES, MOST_FILES = 12 << 20, 100_000
 NULL_ID = -(1 << 63)
 SCHEMA = "part int, path string, index_path string, width int, n_records long, n_tokens long"
 
@@ -136,7 +140,6 @@ def _library(path: str) -> ByPiece:
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
     vocabulary = t.get_vocab()
     n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
     n_bytes[list(vocabulary.values())] = [len(x) for x in vocabulary]  # one character stands for a byte
@@ -173,9 +176,60 @@ def _library(path: str) -> ByPiece:
     return ByPiece(encode, PIECES)
 
 
+@lru_cache(2)
+def _added(path: str) -> tuple[re.Pattern | None, dict[bytes, int]]:
+    """A pattern of the strings that the library takes out of a text before anything else, and their ids."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)
+    known = model.get("added_tokens") or []
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in known) or model.get("normalizer"):
+        raise ValueError("added tokens that take spaces or whole words only, and normalizers, are not supported")
+    ids = {t["content"].encode("utf-8"): t["id"] for t in known}
+    longest_first = sorted(ids, key=len, reverse=True)
+    return (re.compile(b"|".join(map(re.escape, longest_first))) if ids else None), ids
+
+
+def encode_texts(path: str, data: np.ndarray, offsets: np.ndarray) -> Ragged:
+    """Ids of each text as by the library without its post-processing; strings of added tokens in a text get their ids."""
+    pattern, known = _added(path)
+    by_piece = _library(path)
+    found: list[tuple[int, int, int]] = []  # (start, end, id)
+    raw = data.tobytes()
+    if pattern and pattern.search(raw):
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            found += [(m.start(), m.end(), known[m.group()]) for m in pattern.finditer(raw, a, b)]
+    if not found:
+        return by_piece.encode(data, offsets)[0]
+    # Texts are cut at both ends of each such string; the parts are encoded by themselves, as the library does.
+    at = np.array(found, np.int64)
+    cuts = np.sort(np.concatenate([offsets, at[:, 0], at[:, 1]]), kind="stable")
+    parts = by_piece.encode(data, cuts)[0]
+    counts, values = np.diff(parts.offsets), parts.values
+    # Of parts that begin there the last isn't empty: it is the string itself.
+    special = np.searchsorted(cuts, at[:, 0], "right") - 1
+    keep = np.ones(len(values), bool)
+    keep[spread(parts.offsets[special], counts[special])] = False
+    new = counts.copy()
+    new[special] = 1
+    out_at = np.concatenate([[0], np.cumsum(new)])
+    out = np.empty(out_at[-1], np.uint32)
+    plain = counts.copy()
+    plain[special] = 0
+    out[spread(out_at[:-1], plain)] = values[keep]
+    out[out_at[special]] = at[:, 2]
+    # Where a text begins: the first part of those that begin there which comes after the text in front.
+    ends = np.searchsorted(cuts, offsets, "left")
+    first = out_at[ends]
+    first[-1] = out_at[-1]
+    return Ragged(out, first)
+
+
 def write_token_files(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 2, width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode all texts, add ``end_id`` to each, and write record files in ascending order of ids; returns the manifest.
 
+    Ids are those of the library with its own settings: the string of a special token in a text gets
+    that token's id.  An id that doesn't fit into ``width`` bytes is an error.
+
     A null text counts as empty: it has the end id alone.  Null ids come first; rows with one id
     follow one another in the order of their texts' hashes.  ``width``: bytes of an id in the files.
     """
@@ -183,24 +237,25 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out: str, end_id: in
 
     spark = docs.sparkSession
     ship(spark)
+    out, most = qualified(spark, out), CHUNK
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     keys = ["doc_id", F.xxhash64("text")]
-    d = d.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    size = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    d = d.repartitionByRange(min(MOST_FILES, size // FILE_BYTES + 1), *keys).sortWithinPartitions(*keys)
 
     @lean
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        by_piece = _library(tokenizer_path)
         fs, folder = filesystem(out)
         fs.create_dir(folder, recursive=True)
         part = TaskContext.get().partitionId()
         name = f"{folder}/tokens-{part:06d}-{uuid.uuid4().hex[:12]}"
         index, n_tokens, at, sink = [], 0, 0, None
         for batch in batches:
-            for piece in chunks(batch, "text", CHUNK):
+            for piece in chunks(batch, "text", most):
                 if sink is None:
                     sink = fs.open_output_stream(f"{name}.records")
-                ids = by_piece.encode(*utf8(column(piece, "text")))[0]
+                ids = encode_texts(tokenizer_path, *utf8(column(piece, "text")))
                 counts = np.diff(ids.offsets)
                 offsets = np.concatenate([[0], np.cumsum(counts + 1)])
                 values = np.full(offsets[-1], end_id, np.uint32)

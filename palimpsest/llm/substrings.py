@@ -9,7 +9,7 @@ on which words its making depended.
 
 A window of words that occurs twice holds, wherever it lies in full, the same symbols.  Spark counts
 for each window the widest symbol that depends on its words alone; windows whose symbol occurs once
-are unique, and only the others are hashed, counted and so verified.
+are unique, and only the others are verified: counted by 128 bits of hashes of all their words.
 """
 
 from __future__ import annotations
@@ -21,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .batches import column, lean
-from .blocks import ASKED, answer, answered, ask, n_buckets, rows_of, write_blocks
+from .blocks import ASKED, answer, answered, ask, distinct, n_buckets, rows_of, write_blocks
 from .shared import free_name
 from .words import hash_slices, join_hashes, mix64, split, utf8, windows
 
 WIDTH = 35
 ROUNDS = 4
+SECOND = 0x5851F42D4C957F2D  # seed of the second hash of words and windows
 
 
 class Symbols:
@@ -147,7 +148,11 @@ class Block:
         return np.flatnonzero(ok)
 
     def hashed(self, where: np.ndarray) -> np.ndarray:
-        return windows(self.keys, self.first, self.width)[0][where]
+        """128 bits of the windows that start there: two hashes of their words, each from hashes of its own."""
+        if not len(where):
+            return np.zeros((0, 2), np.uint64)
+        other = hash_slices(self.data, self.starts, self.ends, SECOND)
+        return np.stack([windows(k, self.first, self.width, seed)[0][where] for k, seed in ((self.keys, 0), (other, SECOND))], 1)
 
     def covered(self, where: np.ndarray) -> np.ndarray:
         """Words in the windows that start there."""
@@ -199,15 +204,14 @@ def repeated_windows(docs: DataFrame, text_col: str = "text", width: int = WIDTH
     @lean
     def ask_windows(batches):
         for part, number, _, b in _blocks_of(batches, text_col, width):
-            keys, counts = np.unique(b.hashed(doubtful(part, number, b)), return_counts=True)
+            keys, _, counts = distinct(b.hashed(doubtful(part, number, b)))
             yield ask(part, number, keys, counts > 1, buckets)
 
     found = answer(blocks.mapInArrow(ask_windows, ASKED))
 
     def mark(part: int, number: int, b: Block) -> np.ndarray:
         where = doubtful(part, number, b)
-        hashes = b.hashed(where)
-        keys, inverse = np.unique(hashes, return_inverse=True)
+        keys, inverse, _ = distinct(b.hashed(where))
         return b.covered(where[answered(found, part, number, keys, buckets)[inverse]])
 
     return blocks, mark

@@ -2,6 +2,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -10,6 +11,7 @@ from tokenizers import Tokenizer
 from palimpsest.llm import records
 from palimpsest.llm.bpe import Ragged
 from palimpsest.llm.shared import scratch
+from palimpsest.llm.words import utf8
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -52,7 +54,6 @@ def test_frames_and_damage():
 
 def test_against_the_library(docs, rows, spark):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     out = sorted(records.token_files(docs, PATH).collect(), key=lambda r: (r["part"], r["place"]))
     start = 0
     assert [r["doc_id"] for r in out] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i))
@@ -66,6 +67,41 @@ def test_against_the_library(docs, rows, spark):
     assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in out) == want
 
 
+SPECIAL = "<|endoftext|>"
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([SPECIAL, "<|endof", "text|>", " ", "\n", "a", " don't", "été", "<", "12"]), max_size=9).map("".join), min_size=1, max_size=6))
+def test_special_tokens_in_texts(texts):
+    """At the head, the end, doubled, inside words, and cut in two by the end of a text."""
+    t = Tokenizer.from_file(PATH)
+    got = records.encode_texts(PATH, *utf8(pa.array(texts)))
+    assert [got.values[a:b].tolist() for a, b in zip(got.offsets[:-1], got.offsets[1:])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_special_tokens_in_files(spark):
+    texts = [SPECIAL, f"a {SPECIAL} b", f"{SPECIAL}{SPECIAL}x", f"word{SPECIAL}word", "", None, f"end{SPECIAL}"]
+    t = Tokenizer.from_file(PATH)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in records.token_files(df, PATH).collect()}
+    for i, x in enumerate(texts):
+        ids = np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4")
+        assert got[i] == (len(ids), zlib.crc32(ids.tobytes()))
+
+
+def test_chunks_and_stretches(spark, monkeypatch):
+    """Texts far beyond what is encoded and read at once."""
+    monkeypatch.setattr(records, "CHUNK", 512)
+    t = Tokenizer.from_file(PATH)
+    texts = ["word été " * 4000, "x" * 30_000, "short", None] + [f"some text {i} {SPECIAL}" * 50 for i in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    manifest = records.write_token_files(df, PATH, scratch(spark, "tokens"))
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in records.read_token_files(manifest, 2000).collect()}
+    for i, x in enumerate(texts):
+        ids = np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4")
+        assert got[i] == (len(ids), zlib.crc32(ids.tobytes()))
+
+
 def test_shuffled_reads(docs, spark):
     manifest = records.write_token_files(docs, PATH, scratch(spark, "tokens"))
     rows = {(r["part"], r["place"]): r for r in records.read_token_files(manifest).collect()}

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -6,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 
-from palimpsest.llm import substrings
+from palimpsest.llm import blocks, substrings
 from palimpsest.llm.words import hash_slices, split, utf8, windows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -32,6 +33,30 @@ def test_against_brute_force(docs, rows):
     assert sum(n for _, n, *_ in out) > sum(k for *_, k, _ in out) > 1000
 
 
+def test_across_blocks_and_buckets(spark, monkeypatch):
+    """Texts beyond a block, several blocks a partition and several stretches of answers."""
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(blocks, "BUCKET_BYTES", 5000)
+    monkeypatch.setattr(blocks, "STRETCH", 2)
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(300)]
+    passage = rng.choices(vocabulary, k=60)
+    texts = [" ".join(rng.choices(vocabulary, k=rng.choice([20, 60, 300, 3000])) + passage * (i % 3 == 0)) for i in range(90)]
+    texts += [texts[4], texts[5][100:], None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    out = substrings.dedup_substrings(df, digest=True).collect()
+    want = Counter((i, n, k, hashlib.sha256(t.encode()).hexdigest()) for i, (n, k, t) in enumerate(brute(texts, 35)))
+    assert Counter(tuple(r) for r in out) == want
+
+
+def test_distinct_keys():
+    rng = np.random.default_rng(6)
+    for keys in (rng.integers(0, 9, (300, 2)).astype(np.uint64), np.stack([np.arange(200) % 70, np.arange(200) % 70], 1).astype(np.uint64), np.zeros((0, 2), np.uint64)):
+        unique, at, counts = blocks.distinct(keys)
+        want = Counter(map(tuple, keys.tolist()))
+        assert dict(zip(map(tuple, unique.tolist()), counts.tolist())) == want and (unique[at] == keys).all()
+
+
 def test_texts_and_clashing_columns(docs, rows, empty):
     out = substrings.dedup_substrings(docs)
     assert out.columns == [*docs.columns, "n_words_", "n_removed"]
