@@ -50,30 +50,36 @@ def _contract(batches):
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    # A node that is the smallest of its links keeps them, which needs no join.
+    kept = both.filter("v > u").join(stored(least.filter("m < u"), "links-least"), "u", "left")
+    return kept.select(F.col("v").alias("u"), F.coalesce("m", "u").alias("v"))
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = stored(down.groupBy("u").agg(F.min("v").alias("m")), "links-least")
     moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    return moved.unionByName(least.select("u", F.col("m").alias("v")))
+
+
+def _is_done(e: DataFrame) -> bool:
+    """Every node has one link, or it is where others' links end; then those are the roots."""
+    ends = e.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    ends = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return not ends.filter((F.col("out") + F.col("into") > 1)).head(1)
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (u, v) that isn't the smallest of its component.
 
     Links of a node with itself don't count.  First every task contracts what it has; then large and
-    small stars alternate, each round written to the shared folder, until nothing changes.
+    small stars alternate, each round contracted within its tasks and written to the shared folder,
+    until every node's only link is to its root.
     """
     ship(links.sparkSession)
     e = links.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).filter("u <> v")
-    e = stored(e.mapInArrow(_contract, "u long, v long"), "links")
-    mark = F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")
-    before = None
-    while True:
-        now = tuple(e.agg(*mark).first())
-        if now == before or not now[0]:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
-        e = stored(_small_star(_large_star(e)), "links")
+    contracted = lambda x: stored(x.mapInArrow(_contract, "u long, v long"), "links")
+    e = contracted(e)
+    while not _is_done(e):
+        e = contracted(_small_star(stored(_large_star(e).distinct(), "links")).distinct())
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))

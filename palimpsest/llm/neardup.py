@@ -2,28 +2,36 @@
 
 A document is the set of its 5-word shingles.  Its signature has SYMBOLS b-bit minima, and similar
 sets have signatures at a small Hamming distance: of two with similarity 0.85, one in 10^5 pairs
-differs in more than RADIUS symbols (with 0.8, one in 10^3; by binomial estimate 2 in 10^6 share no key).  The signature is cut into CHUNKS chunks.  If two signatures
-differ in at most RADIUS = 2 * CHUNKS - 1 symbols, then in some chunk they differ in at most one
-(pigeonhole); so for each chunk and each of its symbols a key of the others is made, and any pair
-within RADIUS shares a key.  Keys join sets into candidate groups, and within those all pairs are
-confirmed on the full sets, by matrix products over blocks of the group; what leaves a task is
-a forest of links, never pairs.
-
-Equal sets are one class, found by a 128-bit hash.  A key that many classes share is reduced where
-it arises: a task passes on each key once.
+differs in more than RADIUS symbols (with 0.8, one in 10^3).  The signature is cut into CHUNKS
+chunks.  If two signatures differ in at most RADIUS = 2 * CHUNKS - 1 symbols, then in some chunk they
+differ in at most one (pigeonhole); so for each chunk and each of its symbols a key of the others is
+made, and any pair within RADIUS shares a key.
+
+Of the keys those that two signatures have are found first; they make groups, and groups with the
+same members are one.  Within groups the signatures' distances are computed, and pairs over RADIUS
+are dropped.  What is left, closed transitively, are candidate groups, in which pairs are confirmed
+on the full sets, by matrix products.  What leaves a task is a forest of links, never pairs.
+
+Both kinds of groups are compared in cells of bounded size.  A group of several cells is first
+compared within each cell, one member, the lead, being in all of them.  Only members that this
+doesn't connect with the lead are then compared with the whole group, so that a large group of copies of
+one text costs its size, not its square.
+
+Equal sets are one class, found by a 128-bit hash.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.dataset as ds
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .batches import column, filesystem, lean
-from .blocks import rows_of, write_blocks
+from .batches import column, lean, rows_at
+from .blocks import ASKED, answer, answered, ask, distinct, rows_of, write_blocks
 from .bpe import Ragged, spread
 from .components import components, forest
 from .shared import scratch, ship, stored
@@ -33,12 +41,12 @@ SHINGLE = 5
 SIMILARITY = 85  # in hundredths; what op10's contract says, and the default
 SYMBOLS, CHUNKS = 50, 10
 RADIUS = 2 * CHUNKS - 1
-#: A block of a candidate group has about so many shingles, and documents, at most.
+#: A cell of a group has about so many shingles, and documents, at most.
 CELL_SHINGLES, CELL_SETS = 1 << 20, 1024
 #: Up to so many holders of a shingle, their pairs are counted one by one; above, by matrix products.
 SPARSE = 24
-#: Classes whose keys a task reduces together; and classes for one bucket of keys.
-FLUSH, CLASSES_A_BUCKET = 20_000, 20_000
+#: Classes in a block of signatures; and classes for one bucket of keys.
+PACK, CLASSES_A_BUCKET = 20_000, 20_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> Ragged:
@@ -101,65 +109,136 @@ def chunk_keys(sig: np.ndarray) -> np.ndarray:
     return out
 
 
-def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, a node of each; and links of the other nodes of a key to it."""
-    order = np.lexsort((nodes, keys))
-    k, x = keys[order], nodes[order]
-    head = np.concatenate([[True], k[1:] != k[:-1]])
-    lead = x[head][np.cumsum(head) - 1]
-    other = ~head & (x != lead)
-    return k[head], x[head], x[other], lead[other]
-
-
 def _edges(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
-def candidate_links(classes: DataFrame) -> DataFrame:
-    """Links (u, v) that connect all classes (node, sig) with a common key."""
-    n = classes.count()
-    buckets = max(64, -(-n // CLASSES_A_BUCKET))
+def _packed(classes: DataFrame) -> DataFrame:
+    """(part, block, nodes, sigs): the classes' signatures in stored blocks."""
+    most = PACK
 
     @lean
-    def spread_keys(batches):
-        held, size = [], 0
+    def pack(batches):
+        part, block, held = TaskContext.get().partitionId(), 0, []
 
         def flush():
-            sig = np.frombuffer(b"".join(x for b in held for x in column(b, "sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-            nodes = np.concatenate([column(b, "node").to_numpy() for b in held])
-            keys, lead, u, v = _stars(chunk_keys(sig).ravel(), np.repeat(nodes, SYMBOLS))
-            u, v = forest(u, v)
-            b = (mix64(keys) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(b, kind="stable")
-            cuts = np.searchsorted(b[order], np.arange(buckets + 1))
-            used = np.flatnonzero(np.diff(cuts))
-            parts = [order[cuts[i] : cuts[i + 1]] for i in used.tolist()]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([-1, *used.tolist()], pa.int32()), pa.array([u.tobytes(), *(keys[p].tobytes() for p in parts)], pa.binary()), pa.array([v.tobytes(), *(lead[p].tobytes() for p in parts)], pa.binary()),
-            ], names=["bucket", "keys", "nodes"])
+            nodes = b"".join(column(x, "node").to_numpy().tobytes() for x in held)
+            sigs = b"".join(y for x in held for y in column(x, "sig").to_pylist())
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([nodes], pa.binary()), pa.array([sigs], pa.binary())], names=["part", "block", "nodes", "sigs"])
 
         for batch in batches:
-            held.append(batch)
-            size += len(batch)
-            if size >= FLUSH:
-                yield from flush()
-                held, size = [], 0
+            for i in range(0, len(batch), most):
+                held.append(batch.slice(i, most))
+                if sum(map(len, held)) >= most:
+                    yield flush()
+                    held, block = [], block + 1
         if held:
-            yield from flush()
+            yield flush()
 
-    def meet(t: pa.Table) -> pa.Table:
-        keys = np.frombuffer(b"".join(t["keys"].to_pylist()), np.uint64)
-        nodes = np.frombuffer(b"".join(t["nodes"].to_pylist()), np.int64)
-        return pa.Table.from_batches([_edges(*forest(*_stars(keys, nodes)[2:]))])
+    return stored(classes.select("node", "sig").mapInArrow(pack, "part int, block int, nodes binary, sigs binary"), "dup-packed")
 
-    @lean
-    def local(batches):
+
+def shared_keys(classes: DataFrame) -> DataFrame:
+    """(key, node): the keys that two or more classes (node, sig) have, and those that have them."""
+    buckets = max(64, -(-classes.count() // CLASSES_A_BUCKET))
+    packed = _packed(classes)
+
+    def keys_of(batches):
         for batch in batches:
-            for u, v in zip(column(batch, "keys").to_pylist(), column(batch, "nodes").to_pylist()):
-                yield _edges(np.frombuffer(u, np.int64), np.frombuffer(v, np.int64))
+            for part, block, nodes, sigs in zip(*(column(batch, c).to_pylist() for c in ("part", "block", "nodes", "sigs"))):
+                keys = chunk_keys(np.frombuffer(sigs, np.uint16).reshape(-1, SYMBOLS)).ravel()
+                yield part, block, np.frombuffer(nodes, np.int64), keys, *distinct(keys)
+
+    @lean
+    def asks(batches):
+        for part, block, _, _, unique, _, counts in keys_of(batches):
+            yield ask(part, block, unique, counts > 1, buckets)
+
+    found = answer(packed.mapInArrow(asks, ASKED))
+
+    @lean
+    def holders(batches):
+        for part, block, nodes, keys, unique, at, _ in keys_of(batches):
+            k = np.flatnonzero(answered(found, part, block, unique, buckets)[at])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[k].view(np.int64)), pa.array(nodes[k // SYMBOLS])], names=["key", "node"])
+
+    return stored(packed.mapInArrow(holders, "key long, node long"), "dup-keys")
+
+
+def close_signatures(a: np.ndarray, b: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``a`` and of ``b`` (or both of ``a``) within RADIUS."""
+    other = a if b is None else b
+    if a.size * len(other) <= 1 << 16:
+        apart = (a[:, None, :] != other[None, :, :]).sum(2)
+    else:
+        apart = np.zeros((len(a), len(other)), np.uint8)
+        for k in range(SYMBOLS):
+            apart += a[:, k, None] != other[None, :, k]
+    ok = apart <= RADIUS
+    return np.nonzero(np.triu(ok, 1) if b is None else ok)
+
+
+def _close(a: list[bytes], b: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
+    both = [None if x is None else np.frombuffer(b"".join(x), np.uint16).reshape(-1, SYMBOLS) for x in (a, b)]
+    return close_signatures(*both)
+
+
+def _ragged(sets: list[bytes]) -> Ragged:
+    return Ragged(np.frombuffer(b"".join(sets), np.uint64), np.concatenate([[0], np.cumsum([len(x) // 8 for x in sets])]).astype(np.int64))
 
-    asked = stored(classes.select("node", "sig").mapInArrow(spread_keys, "bucket int, keys binary, nodes binary"), "dup-keys")
-    return asked.filter("bucket >= 0").groupBy("bucket").applyInArrow(meet, "u long, v long").unionByName(asked.filter("bucket < 0").mapInArrow(local, "u long, v long"))
+
+def _similar(hundredths: int):
+    return lambda a, b: linked(_ragged(a), None if b is None else _ragged(b), hundredths)
+
+
+def candidate_groups(classes: DataFrame) -> DataFrame:
+    """(node, root) of the classes (node, sig) that pairs within RADIUS connect with a smaller one."""
+    held = shared_keys(classes)
+    groups = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead"), F.bit_xor(F.xxhash64("node")).alias("x")).filter("n > 1")
+    groups = stored(groups.groupBy("n", "lead", "x").agg(F.min("key").alias("key")).select("key", "lead", F.ceil(F.col("n") / CELL_SETS).cast("int").alias("n_cells"), "n"), "dup-key-groups")
+    members = stored(held.join(groups, "key").withColumnRenamed("key", "grp"), "dup-key-members")
+
+    def send(m: DataFrame) -> DataFrame:
+        m = m.join(classes.select("node", F.col("sig").alias("payload")), "node")
+        return m.select("grp", F.explode("cells").alias("c"), "node", "payload").select("grp", "c.*", "node", "payload")
+
+    return connected(members, send, _close)
+
+
+def connected(members: DataFrame, send: Callable[[DataFrame], DataFrame], compare: Callable) -> DataFrame:
+    """(node, root): components of the links that ``compare`` finds between members of a group.
+
+    members: (grp, node, lead, n, n_cells, ...), lead being a node of the group, n the number of its
+    members.  send: of members with cells, an array of (i, j, side), to (grp, i, j, side, node,
+    payload), one row for each.  compare: two lists of payloads (or one) to the rows that link.
+    """
+    k = F.pmod(F.xxhash64("node"), F.col("n_cells")).cast("int")
+    cell = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
+    every = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
+    own = F.when(F.col("node") == F.col("lead"), every("n_cells", lambda x: cell(x, x, 0))).otherwise(F.array(cell(k, k, 0)))
+    kind = "u long, v long"
+
+    def compared(m: DataFrame, across: bool) -> DataFrame:
+        cells = send(m).repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+        return cells.mapInArrow(_confirm(compare, across), kind)
+
+    roots = components(compared(members.withColumn("cells", own), False))
+    large = members.filter("n_cells > 1")
+    if not large.head(1):
+        return roots
+    # Whatever hangs together with the lead is settled; the others of a group meet all of it.
+    large = stored(large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "dup-large")
+    leads = stored(large.filter("node = lead").select("grp", F.col("root").alias("lead_root")), "dup-leads")
+    large = large.join(leads, "grp").withColumn("apart", F.col("root") != F.col("lead_root"))
+    rest = stored(large.filter("apart").groupBy("grp").agg(F.count(F.lit(1)).alias("n_apart")), "dup-rest")
+    if not rest.head(1):
+        return roots
+    large = large.join(rest, "grp").withColumn("a_cells", F.ceil(F.col("n_apart") * F.col("n_cells") / F.col("n")).cast("int"))
+    a = F.pmod(F.xxhash64("node", F.lit(1)), F.col("a_cells")).cast("int")
+    other = every("a_cells", lambda x: cell(x, k, 1))
+    cells = F.when(F.col("apart"), F.concat(every("n_cells", lambda x: cell(a, x, 0)), other)).otherwise(other)
+    more = compared(large.withColumn("cells", cells), True)
+    return components(more.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
 
 
 def linked(a: Ragged, b: Ragged | None, hundredths: int = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
@@ -201,8 +280,8 @@ def linked(a: Ragged, b: Ragged | None, hundredths: int = SIMILARITY) -> tuple[n
     return np.nonzero(np.triu(ok, 1) if b is None else ok)
 
 
-def _confirm(similarity: int):
-    """Of rows (grp, i, j, side, node, shingles), sorted by cell: a forest of the links of each cell confirmed at that similarity."""
+def _confirm(compare: Callable, across: bool):
+    """Of rows (grp, i, j, side, node, payload), sorted by cell: a forest of the links of each cell."""
 
     @lean
     def run(batches):
@@ -210,30 +289,22 @@ def _confirm(similarity: int):
         links: list[tuple[np.ndarray, np.ndarray]] = []
 
         def close():
-            side = np.array([x[0] for x in held])
-            nodes = np.array([x[1] for x in held], np.int64)
-            parts = []
-            for s in (0, 1):
-                at = np.flatnonzero(side == s)
-                sets = [np.frombuffer(held[k][2], np.uint64) for k in at.tolist()]
-                parts.append((nodes[at], Ragged(np.concatenate(sets) if sets else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64))))
-            (u, a), (w, b) = parts
-            if cell[1] == cell[2]:
-                i, j = linked(a, None, similarity)
-                w = u
-            else:
-                i, j = linked(a, b, similarity)
+            sides = [[(x[1], x[2]) for x in held if x[0] == s] for s in (0, 1)]
+            if across and not (sides[0] and sides[1]) or not across and len(sides[0]) < 2:
+                return
+            u, w = (np.array([n for n, _ in side], np.int64) for side in sides)
+            i, j = compare([p for _, p in sides[0]], [p for _, p in sides[1]] if across else None)
             if len(i):
-                links.append(forest(u[i], w[j]))
+                links.append(forest(u[i], (w if across else u)[j]))
 
         for batch in batches:
-            columns = [column(batch, c).to_pylist() for c in ("grp", "i", "j", "side", "node", "shingles")]
-            for g, i, j, side, node, shingles in zip(*columns):
+            columns = [column(batch, c).to_pylist() for c in ("grp", "i", "j", "side", "node", "payload")]
+            for g, i, j, side, node, payload in zip(*columns):
                 if (g, i, j) != cell:
                     if held:
                         close()
                     held, cell = [], (g, i, j)
-                held.append((side, node, shingles))
+                held.append((side, node, payload))
             if sum(len(u) for u, _ in links) > 100_000:
                 yield _edges(*map(np.concatenate, zip(*links)))
                 links = []
@@ -248,16 +319,18 @@ def _confirm(similarity: int):
 @lru_cache(4)
 def _side(path: str, part: int) -> dict[int, list[dict]]:
     """Rows of a table stored by part, for one part, by block."""
-    fs, root = filesystem(f"{path}/part={part}")
     out: dict[int, list[dict]] = {}
-    if fs.get_file_info(root).type.name == "Directory":
-        for r in ds.dataset(root, filesystem=fs, format="parquet").to_table().to_pylist():
-            out.setdefault(r["block"], []).append(r)
+    for r in rows_at(f"{path}/part={part}", "rows"):
+        of_block = out.setdefault(r["block"], [])
+        if r["at"] >= 0:
+            of_block.append(r)
     return out
 
 
-def _by_part(df: DataFrame, what: str) -> str:
+def _by_part(df: DataFrame, blocks: DataFrame, what: str) -> str:
+    """Path of ``df`` (part, block, at, ...) stored by part; every block has a row (with ``at`` -1), so that a missing one is an error."""
     path = scratch(df.sparkSession, what)
+    df = df.unionByName(blocks.select("part", "block", F.lit(-1).alias("at")), allowMissingColumns=True)
     df.repartition("part").write.option("compression", "zstd").partitionBy("part").parquet(path)
     return path
 
@@ -292,38 +365,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     place = F.struct("part", "block", "at")
     classes = signed.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min(place).alias("place"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "dup-classes")
-    groups = components(candidate_links(classes))
+    groups = candidate_groups(classes)
     groups = stored(groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()), "dup-groups")
-    members = stored(classes.select("node", "place.*", "n").join(groups, "node"), "dup-members")
-    sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / CELL_SHINGLES), F.ceil(F.count(F.lit(1)) / CELL_SETS)).cast("int").alias("n_cells"))
-    side = _by_part(members.join(sizes, "root").select("part", "block", "at", "node", F.col("root").alias("grp"), "n_cells"), "dup-places")
-
-    @lean
-    def gather(batches):
-        for batch in batches:
-            for part, block, rows in rows_of(batch):
-                wanted = sorted(_side(side, part).get(block, []), key=lambda r: r["at"])
-                for k in range(0, len(wanted), 500):
-                    some = wanted[k : k + 500]
-                    sets = shingle_sets(*utf8(column(rows, text_col).take(pa.array([r["at"] for r in some]))))
-                    out: list[tuple] = []
-                    for x, r in enumerate(some):
-                        raw = sets.values[sets.offsets[x] : sets.offsets[x + 1]].tobytes()
-                        n = r["n_cells"]
-                        mine = int(mix64(np.array([r["node"]], np.uint64))[0] % np.uint64(n))
-                        for other in range(n):
-                            i, j = min(mine, other), max(mine, other)
-                            out.append((r["grp"], i, j, int(mine != i), r["node"], raw))
-                        if len(out) > 2000:
+    members = stored(classes.select("node", "place.*", F.col("n").alias("size")).join(groups, "node"), "dup-members")
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.greatest(F.ceil(F.sum("size") / CELL_SHINGLES), F.ceil(F.count(F.lit(1)) / CELL_SETS)).cast("int").alias("n_cells"))
+    members = members.join(stored(sizes, "dup-sizes"), "root").withColumnRenamed("root", "grp").withColumn("lead", F.col("grp"))
+
+    def send(m: DataFrame) -> DataFrame:
+        side = _by_part(m.select("part", "block", "at", "grp", "node", "cells"), blocks, "dup-places")
+
+        @lean
+        def gather(batches):
+            for batch in batches:
+                for part, block, rows in rows_of(batch):
+                    wanted = sorted(_side(side, part)[block], key=lambda r: r["at"])
+                    for k in range(0, len(wanted), 500):
+                        some = wanted[k : k + 500]
+                        sets = shingle_sets(*utf8(column(rows, text_col).take(pa.array([r["at"] for r in some]))))
+                        out: list[tuple] = []
+                        held = 0
+                        for x, r in enumerate(some):
+                            raw = sets.values[sets.offsets[x] : sets.offsets[x + 1]].tobytes()
+                            for c in r["cells"]:
+                                out.append((r["grp"], c["i"], c["j"], c["side"], r["node"], raw))
+                                held += len(raw)
+                                if held > 4 << 20:
+                                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+                                    out, held = [], 0
+                        if out:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
-                            out = []
-                    if out:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
-
-    names = ["grp", "i", "j", "side", "node", "shingles"]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-    cells = blocks.mapInArrow(gather, "grp long, i int, j int, side int, node long, shingles binary").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
-    roots = components(cells.mapInArrow(_confirm(similarity), "u long, v long"))
+
+        names = ["grp", "i", "j", "side", "node", "payload"]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+        return blocks.mapInArrow(gather, "grp long, i int, j int, side int, node long, payload binary")
+
+    roots = connected(members, send, _similar(similarity))
     c = classes.select("h1", "h2", "node").join(roots, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("root"))
     rows = stored(signed.drop("sig").join(c, ["h1", "h2"], "left").drop("h1", "h2"), "dup-rows")  # equal hashes of empty sets have no class
     first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", place.alias("place"))
@@ -339,14 +415,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
     """One row of each component, with the columns of ``docs``: that with the smallest id."""
     blocks, rows = near_duplicates(docs, id_col, text_col, similarity)
-    path = _by_part(rows.filter(~F.col("leads")).select("part", "block", "at"), "dup-dropped")
+    path = _by_part(rows.filter(~F.col("leads")).select("part", "block", "at"), blocks, "dup-dropped")
 
     @lean
     def keep(batches):
         for batch in batches:
             for part, block, rows in rows_of(batch):
                 ok = np.ones(len(rows), bool)
-                ok[[r["at"] for r in _side(path, part).get(block, [])]] = False
+                ok[[r["at"] for r in _side(path, part)[block]]] = False
                 yield rows.filter(pa.array(ok))
 
     return blocks.mapInArrow(keep, docs.schema)
