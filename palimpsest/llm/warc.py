@@ -3,10 +3,11 @@
 Reading: partitions are planned from the files and, where a file has an index of offsets beside it,
 from stretches of it.  Predicates on header fields are pushed down; headers are parsed first, and
 the block of a record that is not wanted, or whose payload no column asks for, is skipped, not
-decoded.  Writing: each task writes files under names of its own, and only the manifest, written on
+decoded: in plain files stepped over, and in compressed ones too, where members say how long they
+are, as those written here do.  Writing: each task writes files under names of its own, and only the manifest, written on
 commit, makes them part of the archive; what a lost task has left behind is never read.
 
-Options: path (in a store that all executors reach), split_bytes (stretch of a file for one task),
+Options: path (a full URI, in a store that all executors reach; read_warc and archive_pages make one of any path), split_bytes (stretch of a file for one task),
 index_bytes (between offsets of the index), compression (``gzip``: one member a record).
 """
 
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import uuid
 import zlib
 from dataclasses import dataclass
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
 from .batches import filesystem
-from .shared import scratch, ship
+from .shared import qualified, scratch, ship
 
 #: Column: header field.
 FIELDS = {
@@ -45,6 +47,9 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-dig
 STRETCH = 32 << 20
 INDEX_EVERY = 1 << 20
 BATCH_BYTES = 8 << 20
+READ_BYTES, HEADER_STEP = 256 << 10, 1 << 10
+#: Extra field of a gzip header with the lengths of the member and of its content (skip-lengths of the WARC standard's annex).
+SKIP_FIELD = b"sl"
 
 
 @dataclass
@@ -207,32 +212,83 @@ class _Plain:
 
 
 class _Gzip:
-    """Records of a file with one gzip member each."""
+    """Records of a file with one gzip member each.
+
+    Only the header is inflated to begin with.  What a caller skips is stepped over where the member
+    says how long it is (``SKIP_FIELD``), and is inflated without being kept where it doesn't.
+    """
 
     def __init__(self, f, start: int, end: int):
-        self.f, self.at, self.end, self.rest, self.data = f, start, end, b"", b""
+        self.f, self.at, self.end = f, start, end
+        self.held, self.base = b"", start
+        self.inflated = 0  # bytes, in all
+
+    def _bytes(self, at: int, n: int) -> bytes:
+        if at < self.base or at + n > self.base + len(self.held):
+            self.held, self.base = self.f.read_at(min(max(n, READ_BYTES), self.end - at), at), at
+        return self.held[at - self.base : at - self.base + n]
+
+    def _more(self, most: int) -> bytes:
+        data = self.d.unconsumed_tail
+        if not data and not self.d.eof:
+            data = self._bytes(self.fed, min((self.next or self.end) - self.fed, 16 << 10))
+            self.fed += len(data)
+            if not data:
+                raise ValueError("a gzip member is cut off")
+        out = self.d.decompress(data, most)
+        self.inflated += len(out)
+        return out
 
     def header(self) -> str | None:
-        if not self.rest and self.at >= self.end:
+        if self.at >= self.end:
             return None
-        d, out = zlib.decompressobj(31), []
-        while not d.eof:
-            if not self.rest:
-                self.rest = self.f.read_at(min(1 << 20, self.end - self.at), self.at)
-                self.at += len(self.rest)
-                if not self.rest:
-                    raise ValueError("a gzip member is cut off")
-            out.append(d.decompress(self.rest))
-            self.rest = d.unused_data if d.eof else b""
-        self.data = b"".join(out)
-        head, _, self.data = self.data.partition(b"\r\n\r\n")
-        return head.decode("utf-8", "replace")
+        self.d, self.fed, self.next = zlib.decompressobj(31), self.at, None
+        if (size := member_size(self._bytes(self.at, min(26, self.end - self.at)))) is not None:
+            self.next = self.at + size
+        head = b""
+        while (i := head.find(b"\r\n\r\n")) < 0:
+            if self.d.eof:
+                raise ValueError("a WARC header has no end")
+            head += self._more(HEADER_STEP)
+        if not head.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record at {self.at}")
+        self.rest = head[i + 4 :]
+        return head[:i].decode("utf-8", "replace")
 
     def block(self, length: int) -> bytes:
-        return self.data[:length]
+        out, size = [self.rest], len(self.rest)
+        while size < length and not self.d.eof:
+            out.append(self._more(length - size))
+            size += len(out[-1])
+        if size < length:
+            raise ValueError("a WARC block is cut off")
+        self.skip(length)
+        return b"".join(out)[:length]
 
     def skip(self, length: int) -> None:
-        pass
+        if self.next is None:
+            while not self.d.eof:
+                self._more(1 << 20)
+            self.next = self.fed - len(self.d.unused_data)
+        self.at = self.next
+
+
+def member(raw: bytes) -> bytes:
+    """A gzip member that says in its header how long it and its content are (not if that is beyond 4 bytes)."""
+    c = zlib.compressobj(wbits=-15)
+    body = c.compress(raw) + c.flush()
+    tail = struct.pack("<II", zlib.crc32(raw), len(raw) & 0xFFFFFFFF)
+    whole = 12 + 12 + len(body) + 8
+    if whole < 1 << 32 and len(raw) < 1 << 32:
+        return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H2sHII", 12, SKIP_FIELD, 8, whole, len(raw)) + body + tail
+    return b"\x1f\x8b\x08\0\0\0\0\0\0\xff" + body + tail
+
+
+def member_size(head: bytes) -> int | None:
+    """Bytes of the whole gzip member that begins with these 26 bytes, if its first extra field says so."""
+    if len(head) < 24 or head[:3] != b"\x1f\x8b\x08" or not head[3] & 4 or head[12:16] != SKIP_FIELD + b"\x08\0":
+        return None
+    return struct.unpack("<I", head[16:20])[0]
 
 
 class WarcWriter(DataSourceWriter):
@@ -254,8 +310,7 @@ class WarcWriter(DataSourceWriter):
                 offsets.append(at)
             raw = record(row.asDict())
             if self.gzip:
-                c = zlib.compressobj(wbits=31)
-                raw = c.compress(raw) + c.flush()
+                raw = member(raw)
             sink.write(raw)
             at += len(raw)
         if sink is None:
@@ -299,7 +354,7 @@ def register(spark: SparkSession) -> None:
 def read_warc(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """Records of an archive; only ``columns`` are made (all by default), and without ``payload`` no block is read."""
     register(spark)
-    r = spark.read.format("warc").option("path", path)
+    r = spark.read.format("warc").option("path", qualified(spark, path))
     if columns:
         r = r.schema(", ".join(f"{c} {'binary' if c == 'payload' else 'long' if c in LONGS else 'string'}" for c in columns))
     return r.load()
@@ -337,13 +392,13 @@ def archive_pages(pages: DataFrame, out: str | None = None, compression: str = "
     """
     spark = pages.sparkSession
     register(spark)
-    out = out or scratch(spark, "warc")
+    out = qualified(spark, out or scratch(spark, "warc"))
     page_records(pages, **options).write.format("warc").mode("append").option("path", out).option("compression", compression).save()
-    a = read_warc(spark, out, ["record_type", "record_id", "refers_to", "target_uri", "payload_digest", "payload_length", "payload"])
-    full = F.col("record_type") == "response"
-    return a.select(
-        F.regexp_extract("record_id", r"^<urn:page:(-?\d+|null)>$", 1).try_cast("long").alias("page_id"),
-        F.when(full, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
-        F.when(full, F.sha2("payload", 256)).otherwise(F.regexp_replace("payload_digest", "^sha256:", "")).alias("payload_digest"), "record_type",
-        F.regexp_extract("refers_to", r"^<urn:page:(-?\d+|null)>$", 1).try_cast("long").alias("refers_to"), "target_uri",
-    )
+    # Responses are read with their payloads; of revisits, whose payloads are elsewhere, only headers are.
+    columns = ["record_type", "record_id", "refers_to", "target_uri", "payload_digest", "payload_length"]
+    page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+|null)>$", 1).try_cast("long")
+    shared = lambda payload_bytes, digest: [page("record_id").alias("page_id"), payload_bytes.alias("payload_bytes"), digest.alias("payload_digest"), F.col("record_type"), page("refers_to").alias("refers_to"), F.col("target_uri")]
+    full = read_warc(spark, out, [*columns, "payload"]).filter("record_type = 'response'")
+    again = read_warc(spark, out, columns).filter("record_type = 'revisit'")
+    full = full.select(*shared(F.octet_length("payload").cast("long"), F.sha2("payload", 256)))
+    return full.unionByName(again.select(*shared(F.col("payload_length"), F.regexp_replace("payload_digest", "^sha256:", ""))))

@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 from collections import Counter
 
@@ -51,8 +52,43 @@ def test_pushdown_and_splits(spark):
     assert len(left) == 1 and reader.tests == [("record_type", "in", {"revisit"})]
 
 
+def test_only_headers_are_inflated(spark, tmp_path):
+    """Of skipped records, with and without lengths in their members; and payloads with blank lines or of several MB."""
+    big = b"<p>\r\n\r\n" + bytes(range(256)) * 20_000
+    rows = [{"record_type": "response" if i % 2 else "revisit", "record_id": f"<urn:page:{i}>", "payload": big if i % 2 else None, "payload_length": len(big)} for i in range(10)]
+    plain = gzip.compress(warc.record(rows[1]))
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(warc.member(warc.record(r)) for r in rows) + plain)
+    assert gzip.decompress(warc.member(big)) == big
+    for want_type, payload, most in (("revisit", False, 2 * 11 * 2048 + len(plain) + 2 * len(big)), ("response", True, 7 * len(big))):
+        schema = "record_id string" + ", payload binary" * payload
+        reader = warc.WarcReader({"path": f"file://{tmp_path}"}, spark.createDataFrame([], schema).schema)
+        assert not list(reader.pushFilters([warc.EqualTo(("record_type",), want_type)]))
+        made = []
+        kept = warc._Gzip.__init__
+
+        def counted(self, *args):
+            kept(self, *args)
+            made.append(self)
+
+        warc._Gzip.__init__ = counted
+        try:
+            got = [x for part in reader.partitions() for batch in reader.read(part) for x in batch.to_pylist()]
+        finally:
+            warc._Gzip.__init__ = kept
+        assert len(got) == (6 if payload else 5) and all(x["payload"] == big for x in got if payload)
+        assert sum(x.inflated for x in made) < (most if payload else len(big) + 60_000)  # the member without lengths is inflated
+
+
+def test_clashing_names_and_long_payloads(spark):
+    rows = [(i, "u", ("<p>\r\n\r\n" + "x" * (3 << 20)) if i < 3 else f"page {i} " * 20) for i in range(8)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for c in ("payload_length", "record_type", "payload", "digest", "first", "target_uri", "refers_to"):
+        df = df.withColumn(c, F.lit(1))
+    assert Counter(tuple(r) for r in warc.archive_pages(df).drop("target_uri").collect()) == want(rows)
+
+
 def test_a_lost_task_leaves_no_records(spark, tmp_path):
-    path = str(tmp_path)
+    path = f"file://{tmp_path}"
     warc.register(spark)
     df, rows = pages(spark)
     warc.page_records(df).write.format("warc").mode("append").option("path", path).save()
