@@ -1,9 +1,16 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-A document's expected number of copies is its source's target over its source's size (times a
-weight, if one is given).  The whole part of it is certain; the fraction is the inclusion
-probability of a further copy.  Documents are ranked by their random odds divided by their inclusion
-odds, and the first in that order that fill what is left of the target get the further copy.
+A source's target over its size says how many copies of its documents the mix takes.  The whole part
+of that is certain for each; the fraction f is met by further copies of some, with unequal
+probabilities.  A document's inclusion odds are f / (1 - f) times its weight: by default the square root of
+its length over the source's mean length, so that long documents, of which a source has few, are
+rather in than out.  Documents are ranked by their random odds divided by their inclusion odds, and
+the first in that order that fill what is left of the target get the further copy.
+
+The size of the sample is fixed in words.  Where the first document that is too long for what is left
+of the target cuts the order, the rest is gone through again, for documents that do fit.  The last place is drawn too: the first in the order, of
+those not in yet, whose length brings the sum within one in ``NEAR`` of the target; only where there is none, the
+length that fits best.
 
 The order is cut without bringing a source into one task: ranks are counted in bins, a bin's sums
 tell in which one the cut lies, and only the documents of that bin are sorted.
@@ -22,6 +29,10 @@ MOST = 3
 #: Bins of ranks in a source.
 BINS = 4096
 SEED = "mix-1"
+#: The last place of a source is drawn from documents that bring the sum within this part of its target.
+NEAR = 200
+#: The order is gone through so often; from the second time on for documents that fit into what is left open.
+PASSES = 3
 
 
 def n_words(text: str = "text") -> Column:
@@ -65,14 +76,15 @@ def _by_source(left: DataFrame, right: DataFrame) -> DataFrame:
 def _scored(d: DataFrame, goal: DataFrame, most: int, bins: int) -> DataFrame:
     """Adds sure (certain copies), rank (in (0, 1), of the further copy; null if none is asked for) and its bin."""
     d = _by_source(d, goal)
-    e = F.least(F.coalesce(F.try_divide(F.col("target") * F.col("w"), F.col("weighed")), F.lit(0.0)), F.lit(float(most)))
-    d = d.withColumn("e", e).withColumn("sure", F.floor("e")).withColumn("pi", F.col("e") - F.col("sure"))
+    e = F.least(F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0)), F.lit(float(most)))
+    d = d.withColumn("e", e).withColumn("sure", F.floor("e")).withColumn("f", F.col("e") - F.col("sure"))
+    weight = F.coalesce("w", F.sqrt(F.col("size") / (F.col("source_size") / F.col("with_words"))))
+    odds = (F.col("f") / (1 - F.col("f"))) * weight
     # Random odds over inclusion odds, q; q / (1 + q) is in (0, 1) and keeps the order.
-    q = (F.col("u") / (1 - F.col("u"))) / (F.col("pi") / (1 - F.col("pi")))
-    rank = F.when((F.col("size") > 0) & (F.col("pi") > 0), q / (1 + q))
+    q = (F.col("u") / (1 - F.col("u"))) / odds
+    rank = F.when((F.col("size") > 0) & (F.col("f") > 0) & (weight > 0), q / (1 + q))
     d = d.withColumn("rank", rank).withColumn("bin", F.least(F.floor(F.col("rank") * bins), F.lit(bins - 1)))
-    return d.drop("e", "pi", "w", "u", "weighed")
-
+    return d.drop("e", "f", "w", "u", "with_words")
 
 
 def _place() -> Column:
@@ -80,43 +92,65 @@ def _place() -> Column:
 
 
 def _narrow(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight_col: str | None, seed: str) -> list:
-    weight = F.lit(1.0) if weight_col is None else F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0))
+    weight = F.lit(None).cast("double") if weight_col is None else F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0))
     return [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(text_col).alias("size"), weight.alias("w"), uniform(id_col, seed).alias("u")]
 
 
 def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, bins: int = BINS, seed: str = SEED, weight_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(narrow, plan): what the mix needs of each document, and one row a source that decides every copy."""
     d = stored(docs.select(*_narrow(docs, id_col, text_col, source_col, weight_col, seed)), "mix-sizes")  # texts are read once
-    sums = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("w")).alias("weighed"))
+    sums = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("with_words"))
     sums = stored(sums, "mix-sums")
-    goal = stored(_by_source(targets(sums.select("source", "source_size"), weights, most), sums.select("source", "weighed")), "mix-targets")
-    scored = _scored(d, goal, most, bins)
-    counts = scored.groupBy("source", "bin").agg(F.sum(F.col("sure") * F.col("size")).alias("certain"), F.sum("size").alias("words"), F.first("target").alias("target"))
-    counts = counts.withColumn("left", F.col("target") - F.sum("certain").over(W.partitionBy("source"))).filter("bin is not null")
+    goal = stored(_by_source(targets(sums.select("source", "source_size"), weights, most), sums.select("source", "with_words")), "mix-targets")
+    certain = _scored(d, goal, most, bins).groupBy("source").agg(F.sum(F.col("sure") * F.col("size")).alias("certain"))
+    plan = stored(_by_source(goal, certain).withColumn("open0", F.col("target") - F.col("certain")).drop("certain"), "mix-plan")
+    for k in range(1, PASSES + 1):
+        plan = _filled(d, plan, most, bins, k)
+    # The last place of the fixed-size sample.
+    gap = F.abs(F.col(f"open{PASSES}") - F.col("size"))
+    out = _scored(d, plan, most, bins).filter(F.col("rank").isNotNull() & ~_inside(PASSES) & (gap < F.col(f"open{PASSES}")))
+    fits = gap <= F.col("target") / NEAR
+    last = out.groupBy("source").agg(F.min(F.struct((~fits).alias("far"), F.when(fits, 0.0).otherwise(gap).alias("gap"), _place().alias("last")))["last"].alias("last"))
+    return d, stored(_by_source(plan, stored(last, "mix-last")), "mix-plan")
+
+
+def _filled(d: DataFrame, plan: DataFrame, most: int, bins: int, k: int) -> DataFrame:
+    """The plan with the k-th pass: where it cuts the order of what it may take, and what is open after it."""
+    room = F.col(f"open{k - 1}")
+    scored = _scored(d, plan, most, bins).filter(_may(k))
+    counts = scored.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first(room).alias("room"))
     counts = counts.withColumn("upto", F.sum("words").over(W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)))
-    cut = counts.groupBy("source").agg(F.min(F.when(F.col("upto") > F.col("left"), F.struct("bin", (F.col("left") - F.col("upto") + F.col("words")).alias("room")))).alias("c"))
-    cut = stored(cut.select("source", F.col("c.bin").alias("cut"), F.col("c.room").alias("room")), "mix-cut")
+    over = F.col("upto") > F.col("room")
+    cut = counts.groupBy("source").agg(F.min(F.when(over, F.col("bin"))).alias(f"cut{k}"), F.coalesce(F.max(F.when(~over, F.col("upto"))), F.lit(0)).alias("before"))
+    cut = stored(cut, "mix-cut")
     # Only in the bin with the cut are documents sorted; equal ones are in or out together.
-    edge = _by_source(scored, cut).filter("bin = cut")
-    edge = edge.withColumn("upto", F.sum("size").over(W.partitionBy("source").orderBy("rank", "size", "doc_id").rangeBetween(W.unboundedPreceding, W.currentRow)))
-    edge = edge.filter("upto <= room").groupBy("source").agg(F.max(_place()).alias("upto_place"), F.max("upto").alias("used"))
-    plan = _by_source(_by_source(goal, cut), stored(edge, "mix-edge"))
-    plan = stored(plan.withColumn("open", F.col("room") - F.coalesce("used", F.lit(0))).drop("room", "used"), "mix-plan")
-    # The last place of the fixed-size sample goes to the document, not taken yet, whose length fits best.
-    gap = F.abs(F.col("open") - F.col("size"))
-    out = _scored(d, plan, most, bins).filter(~_inside(bins) & (gap < F.col("open")))
-    last = out.groupBy("source").agg(F.min(F.struct(gap.alias("gap"), _place().alias("last")))["last"].alias("last"))
-    return d, stored(_by_source(plan, stored(last, "mix-last")), "mix-plan")
+    edge = _by_source(scored, cut).filter(F.col("bin") == F.col(f"cut{k}"))
+    edge = edge.withColumn("upto", F.col("before") + F.sum("size").over(W.partitionBy("source").orderBy("rank", "size", "doc_id").rangeBetween(W.unboundedPreceding, W.currentRow)))
+    edge = edge.filter(F.col("upto") <= room).groupBy("source").agg(F.max(_place()).alias(f"upto{k}"), F.max("upto").alias("used"))
+    plan = _by_source(_by_source(plan, cut), stored(edge, "mix-edge"))
+    return stored(plan.withColumn(f"open{k}", room - F.coalesce("used", "before", F.lit(0))).drop("before", "used"), "mix-plan")
+
+
+def _may(k: int) -> Column:
+    """What the k-th pass may take: what no earlier one took and, but for the first, what fits into what they left open."""
+    first = F.col("rank").isNotNull()
+    return first if k == 1 else first & (F.col("size") <= F.col(f"open{k - 1}")) & ~_inside(k - 1)
 
 
-def _inside(bins: int) -> Column:
-    below = F.col("bin") < F.coalesce("cut", F.lit(bins))
-    return F.coalesce(below | ((F.col("bin") == F.col("cut")) & (_place() <= F.col("upto_place"))), F.lit(False))
+def _inside(k: int) -> Column:
+    """What the first k passes take."""
+    taken = F.lit(False)
+    for i in range(1, k + 1):
+        up = F.col("bin") < F.coalesce(f"cut{i}", F.lit(1 << 30))
+        up |= (F.col("bin") == F.col(f"cut{i}")) & (_place() <= F.col(f"upto{i}"))
+        fits = F.lit(True) if i == 1 else F.col("size") <= F.col(f"open{i - 1}")
+        taken = taken | (fits & F.coalesce(up, F.lit(False)))
+    return F.coalesce(F.col("rank").isNotNull() & taken, F.lit(False))
 
 
 def _copies(d: DataFrame, plan: DataFrame, most: int, bins: int) -> DataFrame:
     d = _scored(d, plan, most, bins)
-    further = _inside(bins) | (F.col("rank").isNotNull() & F.coalesce(_place() == F.col("last"), F.lit(False)))
+    further = _inside(PASSES) | (F.col("rank").isNotNull() & F.coalesce(_place() == F.col("last"), F.lit(False)))
     copies = F.when(F.col("size") > 0, F.col("sure") + further.cast("int")).otherwise(0).cast("int")
     return d.withColumn("copies", copies)
 
@@ -125,9 +159,10 @@ def mix(docs: DataFrame, most: int = MOST, bins: int = BINS, **options) -> DataF
     """(doc_id, source, size, source_size, target, taken, copies) for each row.
 
     copies is how often the mix takes the document, 0 to ``most``; taken is copies times size.
-    ``weight_col``: relative weights of documents within their source (null or negative: 0); without
-    it all are equal.  Then the sum of taken words of a source differs from its target by less than
-    what the best fitting document leaves open.
+    ``weight_col``: relative inclusion odds of documents within their source (null or negative: 0, so
+    that they never get a further copy); by default they go by the root of the length.  The sum of
+    taken words of a source differs from its target by at most one in ``NEAR`` of it, or by what the
+    best fitting document leaves open, if weights leave enough documents.
 
     A null text or one without words has size 0 and is never taken.  Sources are ordered by code
     point, null last.  Rows with the same id share their random number; equal rows are taken alike.

@@ -64,3 +64,36 @@ def test_weights_and_order(spark):
     assert sum(r["taken"] for r in out if r["source"] == "a") == 2000
     other = mixing.mix(df, weight_col="q", weights=(1, 3), seed="other").collect()
     assert sorted(out) != sorted(other)
+
+
+def test_inclusion_by_weight(spark):
+    """Many sources with the same documents and other ids: how often each is in is what its odds say, the last place included."""
+    sizes = [4, 8, 16, 30, 60, 120] * 40
+    n = 25
+    rows = [(g * 1000 + k, "w " * s, f"s{g:03d}") for g in range(n) for k, s in enumerate(sizes)] + [(10**6, "w " * (n * sum(sizes) // 2), "z")]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), weights=(1,)).collect()
+    check_one = {r["source"]: r["target"] for r in out}
+    f = check_one["s000"] / sum(sizes) - 1  # one copy is certain
+    assert 0.3 < f < 0.7
+    got = [sum(r["copies"] - 1 for r in out if r["doc_id"] % 6 == (r["doc_id"] // 1000 * 1000 + k) % 6 and r["source"] != "z") / n / 40 for k in range(6)]
+    lo, hi = 1e-6, 1e6
+    mean = sum(sizes) / len(sizes)
+    odds = lambda c, s: c * (s / mean) ** 0.5 / (1 + c * (s / mean) ** 0.5)
+    for _ in range(200):
+        c = (lo * hi) ** 0.5
+        lo, hi = (c, hi) if sum(s * odds(c, s) for s in sizes) < f * sum(sizes) else (lo, c)
+    assert all(abs(g - odds(c, s)) < 0.06 for g, s in zip(got, sizes)), (got, [odds(c, s) for s in sizes[:6]])
+    assert got[-1] > got[0] + 0.15
+    taken = Counter()
+    for r in out:
+        taken[r["source"]] += r["taken"]
+    off = [taken[s] - t for s, t in check_one.items() if s != "z"]
+    assert max(map(abs, off)) <= 4
+
+
+def test_all_documents_under_one_id(spark):
+    df = spark.createDataFrame([(7, "w " * (1 + i % 5), "a") for i in range(100)] + [(i, "w " * 10, "b") for i in range(100)], "doc_id long, text string, source string")
+    out = mixing.mix(df).collect()
+    assert len(out) == 200
+    check([r for r in out], lambda s, t: 100)
+    assert sorted(out) == sorted(mixing.mix(df.repartition(5)).collect())
