@@ -1,8 +1,12 @@
 """Sharding by fixed virtual slots.
 
-Every record belongs to one of ``n_slots`` virtual slots for good: a hash of its id and text
-decides.  Bytes are added up by slot, and a versioned table maps slots to shards.  To rebalance,
-only that table is edited: a new version moves what exceeds the mean, and records keep their slots.
+Every record belongs to one of ``n_slots`` virtual slots for good: a hash of its text decides, so
+that equal texts are in one slot and therefore in one shard.  Only of a text whose copies make up
+more than one in ``SPLIT`` of a shard's bytes or rows the id decides as well, since shards could not
+be near equal else; there are at most 2 * SPLIT * n_shards such texts, kept beside the map.
+
+Bytes are added up by slot, and a versioned table maps slots to shards.  To rebalance, only that
+table is edited: a new version moves what exceeds the mean, and records keep their slots.
 
 Everything is DataFrame and SQL functions.  What meets in one task is the slot table, whose size
 is ``n_slots`` whatever the input.
@@ -16,11 +20,28 @@ from .shared import free_name, stored
 
 #: Virtual slots of the production query.
 N_SLOTS = 4096
+#: A text with more than one in so many of a shard's bytes or rows is spread over slots.
+SPLIT = 4
+
+
+def text_key(text_col: str) -> Column:
+    """What equal texts share; null has its own."""
+    return F.xxhash64(F.col(text_col), F.octet_length(text_col))
+
+
+def heavy_texts(records: DataFrame, n_shards: int) -> DataFrame:
+    """(text_key) of the texts of records (text_key, size) that outgrow one in SPLIT of a shard, by bytes or rows."""
+    whole = records.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
+    texts = records.groupBy("text_key").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
+    return texts.filter("rows > 1").filter((F.col("bytes") * n_shards * SPLIT > whole["bytes"]) | (F.col("rows") * n_shards * SPLIT > whole["rows"])).select("text_key")
 
 
-def virtual_slot(id_col: str, text_col: str, n_slots: int = N_SLOTS) -> Column:
-    """Slot of a record.  Nulls hash as such; the text takes part so that a repeated id can't fill one slot."""
-    return F.pmod(F.xxhash64(F.col(id_col), F.crc32(F.col(text_col).cast("binary"))), F.lit(n_slots)).cast("int")
+def with_slot(records: DataFrame, heavy: DataFrame, id_col: str, key_col: str, slot_col: str, n_slots: int) -> DataFrame:
+    """Adds the virtual slot to records with a text key.  ``heavy`` has 2 * SPLIT * n_shards rows at most."""
+    mark = free_name(records, "heavy")
+    records = records.join(F.broadcast(heavy.select(F.col("text_key").alias(mark))), F.col(key_col) == F.col(mark), "left")
+    spread = F.when(F.col(mark).isNull(), F.xxhash64(F.col(key_col), F.lit(1))).otherwise(F.xxhash64(F.col(key_col), F.col(id_col), F.lit(2)))
+    return records.withColumn(slot_col, F.pmod(spread, F.lit(n_slots)).cast("int")).drop(mark)
 
 
 def slot_sizes(records: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
@@ -66,24 +87,28 @@ def rebalance(current: DataFrame, sizes: DataFrame, n_shards: int) -> DataFrame:
     return s.join(placed, "virtual_slot", "left").select("virtual_slot", edited, (F.col("version") + 1).alias("version"))
 
 
-def shard_table(docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def shard_table(docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Shard of every row, by the law ``bytes``: the shards' sums of size are near equal.
 
-    Returns (rows, map).  rows has the id, size (UTF-8 bytes of the text, none for null, plus 1),
-    text_crc32 (0 for null), law, shard, slot (place in its shard, gapless from 0), grown_shard
-    (null: it belongs to another law) and virtual_slot; map has all versions of the slot-to-shard map.
+    Returns (rows, map, heavy).  rows has the id, size (UTF-8 bytes of the text, none for null, plus
+    1), text_crc32 (0 for null), law, shard, slot (place in its shard, gapless from 0), grown_shard
+    (null: it belongs to another law) and virtual_slot; map has all versions of the slot-to-shard
+    map, heavy the keys of texts that are spread.
 
-    Null ids and repeated rows are dealt like others; equal rows are in the same shard, one after
-    another.  An empty table gives no rows.  Other columns of the input are not looked at.
+    Equal texts are in the same shard, null texts among them, unless their copies are more than one in
+    ``SPLIT`` of a shard; rows that are equal in id too always are, and follow one another.  Null ids
+    are dealt like others.  An empty table gives no rows.  Other columns of the input are not looked at.
     """
     text = F.col(text_col).cast("binary")
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(text), F.lit(0)).alias("text_crc32"),
-        virtual_slot(id_col, text_col, n_slots).alias("virtual_slot"),
+        text_key(text_col).alias("text_key"),
     )
     rows = stored(rows, "shard-rows")  # narrow, so that texts are read once
+    heavy = stored(heavy_texts(rows, n_shards), "shard-heavy")
+    rows = with_slot(rows, heavy, "doc_id", "text_key", "virtual_slot", n_slots).drop("text_key")
     sizes = stored(slot_sizes(rows, n_slots), "shard-slots")
     first = stored(initial_map(sizes, n_shards), "shard-map")
     edited = stored(rebalance(first, sizes, n_shards), "shard-map")
@@ -92,11 +117,12 @@ def shard_table(docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS, id_
     within = F.row_number().over(W.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
     out = rows.withColumn("n", within).join(F.broadcast(places), "virtual_slot")  # n_slots rows
     out = out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("n") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
-    return out, first.unionByName(edited)
+    return out, first.unionByName(edited), heavy
 
 
-def with_shard(docs: DataFrame, current: DataFrame, n_slots: int = N_SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with its shard by a stored map: what a writer needs.  No shuffle."""
-    slot, shard = free_name(docs, "virtual_slot"), free_name(docs, "shard")
+def with_shard(docs: DataFrame, current: DataFrame, heavy: DataFrame, n_slots: int = N_SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with its virtual slot and shard by a stored map: what a writer needs.  No shuffle."""
+    key, slot, shard = (free_name(docs, c) for c in ("text_key", "virtual_slot", "shard"))
     places = current.select(F.col("virtual_slot").alias(slot), F.col("shard").alias(shard))
-    return docs.withColumn(slot, virtual_slot(id_col, text_col, n_slots)).join(F.broadcast(places), slot)
+    slotted = with_slot(docs.withColumn(key, text_key(text_col)), heavy, id_col, key, slot, n_slots).drop(key)
+    return slotted.join(F.broadcast(places), slot).select(*docs.columns, slot, shard)

@@ -18,7 +18,7 @@ def check(out, shards):
 
 def test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    rows, versions = sharding.shard_table(docs)
+    rows, versions, heavy = sharding.shard_table(docs)
     out = rows.collect()
     assert len(out) == docs.count()
     size = check(out, 16)
@@ -27,6 +27,13 @@ def test_documents(spark):
     for r in out:
         raw = (text[r["doc_id"]] or "").encode()
         assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 1, zlib.crc32(raw), "bytes", None)
+    shards = defaultdict(set)
+    for r in out:
+        shards[text[r["doc_id"]]].add(r["shard"])
+    split = [t for t, x in shards.items() if len(x) > 1]
+    copies = Counter(text.values())
+    assert len(split) <= heavy.count() and all(copies[t] > 1 for t in split)
+    assert len(split) < 0.1 * sum(n > 1 for n in copies.values())  # equal texts stay together
     v = versions.groupBy("version").agg(F.count_distinct("virtual_slot").alias("n")).collect()
     assert sorted((r["version"], r["n"]) for r in v) == [(0, sharding.N_SLOTS), (1, sharding.N_SLOTS)]
 
@@ -54,9 +61,9 @@ def test_rebalance_moves_little(spark):
 
 
 def test_stored_map_gives_the_same_shard(docs):
-    rows, versions = sharding.shard_table(docs, 4, 64)
+    rows, versions, heavy = sharding.shard_table(docs, 4, 64)
     current = versions.filter("version = 1").drop("version")
-    out = sharding.with_shard(docs, current, 64)
+    out = sharding.with_shard(docs, current, heavy, 64)
     assert "shard_" in out.columns and out.count() == docs.count()
     want = Counter((r["doc_id"], r["virtual_slot"], r["shard"]) for r in rows.collect())
     assert Counter((r["doc_id"], r["virtual_slot"], r["shard_"]) for r in out.collect()) == want
@@ -65,3 +72,44 @@ def test_stored_map_gives_the_same_shard(docs):
 def test_native(docs):
     plan = sharding.shard_table(docs, 4, 64)[0]._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def plain_rebalance(current, sizes, n_shards):
+    """Largest slots stay up to the mean; the others go, the largest first, to whichever shard is the emptiest."""
+    mean, kept, moving, out = sum(sizes.values()) / n_shards, [0] * n_shards, [], dict(current)
+    for shard in set(current.values()):
+        filled = 0
+        for slot in sorted((s for s in current if current[s] == shard), key=lambda s: (-sizes[s], s)):
+            filled += sizes[slot]
+            if filled <= mean and shard < n_shards:
+                kept[shard] += sizes[slot]
+            else:
+                moving.append(slot)
+    for slot in sorted(moving, key=lambda s: (-sizes[s], s)):
+        out[slot] = kept.index(min(kept))
+        kept[out[slot]] += sizes[slot]
+    return out
+
+
+def test_rebalance_against_plain_python(spark):
+    import random
+
+    rng = random.Random(4)
+    for n_slots, before, after in ((300, 4, 4), (64, 5, 7), (64, 6, 3), (20, 3, 5)):
+        sizes = {s: rng.choice([0, 1, 5, 5, 40, 900 if s == 3 else 60]) for s in range(n_slots)}  # one slot larger than the mean
+        current = {s: rng.randrange(before) for s in sizes}
+        frame = spark.createDataFrame([(s, current[s], 3, sizes[s], 1) for s in sizes], "virtual_slot int, shard int, version int, bytes long, rows long")
+        got = sharding.rebalance(frame.select("virtual_slot", "shard", "version"), frame.select("virtual_slot", "bytes", "rows"), after).collect()
+        assert {r["virtual_slot"]: r["shard"] for r in got} == plain_rebalance(current, sizes, after) and {r["version"] for r in got} == {4}
+
+
+def test_a_third_of_all_rows_is_one_text(spark):
+    rows = [(i, "the same text " * 20 if i % 3 == 0 else f"text {i} " * 20) for i in range(3000)] + [(5000 + i, None) for i in range(800)] + [(9000 + i, f"twin {i // 2} " * 15) for i in range(200)]
+    out, _, heavy = sharding.shard_table(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 8, 512)
+    out = out.collect()
+    size = check(out, 8)
+    assert heavy.count() == 2 and max(size.values()) - min(size.values()) < 0.02 * sum(size.values()) / 8
+    shard = {r["doc_id"]: r["shard"] for r in out}
+    assert all(shard[9000 + i] == shard[9001 + i] for i in range(0, 200, 2))
+    assert len({shard[i] for i in range(0, 3000, 3)}) == 8
+    assert sharding.shard_table(spark.createDataFrame([(1, "x" * 1000)] * 30 + [(2, "y")], "doc_id long, text string"), 4, 64)[0].count() == 31
