@@ -12,22 +12,22 @@ rejection is the score below which only a stated share of their right prediction
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from .batches import chunks, column, lean
 from .bpe import LETTER, class_table
-from .shared import free_name, ship
+from .shared import free_name, ship, stored
 from .words import utf8
 
-#: Bound of the sample: rows of each language, of all together, and languages (the most frequent ones).
+#: Bound of the sample: rows of each language, and of all together (each language has one at least).
 ROWS_A_LANGUAGE = 400
 ROWS = 4000
-LANGUAGES = 200
 BUCKET_BITS = 16
 DIMENSIONS = 16
 ORDERS = (2, 3)
@@ -117,42 +117,54 @@ def _top(z: np.ndarray, temperature: float) -> tuple[np.ndarray, np.ndarray]:
     return p.argmax(1), p.max(1)
 
 
+Example = tuple[np.ndarray, np.ndarray]  # distinct buckets and their shares
+
+
+def examples(text: str) -> list[Example]:
+    """The whole text, then stretches of it as long as short texts are; none without subwords.  The text decides which stretches."""
+    data, offsets = utf8(pa.array([text]))
+    grams, _ = subwords(data, offsets)
+    if not sum(len(b) for b, _ in grams):
+        return []
+    rng = np.random.default_rng(zlib.crc32(data.tobytes()))
+    out = []
+    for width in (None, 6, 24):
+        parts = []
+        for b, _ in grams:
+            at = 0 if width is None else int(rng.integers(0, max(1, len(b) - width)))
+            parts.append(b if width is None else b[at : at + width])
+        ids, n = np.unique(np.concatenate(parts), return_counts=True)
+        out.append((ids, (n / n.sum()).astype(np.float32)))
+    return out
+
+
 def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
-    """Fit a model; every fifth row is kept for calibration.  One language alone is always predicted."""
-    languages = sorted(set(labels))
+    """Fit a model to texts in memory."""
+    return train_on([(label, x) for t, label in zip(texts, labels) if (x := examples(t))], sorted(set(labels)), seed)
+
+
+def train_on(rows: list[tuple[str, list[Example]]], languages: list[str], seed: int = 7) -> Model:
+    """Fit a model to the examples of each row; every fifth row is kept for calibration.
+
+    One language alone is always predicted.  Of languages with the same odds the first by code point is.
+    """
     if not languages:
         return Model([UNKNOWN], np.zeros((1 << BUCKET_BITS, 1), np.float32), np.zeros(1))
-    y_all = np.array([languages.index(x) for x in labels])
+    number = {x: i for i, x in enumerate(languages)}
+    held = rows[4::5]
+    learned = [(*x, number[label]) for i, (label, xs) in enumerate(rows) if i % 5 != 4 for x in xs]
     rng = np.random.default_rng(seed)
-    examples: list[tuple[np.ndarray, np.ndarray, int]] = []
-    held = np.arange(len(texts)) % 5 == 4
-    for text, y, out in zip(texts, y_all.tolist(), held.tolist()):
-        if out:
-            continue
-        grams, _ = subwords(*utf8(pa.array([text])))
-        both = np.concatenate([b for b, _ in grams])
-        if not len(both):
-            continue
-        ids, n = np.unique(both, return_counts=True)
-        examples.append((ids, (n / n.sum()).astype(np.float32), y))
-        for width in (6, 24):  # short texts are like a few neighbouring subwords
-            parts = []
-            for b, _ in grams:
-                at = int(rng.integers(0, max(1, len(b) - width)))
-                parts.append(b[at : at + width])
-            ids, n = np.unique(np.concatenate(parts), return_counts=True)
-            examples.append((ids, (n / n.sum()).astype(np.float32), y))
     e = (rng.normal(size=(1 << BUCKET_BITS, DIMENSIONS)) / DIMENSIONS).astype(np.float32)
     w = np.zeros((DIMENSIONS, len(languages)), np.float32)
     bias = np.zeros(len(languages), np.float32)
-    steps, done = EPOCHS * len(examples), 0
+    steps, done = EPOCHS * len(learned), 0
     for _ in range(EPOCHS):
-        for i in rng.permutation(len(examples)).tolist():
-            ids, share, y = examples[i]
+        for i in rng.permutation(len(learned)).tolist():
+            ids, share, y = learned[i]
             rate = np.float32(RATE * (1 - done / steps))
             done += 1
-            rows = e[ids]
-            x = share @ rows
+            picked = e[ids]
+            x = share @ picked
             z = x @ w + bias
             p = np.exp(z - z.max())
             p /= p.sum()
@@ -161,17 +173,16 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
             w -= rate * np.outer(x, p)
             bias -= rate * p
             # The mean spreads the gradient thinly over subwords; each moves as if it were the text.
-            e[ids] = rows - rate * np.outer(np.minimum(share * np.float32(len(ids)), 1), back)
+            e[ids] = picked - rate * np.outer(np.minimum(share * np.float32(len(ids)), 1), back)
     model = Model(languages, e @ w, bias.astype(np.float64))
-    if held.any():
-        z, has = model.logits(*utf8(pa.array([t for t, h in zip(texts, held) if h])))
-        z, y = z[has], y_all[held][has]
-        if len(y):
-            model.temperature = min(np.geomspace(0.05, 20, 61).tolist(), key=lambda t: -np.log(np.maximum(_proba(z, t)[np.arange(len(y)), y], 1e-12)).mean())
-            best, score = _top(z, model.temperature)
-            right = np.sort(score[best == y])
-            if len(right):
-                model.threshold = float(min(right[int(REJECT_SHARE * len(right))], 0.5)) if len(languages) > 1 else 0.0
+    if held:
+        z = np.stack([xs[0][1].astype(np.float64) @ model.table[xs[0][0]] + model.bias for _, xs in held])
+        y = np.array([number[label] for label, _ in held])
+        model.temperature = min(np.geomspace(0.05, 20, 61).tolist(), key=lambda t: -np.log(np.maximum(_proba(z, t)[np.arange(len(y)), y], 1e-12)).mean())
+        best, score = _top(z, model.temperature)
+        right = np.sort(score[best == y])
+        if len(right):
+            model.threshold = float(min(right[int(REJECT_SHARE * len(right))], 0.5)) if len(languages) > 1 else 0.0
     return model
 
 
@@ -185,24 +196,44 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_a_language: int = ROWS_A_LANGUAGE) -> Model:
-    """Train on about ``rows_a_language`` rows of each language (fewer if all would be over ROWS), chosen by a hash of the id; twice that is the limit.
+def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_a_language: int = ROWS_A_LANGUAGE) -> tuple[DataFrame, list[str]]:
+    """(lang, place, kind, ids, shares): examples of at most ``rows_a_language`` rows of each language (at least one), ROWS in all; and all languages.
 
-    Rows with a null text, language or id, and held-out ones, are not learned from.
+    A hash of id and text decides, so that reruns agree; rows that are equal count as one.  Rows with
+    a null text, language or id, and held-out ones, are not learned from.
     """
+    ship(docs.sparkSession)
     usable = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    counts = usable.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
-        return train([], [])
-    rows_a_language = max(1, min(rows_a_language, ROWS // len(counts)))
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col(lang_col) == r["lang"], F.lit(rows_a_language / r["count"])).otherwise(share)
-    drawn = F.pmod(F.xxhash64(F.col(id_col), F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
-    rows = usable.filter(drawn < share).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t")).limit(2 * rows_a_language * len(counts)).collect()
-    rows.sort(key=lambda r: (r["i"], r["l"], r["t"]))
-    order = np.random.default_rng(1).permutation(len(rows)).tolist()
-    return train([rows[i]["t"] for i in order], [rows[i]["l"] for i in order])
+    rows = usable.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t"), F.xxhash64(F.col(id_col), F.col(text_col), F.lit("langid")).alias("place"))
+    counts = stored(rows.groupBy("lang").count(), "languages")
+    languages = sorted(r["lang"] for r in counts.select("lang").collect())
+    most = max(1, min(rows_a_language, ROWS // max(1, len(languages))))
+    shares = counts.select(F.col("lang").alias("l"), (F.lit(2.0 * most) / F.col("count")).alias("share"))
+    # About twice as many are drawn by their hashes alone; of those, the first of each language stay.
+    drawn = rows.join(shares, F.col("lang") == F.col("l")).filter(F.pmod("place", F.lit(1 << 30)) / float(1 << 30) < F.col("share"))
+    drawn = drawn.groupBy("lang", "place").agg(F.first("t").alias("t"))
+    drawn = drawn.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy(F.pmod("place", F.lit(1 << 30)), "place"))).filter(F.col("k") <= most)
+
+    @lean
+    def run(batches):
+        for batch in batches:
+            out = [(lang, place, kind, ids, share) for lang, place, t in zip(*(column(batch, c).to_pylist() for c in ("lang", "place", "t"))) for kind, (ids, share) in enumerate(examples(t))]
+            kinds = pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)], names=["lang", "place", "kind", "ids", "shares"])
+
+    return drawn.select("lang", "place", "t").mapInArrow(run, "lang string, place long, kind int, ids array<int>, shares array<float>"), languages
+
+
+def fit(docs: DataFrame, **options) -> Model:
+    """Train on the examples of a bounded ``sample`` of rows.  They come to the driver as counts of hashed subwords, not as texts."""
+    table, languages = sample(docs, **options)
+    got = table.toArrow().sort_by([("place", "ascending"), ("lang", "ascending"), ("kind", "ascending")])
+    rows: list[tuple[str, list[Example]]] = []
+    for lang, kind, ids, shares in zip(got["lang"].to_pylist(), got["kind"].to_pylist(), got["ids"], got["shares"]):
+        if not kind:
+            rows.append((lang, []))
+        rows[-1][1].append((ids.values.to_numpy(zero_copy_only=False), shares.values.to_numpy(zero_copy_only=False)))
+    return train_on(rows, languages)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
