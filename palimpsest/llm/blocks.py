@@ -22,8 +22,10 @@ from .shared import scratch, ship, stored
 
 #: Bytes of text in a block, and of all texts for one bucket of keys.
 BLOCK_BYTES = 2 << 20
-BUCKET_BYTES = 16 << 20
-LEAST_BUCKETS = 64
+BUCKET_BYTES = 8 << 20
+LEAST_BUCKETS = 8
+#: Tasks that buckets are dealt to, at most.
+MOST_TASKS = 20_000
 #: Blocks of a part whose answers are stored, and read, together.
 STRETCH = 16
 
@@ -133,9 +135,9 @@ def _answer(asked: pa.Table) -> pa.Table:
     return pa.table({"part": asked["part"], "block": asked["block"], "bucket": asked["bucket"], "bits": pa.array(bits, pa.binary())})
 
 
-def answer(asked: DataFrame) -> tuple[str, int]:
+def answer(asked: DataFrame, buckets: int) -> tuple[str, int]:
     """Path of the stored answers, and blocks of a stretch: which keys occur twice or more in all blocks together."""
-    got = asked.groupBy("bucket").applyInArrow(_answer, "part int, block int, bucket int, bits binary")
+    got = asked.repartition(min(buckets, MOST_TASKS), "bucket").groupBy("bucket").applyInArrow(_answer, "part int, block int, bucket int, bits binary")
     got = got.withColumn("stretch", F.floor(F.col("block") / STRETCH).cast("int"))
     path = scratch(asked.sparkSession, "answers")
     got.repartition("part", "stretch").write.option("compression", "zstd").partitionBy("part", "stretch").parquet(path)

@@ -41,12 +41,12 @@ SHINGLE = 5
 SIMILARITY = 85  # in hundredths; what op10's contract says, and the default
 SYMBOLS, CHUNKS = 50, 10
 RADIUS = 2 * CHUNKS - 1
-#: A cell of a group has about so many shingles, and documents, at most.
-CELL_SHINGLES, CELL_SETS = 1 << 20, 1024
+#: A cell of a group has about so many shingles, and documents, at most; where a whole group is compared, ACROSS cells are one.
+CELL_SHINGLES, CELL_SETS, ACROSS = 1 << 17, 128, 8
 #: Up to so many holders of a shingle, their pairs are counted one by one; above, by matrix products.
 SPARSE = 24
 #: Classes in a block of signatures; and classes for one bucket of keys.
-PACK, CLASSES_A_BUCKET = 20_000, 20_000
+PACK, CLASSES_A_BUCKET = 20_000, 10_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> Ragged:
@@ -140,7 +140,7 @@ def _packed(classes: DataFrame) -> DataFrame:
 
 def shared_keys(classes: DataFrame) -> DataFrame:
     """(key, node): the keys that two or more classes (node, sig) have, and those that have them."""
-    buckets = max(64, -(-classes.count() // CLASSES_A_BUCKET))
+    buckets = max(8, -(-classes.count() // CLASSES_A_BUCKET))
     packed = _packed(classes)
 
     def keys_of(batches):
@@ -154,7 +154,7 @@ def shared_keys(classes: DataFrame) -> DataFrame:
         for part, block, _, _, unique, _, counts in keys_of(batches):
             yield ask(part, block, unique, counts > 1, buckets)
 
-    found = answer(packed.mapInArrow(asks, ASKED))
+    found = answer(packed.mapInArrow(asks, ASKED), buckets)
 
     @lean
     def holders(batches):
@@ -233,10 +233,10 @@ def connected(members: DataFrame, send: Callable[[DataFrame], DataFrame], compar
     rest = stored(large.filter("apart").groupBy("grp").agg(F.count(F.lit(1)).alias("n_apart")), "dup-rest")
     if not rest.head(1):
         return roots
-    large = large.join(rest, "grp").withColumn("a_cells", F.ceil(F.col("n_apart") * F.col("n_cells") / F.col("n")).cast("int"))
+    large = large.join(rest, "grp").withColumn("wide", F.ceil(F.col("n_cells") / ACROSS).cast("int")).withColumn("a_cells", F.ceil(F.col("n_apart") * F.col("wide") / F.col("n")).cast("int"))
     a = F.pmod(F.xxhash64("node", F.lit(1)), F.col("a_cells")).cast("int")
-    other = every("a_cells", lambda x: cell(x, k, 1))
-    cells = F.when(F.col("apart"), F.concat(every("n_cells", lambda x: cell(a, x, 0)), other)).otherwise(other)
+    other = every("a_cells", lambda x: cell(x, F.floor(k / ACROSS), 1))
+    cells = F.when(F.col("apart"), F.concat(every("wide", lambda x: cell(a, x, 0)), other)).otherwise(other)
     more = compared(large.withColumn("cells", cells), True)
     return components(more.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
 

@@ -65,9 +65,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": OP6_SQL, "op7_mixing": OP7_SQL, "op8_vectors": OP8_SQL, "op10_neardup": OP10_SQL}
+    return {"op4_substrings": OP4_SQL, "op6_warc": OP6_SQL, "op7_mixing": OP7_SQL, "op8_vectors": OP8_SQL, "op10_neardup": OP10_SQL}
 
 
+OP4_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+v AS (SELECT doc_id, i, md5(array_to_string(ws[i : i + 34], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35)),
+again AS (SELECT h FROM v GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, i + d AS i FROM (SELECT doc_id, i, unnest(range(35)) AS d FROM v SEMI JOIN again ON v.h = again.h)),
+words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+kept AS (SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.i) AS text, count(*) AS n FROM words ANTI JOIN gone ON words.doc_id = gone.doc_id AND words.i = gone.i GROUP BY words.doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+"""
+
 OP6_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages),
 f AS (SELECT html, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY html)
@@ -82,30 +92,33 @@ WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
     (('0x' || substr(md5('mix-1|' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u
   FROM documents),
-s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+s0 AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) FILTER (size > 0) AS with_words FROM d GROUP BY source),
 s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM s0),
 s2 AS (SELECT *, CASE (place - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w, source_size * 3.0::DOUBLE AS cap FROM s1),
 s3 AS (SELECT *, sum(source_size::DOUBLE) OVER () AS whole,
     coalesce(sum(cap) OVER (ORDER BY cap / w, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_,
     sum(w) OVER (ORDER BY cap / w, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM s2),
 lv AS (SELECT arg_min((whole - full_) / rest, full_) AS level FROM s3 WHERE (whole - full_) / rest * w <= cap),
-g AS (SELECT source, source_size, coalesce(least(level * w, cap), cap) AS target FROM s3 LEFT JOIN lv ON true),
-e0 AS (SELECT d.*, source_size, target, least(coalesce(CASE WHEN source_size > 0 THEN target * 1.0 / source_size END, 0), 3.0::DOUBLE) AS e
+g AS (SELECT source, source_size, with_words, coalesce(least(level * w, cap), cap) AS target FROM s3 LEFT JOIN lv ON true),
+e0 AS (SELECT d.*, source_size, with_words, target, least(coalesce(CASE WHEN source_size > 0 THEN target / source_size END, 0), 3.0::DOUBLE) AS e
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
 e1 AS (SELECT *, floor(e) AS sure, e - floor(e) AS pi FROM e0),
-e2 AS (SELECT *, CASE WHEN size > 0 AND pi > 0 THEN (u / (1 - u)) / (pi / (1 - pi)) END AS q FROM e1),
+e2 AS (SELECT *, CASE WHEN size > 0 AND pi > 0 THEN (u / (1 - u)) / ((pi / (1 - pi)) * sqrt(size / (source_size / with_words))) END AS q FROM e1),
 e3 AS (SELECT *, q / (1 + q) AS rank FROM e2),
-e4 AS (SELECT *, target - sum(sure * size) OVER (PARTITION BY source) AS left_,
-    CASE WHEN rank IS NOT NULL THEN sum(CASE WHEN rank IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY rank NULLS LAST, size, doc_id NULLS FIRST RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS upto FROM e3),
-c AS (SELECT source, any_value(left_) - coalesce(max(CASE WHEN upto <= left_ THEN upto END), 0) AS open_,
-    bool_or(upto > left_) AS cut FROM e4 GROUP BY source),
-f AS (SELECT e4.*, open_, cut FROM e4 JOIN c ON e4.source IS NOT DISTINCT FROM c.source),
-l AS (SELECT source, min({'gap': abs(open_ - size), 'rank': rank, 'size': size, 'id': doc_id}) AS last FROM f
-  WHERE cut AND rank IS NOT NULL AND upto > left_ AND abs(open_ - size) < open_ GROUP BY source)
+p0 AS (SELECT *, target - sum(sure * size) OVER (PARTITION BY source) AS open_, false AS in_ FROM e3),
+@PASSES@
+l AS (SELECT source, min({'far': abs(open_ - size) > target / 200, 'gap': CASE WHEN abs(open_ - size) > target / 200 THEN abs(open_ - size) ELSE 0 END, 'rank': rank, 'size': size, 'id': doc_id}) AS last FROM p3
+  WHERE rank IS NOT NULL AND NOT in_ AND abs(open_ - size) < open_ GROUP BY source)
 SELECT f.doc_id, f.source, f.size, source_size, target, (copies * f.size)::BIGINT AS taken, copies FROM (
-  SELECT f.*, CASE WHEN f.size > 0 THEN (sure + CASE WHEN rank IS NOT NULL AND (upto <= left_ OR (last IS NOT NULL AND last.rank = rank AND last.size = f.size AND last.id IS NOT DISTINCT FROM f.doc_id)) THEN 1 ELSE 0 END) ELSE 0 END::INTEGER AS copies
-  FROM f LEFT JOIN l ON f.source IS NOT DISTINCT FROM l.source) f
+  SELECT f.*, CASE WHEN f.size > 0 THEN (sure + CASE WHEN rank IS NOT NULL AND (in_ OR (last IS NOT NULL AND last.rank = rank AND last.size = f.size AND last.id IS NOT DISTINCT FROM f.doc_id)) THEN 1 ELSE 0 END) ELSE 0 END::INTEGER AS copies
+  FROM p3 f LEFT JOIN l ON f.source IS NOT DISTINCT FROM l.source) f
+"""
+_PASS = """
+a@K@ AS (SELECT *, rank IS NOT NULL AND NOT in_@FITS@ AS may FROM p@J@),
+b@K@ AS (SELECT *, CASE WHEN may THEN sum(CASE WHEN may THEN size END) OVER (PARTITION BY source ORDER BY CASE WHEN may THEN 0 ELSE 1 END, rank NULLS LAST, size, doc_id NULLS FIRST RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS upto FROM a@K@),
+p@K@ AS (SELECT * EXCLUDE (may, upto, open_, in_), open_ - coalesce(max(CASE WHEN upto <= open_ THEN upto END) OVER (PARTITION BY source), 0) AS open_, in_ OR coalesce(upto <= open_, false) AS in_ FROM b@K@),
 """
+OP7_SQL = OP7_SQL.replace("@PASSES@", "".join(_PASS.replace("@K@", str(k)).replace("@J@", str(k - 1)).replace("@FITS@", "" if k == 1 else " AND size <= open_") for k in range(1, mixing.PASSES + 1)))
 
 OP8_SQL = """
 WITH RECURSIVE v AS (

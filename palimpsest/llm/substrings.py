@@ -151,7 +151,9 @@ class Block:
         """128 bits of the windows that start there: two hashes of their words, each from hashes of its own."""
         if not len(where):
             return np.zeros((0, 2), np.uint64)
-        other = hash_slices(self.data, self.starts, self.ends, SECOND)
+        words = np.flatnonzero(self.covered(where))
+        other = np.zeros_like(self.keys)
+        other[words] = hash_slices(self.data, self.starts[words], self.ends[words], SECOND)
         return np.stack([windows(k, self.first, self.width, seed)[0][where] for k, seed in ((self.keys, 0), (other, SECOND))], 1)
 
     def covered(self, where: np.ndarray) -> np.ndarray:
@@ -195,7 +197,7 @@ def repeated_windows(docs: DataFrame, text_col: str = "text", width: int = WIDTH
         for part, number, _, b in _blocks_of(batches, text_col, width):
             yield ask(part, number, *b.named(), buckets)
 
-    names = answer(blocks.mapInArrow(ask_names, ASKED))
+    names = answer(blocks.mapInArrow(ask_names, ASKED), buckets)
 
     def doubtful(part: int, number: int, b: Block) -> np.ndarray:
         keys, _ = b.named()
@@ -207,7 +209,7 @@ def repeated_windows(docs: DataFrame, text_col: str = "text", width: int = WIDTH
             keys, _, counts = distinct(b.hashed(doubtful(part, number, b)))
             yield ask(part, number, keys, counts > 1, buckets)
 
-    found = answer(blocks.mapInArrow(ask_windows, ASKED))
+    found = answer(blocks.mapInArrow(ask_windows, ASKED), buckets)
 
     def mark(part: int, number: int, b: Block) -> np.ndarray:
         where = doubtful(part, number, b)
