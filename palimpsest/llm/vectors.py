@@ -31,7 +31,7 @@ THRESHOLD = 0.9
 FITTED_LENGTHS, FITTED, FITTED_VALUES = 8, 10_000, 4_000_000
 #: Leading axes that the order goes by, and that a point keeps.
 AXES = 24
-BLOCK, LEAF, FAN_OUT_BITS = 4096, 128, 4
+BLOCK, LEAF, SPLIT, FAN_OUT_BITS = 4096, 128, 4, 4
 #: Rounding of points, which are in single precision.
 SLACK = 1e-5
 MOST_PARTS = 100_000
@@ -74,6 +74,19 @@ class _Block:
         self.points = np.frombuffer(raw, np.float32, offset=24 * n).reshape(n, -1)
         self.bound = np.ascontiguousarray(self.points[:, : AXES + 1])
         self._vectors = None
+        self._boxes: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+    def boxes(self, leaf: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(least, most) of the points of each interval: of ``leaf`` points, of SPLIT of those, and so on up to one."""
+        if leaf not in self._boxes:
+            at = np.arange(0, self.n, leaf)
+            levels = [(np.minimum.reduceat(self.points, at), np.maximum.reduceat(self.points, at))]
+            while len(levels[-1][0]) > 1:
+                lo, hi = levels[-1]
+                at = np.arange(0, len(lo), SPLIT)
+                levels.append((np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at)))
+            self._boxes[leaf] = levels
+        return self._boxes[leaf]
 
     @property
     def vectors(self) -> np.ndarray:
@@ -90,10 +103,10 @@ def _load(path: str, n: int) -> _Block:
     return _Block(path, n)
 
 
-def _apart(a: np.ndarray, b: np.ndarray) -> float:
-    """Least square distance of two boxes."""
-    gap = np.maximum(0, np.maximum(a.min(0) - b.max(0), b.min(0) - a.max(0)))
-    return float(gap @ gap)
+def _apart(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Least square distances of boxes (least, most), row by row."""
+    gap = np.maximum(0, np.maximum(a[0] - b[1], b[0] - a[1]))
+    return np.einsum("ij,ij->i", gap, gap)
 
 
 class Join:
@@ -107,30 +120,44 @@ class Join:
         self.tested = self.computed = 0
 
     def run(self) -> "Join":
-        self.join(0, self.a.n, 0, self.b.n)
+        """From the whole blocks down, pairs of intervals that may be near are split into pairs of their parts."""
+        a, b = self.a.boxes(self.leaf_size), self.b.boxes(self.leaf_size)
+        top = max(len(a), len(b))
+        i = j = np.zeros(1, np.int64)
+        for level in range(top - 1, -1, -1):
+            (a_lo, a_hi), (b_lo, b_hi) = (x[min(level, len(x) - 1)] for x in (a, b))
+            near = _apart((a_lo[i], a_hi[i]), (b_lo[j], b_hi[j])) <= self.limit
+            if self.same:
+                near &= i <= j
+            i, j = i[near], j[near]
+            if level:
+                i, j = self._parts(i, level < len(a), a[min(level, len(a)) - 1], j, level < len(b), b[min(level, len(b)) - 1])
+        size = self.leaf_size
+        for k in np.unique(i).tolist():
+            runs = np.sort(j[i == k])
+            cuts = np.flatnonzero(np.diff(runs) > 1) + 1
+            for run in np.split(runs, cuts):
+                self.leaf(k * size, min((k + 1) * size, self.a.n), int(run[0]) * size, min((int(run[-1]) + 1) * size, self.b.n))
         return self
 
-    def join(self, a0: int, a1: int, b0: int, b1: int) -> None:
-        if self.same and a0 > b0 or _apart(self.a.points[a0:a1], self.b.points[b0:b1]) > self.limit:
-            return
-        if a1 - a0 <= self.leaf_size and b1 - b0 <= self.leaf_size:
-            return self.leaf(a0, a1, b0, b1)
-        am, bm = (a0 + a1) // 2, (b0 + b1) // 2
-        if a1 - a0 <= self.leaf_size:
-            halves = [(a0, a1, b0, bm), (a0, a1, bm, b1)]
-        elif b1 - b0 <= self.leaf_size:
-            halves = [(a0, am, b0, b1), (am, a1, b0, b1)]
-        else:
-            halves = [(a0, am, b0, bm), (a0, am, bm, b1), (am, a1, b0, bm), (am, a1, bm, b1)]
-        for h in halves:
-            self.join(*h)
+    @staticmethod
+    def _parts(i, split_i: bool, a, j, split_j: bool, b) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of the parts of intervals i and j, those that aren't split yet as they are."""
+        x = np.arange(SPLIT) if split_i else np.zeros(1, np.int64)
+        y = np.arange(SPLIT) if split_j else np.zeros(1, np.int64)
+        ci = (i * (SPLIT if split_i else 1))[:, None, None] + x[None, :, None]
+        cj = (j * (SPLIT if split_j else 1))[:, None, None] + y[None, None, :]
+        ci, cj = (z.ravel() for z in np.broadcast_arrays(ci, cj))
+        ok = (ci < len(a[0])) & (cj < len(b[0]))
+        return ci[ok], cj[ok]
 
     def leaf(self, a0: int, a1: int, b0: int, b1: int) -> None:
         a, b = self.a, self.b
         self.tested += (a1 - a0) * (b1 - b0)
         i, j = np.nonzero(a.bound[a0:a1] @ b.bound[b0:b1].T >= self.t - SLACK)
-        if self.same and a0 == b0:
-            i, j = i[i < j], j[i < j]
+        if self.same:
+            ahead = i + a0 < j + b0
+            i, j = i[ahead], j[ahead]
         if not len(i):
             return
         self.computed += len(i)
