@@ -25,10 +25,10 @@ class Catalog:
 
 
 def everything() -> Catalog:
-    from . import patterns, tables, versions
+    from . import inputs, patterns, rules, tables, versions
 
     out = Catalog()
-    for part in (patterns, tables, versions):
+    for part in (patterns, tables, versions, rules, inputs):
         out.queries |= part.CATALOG.queries
         out.sql |= part.CATALOG.sql
     return out

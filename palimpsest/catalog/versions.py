@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import lenses
 from ..lenses import NODES_SQL, VERSIONS_SQL, table
 from ..operators import edits, pairing, refine, sequences, trees
-from ..session import ship
+from ..session import ship, stored
 from . import Catalog
 
 CATALOG = Catalog()
@@ -73,16 +73,16 @@ def _(spark, d):
 
 
 EDITS_SQL = f"""WITH {NODES_SQL},
-e AS (SELECT pair_id, 'DEL' AS op, path AS path1, NULL::VARCHAR AS path2 FROM l WHERE path NOT IN (SELECT path1 FROM m)
-  UNION ALL SELECT pair_id, 'INS', NULL, path FROM r WHERE path NOT IN (SELECT path2 FROM m)
+e AS (SELECT pair_id, 'DEL' AS op, path AS path1, NULL::VARCHAR AS path2 FROM l WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.path1 = l.path)
+  UNION ALL SELECT pair_id, 'INS', NULL, path FROM r WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.path2 = r.path)
   UNION ALL SELECT l.pair_id, 'REL', l.path, r.path FROM l JOIN r USING (path) WHERE l.label IS DISTINCT FROM r.label OR l.value IS DISTINCT FROM r.value
   UNION ALL SELECT l.pair_id, 'MOV', l.path, r.path FROM l JOIN r USING (path) WHERE (l.parent IS NOT NULL OR r.parent IS NOT NULL) AND l.parent IS DISTINCT FROM r.parent)
 """
 
 
 def _edits(spark, d):
-    l, r = lenses.two_node_tables(spark, d)
-    m = edits.mapping_by_path(l, r)
+    l, r = (stored(x, "nodes") for x in lenses.two_node_tables(spark, d))  # each is read several times
+    m = stored(edits.mapping_by_path(l, r), "mapping")
     return l, r, m, edits.edit_script(l, r, m)
 
 
@@ -208,13 +208,13 @@ def _(spark, d):
 
 @q("j25_shared_subtrees")
 def _(spark, d):
-    n = _page_trees(spark, d)
+    n = stored(_page_trees(spark, d), "trees")
     return trees.shared_subtrees(n.filter("cast(tree_id as long) % 2 = 0"), n.filter("cast(tree_id as long) % 2 = 1"))
 
 
 @q("d1_tree_distance")
 def _(spark, d):
-    n = _page_trees(spark, d)
+    n = stored(_page_trees(spark, d), "trees")  # parsed once for both sides
     ids = table(spark, d, "pages").select(F.col("page_id").cast("string").alias("tree1"), (F.col("page_id") + 1).cast("string").alias("tree2"), F.col("page_id").alias("pair_id"))
     return trees.compare_trees(n, n, ids)
 

@@ -150,14 +150,57 @@ def apply_delta(left: DataFrame, script: DataFrame) -> DataFrame:
     return kept.select(*left.columns).unionByName(new.select(*left.columns))
 
 
+def reverse_delta(left: DataFrame, script: DataFrame) -> DataFrame:
+    """The script that turns the right node table back into the left one, made from the left one and the script."""
+    columns = [c for c in left.columns if c != "pair_id"]
+    l = left.select("pair_id", F.col("path").alias("path1"), F.struct(*columns).alias("old"))
+    s = script.filter("op <> 'INS'").join(l, ["pair_id", "path1"])
+    back = s.filter("op = 'CHG'").select("pair_id", F.lit("CHG").alias("op"), F.col("node.path").alias("path1"), F.col("old").alias("node"))
+    back = back.unionByName(s.filter("op = 'DEL'").select("pair_id", F.lit("INS").alias("op"), F.lit(None).cast("string").alias("path1"), F.col("old").alias("node")))
+    gone = script.filter("op = 'INS'").select("pair_id", F.lit("DEL").alias("op"), F.col("node.path").alias("path1"))
+    return back.unionByName(gone, allowMissingColumns=True)
+
+
+def delta_kinds(left: DataFrame, script: DataFrame) -> DataFrame:
+    """A script with its changes told apart: MOV (another parent), REL (another label or value), both as two rows, DEL and INS."""
+    l = left.select("pair_id", F.col("path").alias("path1"), F.col("parent").alias("parent_"), F.struct("label", "value").alias("own_"))
+    d = script.filter("op = 'CHG'").join(l, ["pair_id", "path1"])
+    moved = ~F.col("node.parent").eqNullSafe(F.col("parent_"))
+    relabeled = ~F.struct("node.label", "node.value").eqNullSafe(F.col("own_"))
+    kinds = F.filter(F.array(F.when(moved, F.lit("MOV")), F.when(relabeled, F.lit("REL"))), lambda x: x.isNotNull())
+    out = d.select("pair_id", F.explode(kinds).alias("kind"), "path1", F.col("node.path").alias("path2"))
+    return out.unionByName(script.filter("op <> 'CHG'").select("pair_id", F.col("op").alias("kind"), "path1", F.col("node.path").alias("path2")))
+
+
+def aligned_lines(mapping: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """(pair_id, line1, line2): lines of two files that mapped nodes begin on, each left line with the right line that most of its nodes go to.
+
+    left and right: (pair_id, path, line).  Of equally many the first line wins; then of left lines that want one right line the first keeps it.
+    """
+    m = mapping.join(left.select("pair_id", F.col("path").alias("path1"), F.col("line").alias("line1")), ["pair_id", "path1"])
+    m = m.join(right.select("pair_id", F.col("path").alias("path2"), F.col("line").alias("line2")), ["pair_id", "path2"])
+    n = m.groupBy("pair_id", "line1", "line2").agg(F.count(F.lit(1)).alias("n"))
+    best = n.groupBy("pair_id", "line1").agg(F.min(F.struct((-F.col("n")).alias("less"), "line2"))["line2"].alias("line2"))
+    return best.groupBy("pair_id", "line2").agg(F.min("line1").alias("line1")).select("pair_id", "line1", "line2")
+
+
 def top_down(edits: DataFrame) -> DataFrame:
     return edits.orderBy("pair_id", F.coalesce("path1", "path2"), "op")
 
 
+def bottom_up(edits: DataFrame) -> DataFrame:
+    return edits.orderBy("pair_id", F.coalesce("path1", "path2").desc(), "op")
+
+
 def by_significance(changes: DataFrame) -> DataFrame:
     return changes.orderBy(F.desc("score"), "change", "pair_id", "path1", "path2")
 
 
+def ranked(rows: DataFrame, within: list[str], order: list) -> DataFrame:
+    """Place of each row in an order within its key, from 1: an order that a later join or export can use."""
+    return rows.withColumn("place", F.row_number().over(W.partitionBy(*within).orderBy(*order)))
+
+
 def numbered(nodes: DataFrame, by: list[str], order: list) -> DataFrame:
     """Place of each node among its siblings, from 0."""
     return nodes.withColumn("nth", F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1)

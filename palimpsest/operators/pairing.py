@@ -130,6 +130,7 @@ def pair_files(left: DataFrame, right: DataFrame, patterns: bool = False) -> Dat
     Classes overlap: a modified pair in another directory is moved too, one with another name renamed.
     removed and added are what no pass has paired; copied and glued sides count as paired.
     """
+    left, right = (stored(x.select(*FILE), "files") for x in (left, right))  # contents are read and hashed once
     digest = stored(by_digest(left, right), "pairs")
     l, r = _rest(left, digest, 1), _rest(right, digest, 2)
     path = stored(by_path(l, r), "pairs")

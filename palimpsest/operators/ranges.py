@@ -7,22 +7,39 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..functions import ident
 
 
-def containment_join(outer: DataFrame, inner: DataFrame, key: str = "fid", strict: bool = False) -> DataFrame:
-    """Pairs of ranges of one file of which the first holds the second.
+def points_in(ranges: DataFrame, points: DataFrame, key: list[str], lo: str, hi: str, point: str) -> DataFrame:
+    """Ranges [lo, hi] joined with the points of the same key that lie in them.  Both sides keep their columns, which must differ but for the key.
 
-    The right columns get the suffix 2.  Files are the join's key, so that no task sees more than a
-    file's pairs; a hot file is split by Spark's skew join.
+    A range goes to the one or two cells that it meets of a grid as wide as its length, rounded up to
+    a power of two; a point to its cell of each grid in use (one for each bit of the longest length).
+    So the join is on key, grid and cell, and a file's pairs are never all made.
     """
-    b = inner.select(F.col(key), *(F.col(c).alias(f"{c}2") for c in inner.columns if c != key))
-    out = outer.join(b, key).filter(ident.contains(F.col("so"), F.col("eo"), F.col("so2"), F.col("eo2")))
+    length = F.greatest(F.col(hi) - F.col(lo), F.lit(1)).cast("long")
+    r = ranges.filter(F.col(lo) <= F.col(hi)).withColumn("grid_", F.ceil(F.log2(length)).cast("int"))
+    wide = lambda c: F.call_function("shiftright", F.col(c).cast("long"), F.col("grid_"))
+    grids = sorted(x["grid_"] for x in r.select("grid_").distinct().collect())  # 64 at most
+    r = r.withColumn("cell_", F.explode(F.sequence(wide(lo), wide(hi))))
+    p = points.withColumn("grid_", F.explode(F.array(*map(F.lit, grids)) if grids else F.expr("cast(array() as array<int>)"))).withColumn("cell_", wide(point))
+    return r.join(p, [*key, "grid_", "cell_"]).filter(F.col(point).between(F.col(lo), F.col(hi))).drop("grid_", "cell_")
+
+
+def _second(ranges: DataFrame, key: str) -> DataFrame:
+    return ranges.select(F.col(key), *(F.col(c).alias(f"{c}2") for c in ranges.columns if c != key))
+
+
+def containment_join(outer: DataFrame, inner: DataFrame, key: str = "fid", strict: bool = False) -> DataFrame:
+    """Pairs of ranges of one file of which the first holds the second.  The right columns get the suffix 2."""
+    out = points_in(outer, _second(inner, key), [key], "so", "eo", "so2").filter(ident.contains(F.col("so"), F.col("eo"), F.col("so2"), F.col("eo2")))
     return out.filter("so <> so2 or eo <> eo2") if strict else out
 
 
 def overlap_join(left: DataFrame, right: DataFrame, key: str = "fid") -> DataFrame:
-    """Pairs of ranges of one file that share something, with what they share as (mso, meo)."""
-    b = right.select(F.col(key), *(F.col(c).alias(f"{c}2") for c in right.columns if c != key))
+    """Pairs of ranges of one file that share something, with what they share as (mso, meo): one begins in the other."""
+    b = _second(right, key)
     m = ident.meet(F.col("so"), F.col("eo"), F.col("so2"), F.col("eo2"))
-    return left.join(b, key).withColumn("m", m).filter("m is not null").withColumn("mso", F.col("m.so")).withColumn("meo", F.col("m.eo")).drop("m")
+    found = points_in(left, b, [key], "so", "eo", "so2")
+    found = found.unionByName(points_in(b, left, [key], "so2", "eo2", "so").filter("so > so2"))
+    return found.withColumn("m", m).filter("m is not null").withColumn("mso", F.col("m.so")).withColumn("meo", F.col("m.eo")).drop("m")
 
 
 def outermost(ranges: DataFrame, key: str = "fid") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
@@ -130,15 +132,24 @@ def rescue(removed: DataFrame, added: DataFrame, block: str, least: float = 0.7,
     side = lambda d, n: d.select(F.col(block), F.col("path").alias(f"path{n}"), F.col("content").alias(f"c{n}"))
     a, b = side(removed, 1), side(added, 2)
 
-    def alike(d: DataFrame, x: str, y: str, bound: float) -> DataFrame:
-        return d.filter(2 * F.least(F.length(x), F.length(y)) >= bound * (F.length(x) + F.length(y))).select("path1", "path2", ratio(x, y).alias("score"))
-
-    d = a.join(b, block)
-    by_content = alike(d, "c1", "c2", least).filter(F.col("score") >= least)
+    def alike(x: DataFrame, y: DataFrame, by: str, bound: float) -> DataFrame:
+        """Pairs of a block whose lengths differ by less than a factor meet without contents, by classes of length; contents are fetched for those."""
+        sides = ["1" if "path1" in d.columns else "2" for d in (x, y)]
+        (px, vx), (py, vy) = ((f"path{n}", f"{by}{n}") for n in sides)
+        width = math.log((2 - bound) / bound) * 1.001
+        narrow = lambda d, p, v, n: d.select(block, p, F.length(v).alias(n), F.floor(F.log(F.greatest(F.length(v), F.lit(1))) / width).cast("int").alias("class_"))
+        k = F.col("class_")
+        near = narrow(y, py, vy, "m_").withColumn("class_", F.explode(F.array(k - 1, k, k + 1)))
+        pairs = narrow(x, px, vx, "n_").join(near, [block, "class_"]).filter(2 * F.least("n_", "m_") >= bound * (F.col("n_") + F.col("m_"))).select(px, py)
+        if by == "c":
+            pairs = pairs.join(x.select(px, vx), px).join(y.select(py, vy), py)
+        return pairs.select("path1", "path2", ratio(vx, vy).alias("score"))
+
+    by_content = alike(a, b, "c", least).filter(F.col("score") >= least)
     mapped = modified1 is not None or modified2 is not None
     if mapped:
         by_content = stored(by_content, "rescued")
-    by_path = alike(d, "path1", "path2", least_path).filter(F.col("score") >= least_path)
+    by_path = alike(a, b, "path", least_path).filter(F.col("score") >= least_path)
     found = by_content.unionByName(by_path).groupBy("path1", "path2").agg(F.max("score").alias("score"))
     best = lambda side, other: F.row_number().over(W.partitionBy(side).orderBy(F.desc("score"), other))
     out = found.withColumn("b1", best("path1", "path2")).withColumn("b2", best("path2", "path1")).filter("b1 = 1 or b2 = 1").drop("b1", "b2")
@@ -147,7 +158,52 @@ def rescue(removed: DataFrame, added: DataFrame, block: str, least: float = 0.7,
     for lone, other, n, m in ((a, modified2, 1, 2), (b, modified1, 2, 1)):
         if other is not None:
             lone = lone.join(by_content.select(f"path{n}").distinct(), f"path{n}", "left_anti")
-            more = alike(lone.join(side(other, m), block), "c1", "c2", least_mapped).filter(F.col("score") > least_mapped)
+            more = alike(lone, side(other, m), "c", least_mapped).filter(F.col("score") > least_mapped)
             more = more.withColumn("r", best(f"path{n}", f"path{m}")).filter("r = 1").select("path1", "path2", "score")
             out = out.unionByName(more)
     return out
+
+
+def elaborated(mapping: DataFrame, left: DataFrame, right: DataFrame, rounds: int = 3) -> DataFrame:
+    """A mapping (pair_id, path1, path2) with more pairs: unmapped children of mapped nodes with a label that is
+    the only one of its kind, unmapped, on both sides; and unmapped parents that all their mapped children agree on.
+
+    Each round sees the pairs of those before; ends earlier if one finds nothing.  left and right: (pair_id, path, parent, label, ...).
+    """
+    side = lambda d, n: d.select("pair_id", F.col("path").alias(f"path{n}"), F.col("parent").alias(f"parent{n}"), "label")
+    a, b = stored(side(left, 1), "elaborate"), stored(side(right, 2), "elaborate")
+    m = stored(mapping.select("pair_id", "path1", "path2"), "elaborated")
+    for _ in range(rounds):
+        free1, free2 = a.join(m, ["pair_id", "path1"], "left_anti"), b.join(m, ["pair_id", "path2"], "left_anti")
+        up = m.select("pair_id", F.col("path1").alias("parent1"), F.col("path2").alias("parent2"))
+        # Children: one of a label on each side.
+        single = lambda d, n: d.groupBy("pair_id", f"parent{n}", "label").agg(F.count(F.lit(1)).alias("k"), F.min(f"path{n}").alias(f"path{n}")).filter("k = 1").drop("k")
+        down = up.join(single(free1, 1), ["pair_id", "parent1"]).join(single(free2, 2), ["pair_id", "parent2", "label"]).select("pair_id", "path1", "path2")
+        # Parents: all mapped children of either go to the other.
+        kids = m.join(a, ["pair_id", "path1"]).drop("label").join(b.drop("label"), ["pair_id", "path2"]).select("pair_id", "parent1", "parent2").filter("parent1 is not null and parent2 is not null").distinct()
+        once = lambda d, n: d.groupBy("pair_id", f"parent{n}").agg(F.count(F.lit(1)).alias("k")).filter("k = 1").drop("k")
+        agreed = kids.join(once(kids, 1), ["pair_id", "parent1"]).join(once(kids, 2), ["pair_id", "parent2"])
+        agreed = agreed.select("pair_id", F.col("parent1").alias("path1"), F.col("parent2").alias("path2")).join(free1.select("pair_id", "path1", F.col("label").alias("l1")), ["pair_id", "path1"]).join(free2.select("pair_id", "path2", F.col("label").alias("l2")), ["pair_id", "path2"])
+        found = down.unionByName(agreed.filter("l1 = l2").select("pair_id", "path1", "path2")).distinct()
+        # A node that both ways found a partner for goes with the first path.
+        found = found.withColumn("b1", F.row_number().over(W.partitionBy("pair_id", "path1").orderBy("path2"))).withColumn("b2", F.row_number().over(W.partitionBy("pair_id", "path2").orderBy("path1"))).filter("b1 = 1 and b2 = 1").drop("b1", "b2")
+        found = stored(found, "elaborated")
+        if not found.head(1):
+            break
+        m = stored(m.unionByName(found), "elaborated")
+    return m
+
+
+def outer_moves(edits: DataFrame, mapping: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Edits in which a move of a node is left out if it takes part in a move of a node above: its parent is moved too, and goes to its new parent.
+
+    edits: (pair_id, op, path1, path2); left and right: (pair_id, path, parent, ...).
+    """
+    moves = edits.filter("op = 'MOV'")
+    p1 = left.select("pair_id", F.col("path").alias("path1"), F.col("parent").alias("up1"))
+    p2 = right.select("pair_id", F.col("path").alias("path2"), F.col("parent").alias("up2"))
+    above = moves.select("pair_id", F.col("path1").alias("up1"), F.col("path2").alias("up2"))
+    inner = moves.join(p1, ["pair_id", "path1"]).join(p2, ["pair_id", "path2"]).join(above, ["pair_id", "up1", "up2"], "left_semi")
+    none = lambda d: d.select("pair_id", "op", F.coalesce("path1", F.lit("")).alias("path1"), F.coalesce("path2", F.lit("")).alias("path2"))
+    key = F.struct("pair_id", "op", "path1", "path2")
+    return edits.withColumn("k_", F.struct("pair_id", "op", F.coalesce("path1", F.lit("")).alias("path1"), F.coalesce("path2", F.lit("")).alias("path2"))).join(none(inner).select(key.alias("k_")).distinct(), "k_", "left_anti").drop("k_")

@@ -38,10 +38,8 @@ def closure(edges: DataFrame, min_depth: int = 1, max_depth: int | None = None,
 
 
 def ancestors_by_interval(nodes: DataFrame, tree: str = "tree_id") -> DataFrame:
-    """(tree, gid, ancestor) from post-order numbers: one range join within a tree, no recursion.
+    """(tree, gid, ancestor) from post-order numbers, without recursion: a is an ancestor of d when leftmost(a) <= d < a."""
+    from ..operators.ranges import points_in
 
-    ``nodes`` has gid and leftmost; a is an ancestor of d when leftmost(a) <= d < a.
-    """
-    a = nodes.select(tree, F.col("gid").alias("ancestor"), "leftmost")
-    d = nodes.select(tree, "gid")
-    return d.join(a, tree).filter((F.col("leftmost") <= F.col("gid")) & (F.col("gid") < F.col("ancestor"))).select(tree, "gid", "ancestor")
+    a = nodes.select(tree, F.col("gid").alias("ancestor"), "leftmost", (F.col("gid") - 1).alias("last"))
+    return points_in(a, nodes.select(tree, "gid"), [tree], "leftmost", "last", "gid").select(tree, "gid", "ancestor")

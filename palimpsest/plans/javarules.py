@@ -8,9 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import functions as F
-
-from ..functions.text import before, cut_ends
 from .pattern import Bindings
 from .rules import Rule
 
@@ -46,10 +43,7 @@ def _(b: B) -> B:
 
 def _levels(b: B) -> B:
     """Depth below a top-level statement: steps of the shortest chain of enclosing statements."""
-    from .closure import closure
-
-    chains = closure(b.paths.table("inStatement"), 1, step="n").withColumnRenamed("s", "x").withColumnRenamed("o", "top")
-    return _mapped_flags(b.match("?x a Statement")._join(chains).match("?top a Statement", "?top stmtLevel 0"), "x")
+    return _mapped_flags(b.match("?x a Statement").steps("?x inStatement ?top", "n").match("?top a Statement", "?top stmtLevel 0"), "x")
 
 
 rule("stmt_level", "?x stmtLevel ?n")(_levels)
@@ -126,7 +120,7 @@ def _(b: B) -> B:
 def _(b: B) -> B:
     b = b.match("?t mappedTo ?u", "?t a TypeDeclaration", "?u a TypeDeclaration", "?t inFile ?f", "?u inFile ?g", "?f version ?v", "?v next ?w", "?g version ?w")
     b = b.match("?f fileDigest ?d", "?g fileDigest ?e", "?f location ?l", "?g location ?m").unless("?f mappedTo ?g")
-    return b.bind("how", "if(d = e, 'mappedEqTo', 'mappedNeqTo')")
+    return b.bind("how", "CASE WHEN d = e THEN 'mappedEqTo' ELSE 'mappedNeqTo' END")
 
 
 # --- hierarchies ------------------------------------------------------------------------------------
@@ -134,7 +128,7 @@ def _(b: B) -> B:
 
 def _named_or_raw(b: B, var: str) -> B:
     """Candidates for a type's name: as it is, and without its type arguments (none without '<')."""
-    return b.bind("key", F.explode(F.array_distinct(F.array(F.col(var), before(F.col(var), "<")))))
+    return b.each("key", [var, f"CASE WHEN instr({var}, '<') > 0 THEN substr({var}, 1, instr({var}, '<') - 1) END"])
 
 
 @rule("class_hierarchy", "?x subClassOf ?y")
@@ -158,9 +152,9 @@ def _(b: B) -> B:
 
 @rule("refers_to_decl", "?x refersToDeclaration ?t")
 def _(b: B) -> B:
-    b = b.match("?x a ReferenceType", "?x unqualifiedName ?u", "?x name ?n", "?x inTypeDeclaration/version ?v").bind("n", F.translate("n", "$", "."))
+    b = b.match("?x a ReferenceType", "?x unqualifiedName ?u", "?x name ?n", "?x inTypeDeclaration/version ?v").bind("n", "translate(n, '$', '.')")
     b = _named_or_raw(b, "n").distinct("x", "u", "v", "key")
-    return b.match("?t name ?u", "?t version ?v", "?t a TypeDeclaration", "?t fullyQualifiedName ?q").where(F.translate("q", "$", ".") == F.col("key"))
+    return b.match("?t name ?u", "?t version ?v", "?t a TypeDeclaration", "?t fullyQualifiedName ?q").where("translate(q, '$', '.') = key")
 
 
 # --- types of declarations --------------------------------------------------------------------------
@@ -190,11 +184,7 @@ def _(b: B) -> B:
 @rule("param_ty", "?m ?named ?name_", "?m ?sized ?dims")
 def _(b: B) -> B:
     """The position of a parameter becomes part of the predicate's name, 0 to 15."""
-    places = None
-    for n in range(16):
-        one = b.paths.table(f"child{n}!").select(F.col("s").alias("ps"), F.col("o").alias("p"), F.lit(str(n)).alias("n"))
-        places = one if places is None else places.unionByName(one)
-    b = b.match("?m a MethodOrConstructor", "?m child2|child3 ?ps", "?ps a Parameters")._join(places).match("?p a Parameter", "?p child1 ?ty")
+    b = b.match("?m a MethodOrConstructor", "?m child2|child3 ?ps", "?ps a Parameters").numbered("?ps child ?p", "n", range(16)).match("?p a Parameter", "?p child1 ?ty")
     b = b.either("?ty name ?name_", ["?ty a PrimitiveType", "?ty a! ?cat", "?cat label ?name_"]).optional("?p dimensions ?d0").optional("?ty dimensions ?d1")
     b = b.bind("dims", "coalesce(cast(d0 as int), 0) + coalesce(cast(d1 as int), 0)")
     return b.bind("named", "concat('parameterTypeName', n)").bind("sized", "concat('parameterTypeDims', n)")
@@ -266,18 +256,18 @@ def _(b: B) -> B:
     return _ambiguous(b.unless("?x identifier ?i", "?x qualifier ?j"))
 
 
-@rule("resolved_enum_const", "?x name ?full")
+@rule("resolved_enum_const", "?x name ?whole")
 def _(b: B) -> B:
     b = b.match("?c a EnumConstant", "?c name ?cn", "?c inEnum ?en", "?en a EnumDeclaration", "?en name ?enn", "?en fullyQualifiedName ?q", "?en inTypeDeclaration ?t", "?t version ?v")
-    b = b.bind("full", "concat(q, '.', cn)").bind("n", "concat(enn, '.', cn)").distinct("v", "t", "full", "n")
+    b = b.bind("whole", "concat(q, '.', cn)").bind("n", "concat(enn, '.', cn)").distinct("v", "t", "whole", "n")
     return b.match("?u subTypeOf* ?t", "?u version ?v", "?x inTypeDeclaration ?u", "?x name ?n")
 
 
-@rule("resolved_reftype", "?x name ?full")
+@rule("resolved_reftype", "?x name ?whole")
 def _(b: B) -> B:
     b = b.match("?t a TypeDeclaration", "?t inFile ?f", "?t inSourceTree ?tree", "?t name ?u", "?t fullyQualifiedName ?q", "?p a PackageDeclaration", "?p parent/inFile ?f", "?p name ?pn")
-    b = b.bind("full", F.translate("q", "$", ".")).distinct("tree", "u", "full", "pn")
-    b = b.match("?x unqualifiedName ?u", "?x a ReferenceType", "?x name ?n").where("n <> full and full = concat(pn, '.', n)")
+    b = b.bind("whole", "translate(q, '$', '.')").distinct("tree", "u", "whole", "pn")
+    b = b.match("?x unqualifiedName ?u", "?x a ReferenceType", "?x name ?n").where("n <> whole and whole = concat(pn, '.', n)")
     return b.match("?x inTypeDeclaration/inFile ?g", "?g inSourceTree ?tree", "?r parent/inFile ?g", "?r a PackageDeclaration", "?r name ?pn")
 
 
@@ -291,13 +281,13 @@ def _(b: B) -> B:
 def _retyped(kind: str) -> Callable[[B], B]:
     def solve(b: B) -> B:
         b = b.match("?m a MethodDeclaration", "?m name ?n", "?m inTypeDeclaration ?t", "?t a TypeDeclaration", "?t name ?tn", "?t fullyQualifiedName ?q").distinct("n", "tn", "q")
-        return b.match("?x name ?n", f"?x a {kind}", "?x child0/name ?tn").bind("full", "concat(q, '.', n)")
+        return b.match("?x name ?n", f"?x a {kind}", "?x child0/name ?tn").bind("whole", "concat(q, '.', n)")
 
     return solve
 
 
-rule("resolved_type_ivk_pe", "?x a TypeMethodInvocation", "?x name ?full")(_retyped("PrimaryMethodInvocation"))
-rule("resolved_type_ivk_ps", "?x a TypeMethodInvocationStatement", "?x name ?full")(_retyped("PrimaryMethodInvocationStatement"))
+rule("resolved_type_ivk_pe", "?x a TypeMethodInvocation", "?x name ?whole")(_retyped("PrimaryMethodInvocation"))
+rule("resolved_type_ivk_ps", "?x a TypeMethodInvocationStatement", "?x name ?whole")(_retyped("PrimaryMethodInvocationStatement"))
 
 
 # --- declarations of the types of expressions -------------------------------------------------------
@@ -354,8 +344,8 @@ def _(b: B) -> B:
 
 
 def _enum_constant(b: B) -> B:
-    b = b.match("?en a EnumDeclaration", "?en fullyQualifiedName ?q", "?en inSourceTree ?tree", "?c inEnum ?en", "?c a EnumConstant", "?c name ?cn").bind("full", "concat(q, '.', cn)")
-    return b.match("?x name ?full", "?x a Name", _TREE)
+    b = b.match("?en a EnumDeclaration", "?en fullyQualifiedName ?q", "?en inSourceTree ?tree", "?c inEnum ?en", "?c a EnumConstant", "?c name ?cn").bind("whole", "concat(q, '.', cn)")
+    return b.match("?x name ?whole", "?x a Name", _TREE)
 
 
 def _of_this(b: B, prop: str) -> B:
@@ -364,7 +354,7 @@ def _of_this(b: B, prop: str) -> B:
     own = ways.match("?x inTypeDeclaration ?u").unless("?x inStatement/inInstanceCreation ?any")
     own = own.bind("t", "u") if prop == "ofReferenceType" else own.match("?u fullyQualifiedName ?t")
     made = ways.match("?x inStatement/inInstanceCreation ?new", f"?new {prop} ?t")
-    return Bindings(b.paths, own.rows.select("x", "t").unionByName(made.rows.select("x", "t"))).unless(f"?x {prop} ?any")
+    return own.distinct("x", "t").plus(made.distinct("x", "t")).unless(f"?x {prop} ?any")
 
 
 rule("reftype_of_this", "?x ofReferenceType ?t")(lambda b: _of_this(b, "ofReferenceType"))
@@ -407,23 +397,14 @@ def _nameless(b: B) -> B:
     return b.unless("?x typeName ?any")
 
 
-def _by_class(b: B, var: str, names: dict[str, str]) -> B:
-    """Type names by class, narrower classes included."""
-    rows = None
-    for cls, name in names.items():
-        one = b.paths.store.typed(cls).select(F.col("s").alias(var), F.lit(name).alias("tn"))
-        rows = one if rows is None else rows.unionByName(one)
-    return Bindings(b.paths, rows)
-
-
-rule("type_of_literal", "?x typeName ?tn")(lambda b: _by_class(b, "x", _LITERALS))
+rule("type_of_literal", "?x typeName ?tn")(lambda b: b.classes("x", _LITERALS, "tn"))
 
 
 @rule("type_of_declared_var", "?x typeName ?tn", "?x typeDims ?dims")
 def _(b: B) -> B:
     b = b.match("?x a Name", "?x declaredBy ?d", "?d a VariableDeclarator", "?d inVariableDeclaration ?vd", "?ty parent ?vd", "?ty a Type")
-    named = _by_class(b, "ty", {f"{p.capitalize()}Type": p for p in _PRIMITIVES}).rows.unionByName(b.group("?ty name ?tn").select("ty", "tn"))
-    return b._join(named).optional("?ty dimensions ?dims")
+    named = b.fresh().classes("ty", {f"{p.capitalize()}Type": p for p in _PRIMITIVES}, "tn").plus(b.fresh().match("?ty name ?tn"))
+    return b.join(named).optional("?ty dimensions ?dims")
 
 
 @rule("type_of_var_declared_by_param", "?x typeName ?name_", "?x typeDims ?dims")
@@ -436,7 +417,7 @@ def _(b: B) -> B:
     return b.match("?x a StandardInstanceCreation", "?x child1/name ?tn")
 
 
-@rule("type_of_enum_const", "?x typeName ?full")
+@rule("type_of_enum_const", "?x typeName ?whole")
 def _(b: B) -> B:
     return _nameless(_enum_constant(b))
 
@@ -449,22 +430,21 @@ def _(b: B) -> B:
 @rule("type_of_bop", "?x typeName ?tn", "?x typeDims ?dims")
 def _(b: B) -> B:
     """Both operands count, so that an operation may get two names."""
-    b = b.match("?x a BinaryOp", "?x child0 ?l", "?x child1 ?r")
-    sides = b.rows.select("x", F.explode(F.array("l", "r")).alias("e"))
-    return _nameless(Bindings(b.paths, sides).match("?e typeName ?tn").optional("?e typeDims ?dims"))
+    b = b.match("?x a BinaryOp", "?x child0 ?l", "?x child1 ?r").each("e", ["l", "r"])
+    return _nameless(b.match("?e typeName ?tn").optional("?e typeDims ?dims"))
 
 
 @rule("type_of_cast", "?x typeName ?tn", "?x typeDims ?dims")
 def _(b: B) -> B:
     """Its template's subject is never bound, so it gives no facts."""
     b = b.match("?c a Cast", "?c child0 ?ty", "?ty name ?tn").optional("?ty dimensions ?dims")
-    return b.bind("x", F.lit(None).cast("string"))
+    return b.bind("x", "cast(null as string)")
 
 
 @rule("type_of_array_access", "?x typeName ?tn", "?x typeDims ?less")
 def _(b: B) -> B:
     b = b.match("?x a ArrayAccess", "?x child0+ ?y", "?y typeName ?an").optional("?y typeDims ?dims")
-    return b.bind("tn", cut_ends(F.col("an"))).bind("less", "cast(dims as int) - 1")
+    return b.bind("tn", "substr(an, 1, greatest(length(an) - 2, 0))").bind("less", "cast(dims as int) - 1")
 
 
 @rule("type_of_ivk", "?x typeName ?tn", "?x typeDims ?dims")
@@ -501,23 +481,16 @@ def _applicable(b: B) -> B:
     have dimensions and these differ.  Beyond the parameters of a method of variable arity, arguments
     are held against its last one.  Only arguments 0 to 5 are looked at; unknown ones contradict nothing.
     """
-    paths = b.paths
     b = b.bind("nparams", "cast(nparams as int)").bind("nargs", "cast(nargs as int)").where("nparams between 1 and 15").flag("many", "?m isVariableArityMethod true")
     b = b.where("nparams = nargs or (many and (nargs = nparams - 1 or nparams < nargs))")
-    facts = paths.store.facts()
-    position = lambda p: F.regexp_extract("p", f"^{p}([0-9]+)$", 1).try_cast("int")
-    args = facts.select(F.col("s").alias("args"), position("child").alias("place"), F.col("o").alias("arg")).filter("place between 0 and 5")
-    types = facts.select(F.col("s").alias("m"), position("parameterTypeName").alias("k"), F.col("o").alias("named")).filter("k is not null")
-    dims = facts.select(F.col("s").alias("m"), position("parameterTypeDims").alias("k"), F.col("o").alias("pdims")).filter("k is not null")
-    d = b.rows.select("x", "m", "args", "nparams", "nargs", "v").distinct().join(args, "args")
-    d = d.withColumn("k", F.when(F.col("place") < F.col("nparams"), F.col("place")).when(F.col("place") < F.col("nargs"), F.col("nparams") - 1)).join(types, ["m", "k"]).join(dims, ["m", "k"], "left")
-    same = Bindings(paths).match("?arg typeName ?named").rows.distinct().withColumn("same", F.lit(True))
-    below = Bindings(paths).match("?arg ofReferenceType ?aty", "?aty version ?v", "?aty subTypeOf* ?ty", "?ty version ?v", "?ty a TypeDeclaration", "?ty fullyQualifiedName ?named")
-    below = below.rows.select("arg", "named", "v").distinct().withColumn("below", F.lit(True))
-    sized = Bindings(paths).match("?arg typeDims ?adims").rows
-    d = d.join(same, ["arg", "named"], "left").join(below, ["arg", "named", "v"], "left").join(sized, "arg", "left")
-    wrong = d.filter("(same is null and below is null and named <> 'java.lang.Object') or adims <> pdims").select("x", "m").distinct()
-    return Bindings(paths, b.rows.join(wrong, ["x", "m"], "left_anti"))
+    d = b.distinct("x", "m", "args", "nparams", "nargs", "v").numbered("?args child ?arg", "place", range(6))
+    d = d.bind("k", "CASE WHEN place < nparams THEN place WHEN place < nargs THEN nparams - 1 END")
+    d = d.join(b.fresh().numbered("?m parameterTypeName ?named", "k", range(16))).join(b.fresh().numbered("?m parameterTypeDims ?pdims", "k", range(16)), "left")
+    same = b.fresh().match("?arg typeName ?named").distinct("arg", "named").bind("same", "true")
+    below = b.fresh().match("?arg ofReferenceType ?aty", "?aty version ?v", "?aty subTypeOf* ?ty", "?ty version ?v", "?ty a TypeDeclaration", "?ty fullyQualifiedName ?named")
+    d = d.join(same, "left").join(below.distinct("arg", "named", "v").bind("below", "true"), "left").optional("?arg typeDims ?adims")
+    wrong = d.where("(same is null and below is null and named <> 'java.lang.Object') or adims <> pdims").distinct("x", "m")
+    return b.join(wrong, "left_anti")
 
 
 def _uncalled(b: B) -> B:
@@ -568,8 +541,7 @@ def _(b: B) -> B:
 def _(b: B) -> B:
     """Only where a class and what it extends hold a single candidate."""
     c = b.match("?m a MethodDeclaration", "?m child5 ?body", "?m extendedName ?n", "?m inTypeDeclaration ?u", "?t subClassOf* ?u", "?t a TypeDeclaration", "?t version ?v", "?u version ?v")
-    one = c.rows.groupBy("n", "t").agg(F.count_distinct("m").alias("k"), F.any_value("m").alias("m")).filter("k = 1").drop("k")
-    b = Bindings(b.paths, one).match("?x extendedName ?n", "?x a Invocation", "?x a! ?kind").values("kind", ["SimpleMethodInvocation", "SimpleMethodInvocationStatement"])
+    b = c.only_one(["n", "t"], "m").match("?x extendedName ?n", "?x a Invocation", "?x a! ?kind").values("kind", ["SimpleMethodInvocation", "SimpleMethodInvocationStatement"])
     return _uncalled(_method(b.match("?x inTypeDeclaration+ ?t"), "MethodDeclaration"))
 
 
@@ -579,12 +551,12 @@ def _offered(b: B) -> B:
     inner = b.match("?t inTypeDeclaration+ ?t1", "?t a TypeDeclaration", "?t version ?v", "?t fullyQualifiedName ?tq")
     own = b.bind("t", "t1").match("?t fullyQualifiedName ?tq")
     columns = ["m", "n", "t", "tq", "v"]
-    return Bindings(b.paths, own.rows.select(*columns).unionByName(inner.rows.select(*columns)).distinct())
+    return own.distinct(*columns).plus(inner.distinct(*columns)).distinct(*columns)
 
 
 @rule("type_ivk0", *_CALL)
 def _(b: B) -> B:
-    b = _offered(b).match("?m child5 ?body").bind("full", "concat(tq, '.', n)").match("?x name ?full", "?x a Invocation", "?x nArguments 0", "?x inTypeDeclaration/version ?v")
+    b = _offered(b).match("?m child5 ?body").bind("whole", "concat(tq, '.', n)").match("?x name ?whole", "?x a Invocation", "?x nArguments 0", "?x inTypeDeclaration/version ?v")
     return _uncalled(_method(b.match("?x a ?kind").values("kind", ["TypeMethodInvocation", "TypeMethodInvocationStatement"]), "MethodDeclaration"))
 
 
@@ -597,23 +569,22 @@ def _(b: B) -> B:
 def _creations(b: B, ways: tuple[int, ...]) -> B:
     """Instance creations ?x and constructors ?m by name: 0 as it is, 1 with the package or an import on demand in front, 2 as an inner class of a super class."""
     c = b.match("?m a ConstructorDeclaration", "?m name ?mn", "?m inTypeDeclaration ?t", "?m nParameters ?nparams", "?t version ?v", "?t name ?tn", "?t fullyQualifiedName ?tq")
-    c = c.bind("full", "concat(tq, '.', mn)").bind("short", "concat(tn, '.', mn)").distinct("m", "v", "full", "short", "nparams")
+    c = c.bind("whole", "concat(tq, '.', mn)").bind("short", "concat(tn, '.', mn)").distinct("m", "v", "whole", "short", "nparams")
     x = b.match("?x a InstanceCreation", "?x nArguments ?nargs", "?x name ?short", "?x inTypeDeclaration ?own", "?own version ?v")
-    found = []
+    found, columns = [], ["x", "m", "v", "nargs", "nparams"]
     if 0 in ways:
-        found.append(x.bind("full", "short").rows.select("x", "nargs", "v", "full").join(c.rows, ["v", "full"]))
+        found.append(x.bind("whole", "short").distinct("x", "nargs", "v", "whole").join(c.distinct("m", "v", "whole", "nparams")))
     if 1 in ways:
         y = x.match("?own inFile ?f").either(["?p parent/inFile ?f", "?p a PackageDeclaration", "?p name ?pn"], ["?p parent/parent/inFile ?f", "?p a TypeImportOnDemandDeclaration", "?p name ?pn"])
-        found.append(y.bind("full", "concat(pn, '.', short)").rows.select("x", "nargs", "v", "full", "short").distinct().join(c.rows, ["v", "full", "short"]))
+        found.append(y.bind("whole", "concat(pn, '.', short)").distinct("x", "nargs", "v", "whole", "short").join(c))
     if 2 in ways:
-        y = x.match("?own inFile ?f", "?own subClassOf+ ?u", "?u version ?v", "?inner inTypeDeclaration ?u", "?inner a TypeDeclaration", "?inner name ?in", "?u name ?un", "?p parent/inFile ?f", "?p a PackageDeclaration", "?p name ?pn")
-        y = y.where("short = concat(`in`, '.<init>')").bind("full", "concat(pn, '.', un, '$', short)")
-        found.append(y.rows.select("x", "nargs", "v", "full", "short").distinct().join(c.rows, ["v", "full", "short"]))
-    rows = None
-    for one in found:
-        one = one.select("x", "m", "v", "nargs", "nparams")
-        rows = one if rows is None else rows.unionByName(one)
-    return Bindings(b.paths, rows.distinct())
+        y = x.match("?own inFile ?f", "?own subClassOf+ ?u", "?u version ?v", "?nested inTypeDeclaration ?u", "?nested a TypeDeclaration", "?nested name ?inn", "?u name ?un", "?p parent/inFile ?f", "?p a PackageDeclaration", "?p name ?pn")
+        y = y.where("short = concat(inn, '.<init>')").bind("whole", "concat(pn, '.', un, '$', short)")
+        found.append(y.distinct("x", "nargs", "v", "whole", "short").join(c))
+    out = found[0].distinct(*columns)
+    for one in found[1:]:
+        out = out.plus(one.distinct(*columns))
+    return out.distinct(*columns)
 
 
 @rule("new_ivk0", *_CALL)
@@ -635,16 +606,15 @@ def _(b: B) -> B:
 def _(b: B) -> B:
     """By the field's full name, with ``$`` or ``.`` between types, in the version; or by its name within its own type."""
     f = b.match("?d a VariableDeclarator", "?d parent ?fd", "?d name ?fn", "?fd a FieldDeclaration", "?fd inTypeDeclaration ?t", "?t a TypeDeclaration", "?t fullyQualifiedName ?q")
-    full = F.array_distinct(F.array(F.concat("q", F.lit("."), "fn"), F.concat(F.translate("q", "$", "."), F.lit("."), "fn")))
-    wide = f.bind("n", F.explode(full)).match("?t version ?v", "?x name ?n", "?x a Name", "?x inTypeDeclaration/version ?v")
+    wide = f.each("n", ["concat(q, '.', fn)", "concat(translate(q, '$', '.'), '.', fn)"]).match("?t version ?v", "?x name ?n", "?x a Name", "?x inTypeDeclaration/version ?v")
     near = f.bind("n", "fn").match("?x name ?n", "?x a Name", "?x inTypeDeclaration ?t")
-    return Bindings(b.paths, wide.rows.select("x", "d").unionByName(near.rows.select("x", "d")).distinct()).unless("?x declaredBy ?any")
+    return wide.distinct("x", "d").plus(near.distinct("x", "d")).distinct("x", "d").unless("?x declaredBy ?any")
 
 
-@rule("resolved_type_ivk", "?x name ?full")
+@rule("resolved_type_ivk", "?x name ?whole")
 def _(b: B) -> B:
     b = b.match("?m a MethodDeclaration", "?m name ?mn", "?m fullyQualifiedName ?q", "?m nParameters ?k", "?m inTypeDeclaration ?t", "?t inSourceTree ?tree", "?t name ?tn", "?t inFile ?f", "?p parent/inFile ?f", "?p a PackageDeclaration", "?p name ?pn")
-    b = b.bind("n", "concat(tn, '.', mn)").bind("full", F.translate("q", "$", ".")).where("full = concat(pn, '.', n)").distinct("pn", "full", "tree", "k", "n")
+    b = b.bind("n", "concat(tn, '.', mn)").bind("whole", "translate(q, '$', '.')").where("whole = concat(pn, '.', n)").distinct("pn", "whole", "tree", "k", "n")
     b = b.match("?x name ?n", "?x a Invocation", "?x nArguments ?k", _TREE, "?x a ?kind").values("kind", ["TypeMethodInvocation", "TypeMethodInvocationStatement"])
     return b.match("?x inTypeDeclaration/inFile ?g", "?r parent/inFile ?g", "?r a PackageDeclaration", "?r name ?pn")
 
@@ -652,33 +622,144 @@ def _(b: B) -> B:
 @rule("reftype_of_expr", "?x ofReferenceType ?t")
 def _(b: B) -> B:
     """What the three rules for array accesses, parentheses and field accesses give together."""
-    rows = None
-    for name in ("reftype_of_expr0", "reftype_of_expr1", "reftype_of_expr2"):
-        one = RULES[name].body(b).rows.select("x", "t")
-        rows = one if rows is None else rows.unionByName(one)
-    return Bindings(b.paths, rows.distinct())
-
-
-#: In this order; the second list is run three times, as names, types and calls feed one another.
-FIRST = [
-    "tdecl_in_srctree", "stmt_level0", "stmt_level", *(n for n in RULES if n.startswith(("pruned_", "grafted_"))), "resolved_tyvar",
-    "class_hierarchy", "class_name_hierarchy", "interface_hierarchy", "tdecl_mapped_eq", "tdecl_modified", "file_mapping", "stable_mapping",
-    "refers_to_decl", "return_type", "return_reftype", "param_ty", "param_ty_name", "declared_by_catch_param", "declared_by_for_header",
-    "declared_by_field0-0-0", "declared_by_field0-0-1", "declared_by_field0-1", "type_of_literal", "type_of_new", "super_ivk0", "this_ivk0", "new_ivk0", "simple_ivk0",
-]
-AGAIN = [
-    "resolved_enum_const", "resolved_reftype", "resolved_facc", "resolved_facc0", "resolved_type_ivk", "resolved_type_ivk_pe", "resolved_type_ivk_ps", "declared_by_field0-0-2",
-    "reftype_of_this", "reftype_of_declared_var", "reftype_of_var_declared_by_param", "reftype_of_enum_const", "reftype_of_new0", "reftype_of_new",
-    "reftype_of_cast", "reftype_of_ivk", "reftype_of_expr0", "reftype_of_expr1", "reftype_of_expr2", "type_of_this", "type_of_declared_var",
-    "type_of_var_declared_by_param", "type_of_enum_const", "type_of_ivk", "type_of_cast", "type_of_uop", "type_of_bop", "type_of_array_access",
-    "primary_ivk0", "type_ivk0", "simple_ivkx", "this_ivkx", "super_ivkx", "new_ivkx0", "new_ivkx1", "new_ivkx2",
-]
-LAST = ["declared_by_field2"]
+    first, *others = (RULES[name].body(b).distinct("x", "t") for name in ("reftype_of_expr0", "reftype_of_expr1", "reftype_of_expr2"))
+    for one in others:
+        first = first.plus(one)
+    return first.distinct("x", "t")
+
+
+# --- qualified calls and field accesses -------------------------------------------------------------
+
+
+def _kinds(b: B, kind: str) -> B:
+    """Invocations of a kind, as an expression or as a statement."""
+    return b.match("?x a ?kind").values("kind", [f"{kind}MethodInvocation", f"{kind}MethodInvocationStatement"])
+
+
+def _inherited(b: B, *more: str) -> B:
+    """Methods ?m with their extended names ?en and each class ?t of the version that is theirs or below it."""
+    b = b.match("?m a MethodDeclaration", "?m extendedName ?en", "?m inTypeDeclaration ?u", *more, "?t subClassOf* ?u", "?t version ?v", "?u version ?v")
+    return b
+
+
+@rule("primary_ivk", *_CALL)
+def _(b: B) -> B:
+    """Only where a class and what it extends hold a single candidate."""
+    b = _inherited(b, "?m child0 ?mods").only_one(["en", "t"], "m").match("?e ofReferenceType ?t", "?e a Expression", "?x child0 ?e", "?x extendedName ?en", "?t version ?v", "?x inTypeDeclaration/version ?v")
+    b = b.match("?x a! ?kind").values("kind", ["PrimaryMethodInvocation", "PrimaryMethodInvocationStatement"])
+    return _uncalled(_method(b, "MethodDeclaration"))
+
+
+@rule("type_ivk", *_CALL)
+def _(b: B) -> B:
+    """The same for calls on a type's name; interfaces' methods don't count."""
+    c = _inherited(b).unless("?u a InterfaceDeclaration").match("?t fullyQualifiedName ?tq").bind("whole", "concat(tq, '.', en)").only_one(["whole", "t"], "m")
+    return _uncalled(_method(_kinds(c.match("?t version ?v", "?x extendedName ?whole", "?x inTypeDeclaration/version ?v"), "Type"), "MethodDeclaration"))
+
+
+def _reached(b: B, *more: str) -> B:
+    """Methods ?m named ?n with ?nparams parameters that a type ?t of their version offers: its own, inherited ones, and those of types around it."""
+    b = b.match("?m a MethodDeclaration", "?m name ?n", "?m nParameters ?nparams", "?m inTypeDeclaration ?u", *more, "?u version ?v", "?t1 subTypeOf* ?u", "?t1 version ?v")
+    own = b.match("?t1 fullyQualifiedName ?tq").bind("t", "t1")
+    inner = b.match("?t inTypeDeclaration+ ?t1", "?t a TypeDeclaration", "?t version ?v", "?t fullyQualifiedName ?tq")
+    columns = ["m", "n", "nparams", "t", "tq", "v"]
+    return own.distinct(*columns).plus(inner.distinct(*columns)).distinct(*columns)
+
+
+@rule("primary_ivkx", *_CALL)
+def _(b: B) -> B:
+    b = _reached(b).match("?e ofReferenceType ?t", "?e a Primary", "?e parent ?x", "?x name ?n")
+    return _uncalled(_applicable(_method(_kinds(b, "Primary").match("?x nArguments ?nargs", "?x child2 ?args", "?args a Arguments"), "MethodDeclaration")))
+
+
+@rule("type_ivkx", *_CALL)
+def _(b: B) -> B:
+    """Any child may hold the arguments."""
+    b = _reached(b, "?m child5 ?body").bind("whole", "concat(tq, '.', n)").match("?x name ?whole", "?x a Invocation", "?x inTypeDeclaration/version ?v")
+    return _uncalled(_applicable(_method(_kinds(b, "Type").match("?x nArguments ?nargs", "?x child ?args"), "MethodDeclaration")))
+
+
+@rule("resolved_name", "?x a Name", "?x name ?whole")
+def _(b: B) -> B:
+    """An ambiguous name whose qualifier is an imported type that has such a field or constant, or inherits it."""
+    b = _ambiguous(b.match("?x a AmbiguousName", "?x inTypeDeclaration/inFile ?f", "?x name ?xn", "?x identifier ?id", "?x qualifier ?qn", "?f a File", "?f version ?v"))
+    b = b.match("?t name ?qn", "?t version ?v", "?t a TypeDeclaration", "?t fullyQualifiedName ?q").bind("cq", "translate(q, '$', '.')")
+    b = b.match("?i parent/parent/inFile ?f", "?i a ImportDeclaration", "?i name ?in_").where("concat(in_, '.', qn) = cq")
+    above = ["?t subTypeOf* ?u", "?t version ?v", "?u version ?v"]
+    b = b.flag("field_", "?d a VariableDeclarator", "?d inField ?fd", "?d name ?id", "?fd a FieldDeclaration", "?fd inTypeDeclaration ?u", *above)
+    b = b.flag("constant_", "?d a EnumConstant", "?d name ?id", "?d inEnum ?u", *above).where("field_ or constant_")
+    return b.bind("whole", "concat(cq, '.', id)")
+
+
+@rule("resolved_type_ivk_static", "?x a ?cat", "?x name ?whole")
+def _(b: B) -> B:
+    """Calls of methods that a static import on demand brings in."""
+    b = b.match("?m a MethodDeclaration", "?m inTypeDeclaration ?t0", "?m name ?n", "?m fullyQualifiedName ?q", "?m nParameters ?k", "?t0 inSourceTree ?tree", "?t0 fullyQualifiedName ?cq", "?t0 name ?tn", "?t0 inFile ?f0", "?p parent/inFile ?f0", "?p a PackageDeclaration", "?p name ?pn")
+    b = b.bind("whole", "translate(q, '$', '.')").distinct("whole", "tree", "k", "n", "cq")
+    b = b.match("?x name ?n", "?x a Invocation", "?x nArguments ?k", "?x inTypeDeclaration ?t", "?t inSourceTree ?tree", "?t inFile ?f", "?i parent/parent/inFile ?f", "?i a StaticImportOnDemandDeclaration", "?i name ?cq")
+    return b.flag("statement_", "?x a Statement").bind("cat", "CASE WHEN statement_ THEN 'TypeMethodInvocationStatement' ELSE 'TypeMethodInvocation' END")
+
+
+_REFERENCE_FIELD = [*_FIELD, "?fd child1 ?ty", "?ty a ReferenceType", "?ty parent ?fd", "?ty name ?tn", "?ty refersToDeclaration ?td"]
+
+
+@rule("reftype_of_field_access", "?x ofReferenceType ?td", "?x typeName ?tn", "?x typeDims ?dims", "?x declaredBy ?d")
+def _(b: B) -> B:
+    """By the field of the type of what is in front, of a type around it, or of a super type of these, in one source tree."""
+    b = b.match("?x a FieldAccess", "?x name ?n", "?x child0 ?e", "?e a Expression", "?e ofReferenceType ?t").distinct("x", "n", "t")
+    b = b.match("?t inSourceTree ?tree", "?t inTypeDeclaration* ?t1", "?t1 subTypeOf* ?t0", "?t0 inSourceTree ?tree").distinct("x", "n", "t0")
+    return _untyped(b.match("?fd inTypeDeclaration ?t0", *_REFERENCE_FIELD).optional("?ty dimensions ?dims"))
+
+
+@rule("reftype_of_local_field_access", "?x ofReferenceType ?td", "?x typeName ?tn", "?x typeDims ?dims")
+def _(b: B) -> B:
+    b = _own_access(b, "?x inTypeDeclaration ?t", "?x declaredBy ?d").distinct("x", "n", "d")
+    return _untyped(b.match("?fd inTypeDeclaration ?t0", *_REFERENCE_FIELD).optional("?ty dimensions ?dims"))
+
+
+@rule("type_of_field_access", "?x typeName ?name_", "?x typeDims ?dims", "?x declaredBy ?d")
+def _(b: B) -> B:
+    b = b.match("?x a FieldAccess", "?x name ?n", "?x child0 ?e", "?e a Expression", "?e ofReferenceType ?t0").distinct("x", "n", "t0")
+    b = b.match("?t0 version ?v", "?t0 inTypeDeclaration* ?t1", "?t1 version ?v", "?t1 subTypeOf* ?t", "?t version ?v").distinct("x", "n", "t")
+    b = b.match("?fd inTypeDeclaration ?t", "?fd a FieldDeclaration", "?fd child2 ?d", "?d name ?n", "?fd child1 ?ty", "?ty a Type")
+    return _nameless(_type_name(b).optional("?ty dimensions ?dims"))
+
+
+@rule("type_of_local_field_access", "?x typeName ?name_", "?x typeDims ?dims")
+def _(b: B) -> B:
+    """Accesses with ``this`` below them, or with nothing."""
+    b = b.match("?x a FieldAccess", "?x name ?n", "?x declaredBy ?d").flag("on_this", "?q parent ?x", "?q a This").flag("qualified", "?q2 parent ?x").where("on_this or not qualified")
+    b = b.match("?x inTypeDeclaration/version ?v").distinct("x", "n", "d", "v").match(*_FIELD, "?fd inTypeDeclaration ?t", "?t version ?v", "?fd child1 ?ty", "?ty a Type", "?ty parent ?fd")
+    return _nameless(_type_name(b).optional("?ty dimensions ?dims"))
+
+
+# The order in which rules run.  The second list is run three times, as names, types and
+# calls feed one another.  Rules in none of the lists are run by name only.
+FIRST = """
+tdecl_in_srctree file_mapping stmt_level0 stmt_level
+pruned_tdecl pruned_super_type pruned_method pruned_field pruned_field_access pruned_name pruned_enum_const pruned_invocation pruned_import pruned_param
+grafted_tdecl grafted_super_type grafted_method grafted_field grafted_field_access grafted_name grafted_enum_const grafted_invocation grafted_import grafted_param
+resolved_reftype resolved_tyvar resolved_type_ivk_pe resolved_type_ivk_ps resolved_type_ivk resolved_type_ivk_static
+class_hierarchy interface_hierarchy class_name_hierarchy resolved_enum_const resolved_facc0 refers_to_decl
+tdecl_mapped_eq tdecl_modified stable_mapping return_reftype return_type reftype_of_new0
+declared_by_field0-0-0 declared_by_field0-0-1 declared_by_field0-0-2 declared_by_field0-1 declared_by_catch_param declared_by_for_header
+reftype_of_enum_const reftype_of_cast reftype_of_declared_var reftype_of_var_declared_by_param reftype_of_local_field_access
+type_of_enum_const type_of_cast type_of_literal type_of_declared_var type_of_var_declared_by_param type_of_local_field_access
+param_ty param_ty_name simple_ivk0 super_ivk0 this_ivk0 new_ivk0
+""".split()
+AGAIN = """
+resolved_name resolved_facc
+reftype_of_this reftype_of_ivk reftype_of_new reftype_of_expr0 reftype_of_expr1 reftype_of_expr2 reftype_of_field_access
+type_of_this type_of_uop type_of_bop type_of_array_access type_of_ivk type_of_new type_of_field_access
+simple_ivkx primary_ivk0 primary_ivkx type_ivk0 type_ivkx new_ivkx0 new_ivkx1 new_ivkx2 super_ivkx this_ivkx
+""".split()
+LAST = ["declared_by_field2"]
 ROUNDS = 3
 
 
 def materialize_java(store) -> int:
     """All rules in run order; returns the number of new facts."""
-    from .rules import materialize
+    from .rules import Agenda, materialize
 
-    return materialize(store, [RULES[n] for n in FIRST]) + materialize(store, [RULES[n] for n in AGAIN], ROUNDS) + materialize(store, [RULES[n] for n in LAST])
+    agenda = Agenda(store)
+    return sum(materialize(store, [RULES[n] for n in names], rounds, agenda) for names, rounds in ((FIRST, 1), (AGAIN, ROUNDS), (LAST, 1)))

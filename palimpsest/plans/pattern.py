@@ -47,7 +47,7 @@ class Paths:
                 self.kept[path] = found
             return self.kept[path]
         if path.rstrip("!") == TYPE:
-            return self.store.facts().filter(F.col("p") == TYPE).select("s", "o")
+            return self.store.scan(TYPE, infer=False)
         return self.store.scan(path.rstrip("!"), infer=not path.endswith("!"))
 
 
@@ -136,9 +136,51 @@ class Bindings:
     def bind(self, var: str, value: str | Column) -> "Bindings":
         return self._with(self.rows.withColumn(var, F.expr(value) if isinstance(value, str) else value))
 
+    def each(self, var: str, values: list[str]) -> "Bindings":
+        """A solution for each of these expressions' values."""
+        return self._with(self.rows.withColumn(var, F.explode(F.array(*map(F.expr, values)))))
+
     def distinct(self, *variables: str) -> "Bindings":
         return self._with(self.rows.select(*variables).distinct())
 
+    def fresh(self) -> "Bindings":
+        """Without patterns so far, over the same facts."""
+        return Bindings(self.paths)
+
+    def join(self, other: "Bindings", how: str = "inner") -> "Bindings":
+        """Natural join; ``how``: inner, left, left_anti."""
+        return self._join(other.rows, how)
+
+    def plus(self, other: "Bindings") -> "Bindings":
+        """Solutions of either; both bind the same variables."""
+        return self._with(self.rows.unionByName(other.rows))
+
+    def steps(self, pattern: str, var: str) -> "Bindings":
+        """Closure of a path, with the length of the shortest way."""
+        s, path, o = pattern.split()
+        found = closure(self.paths.table(path), 1, step=var)
+        return self._join(found.withColumnRenamed("s", s[1:]).withColumnRenamed("o", o[1:]))
+
+    def numbered(self, pattern: str, var: str, numbers: Iterable[int]) -> "Bindings":
+        """Predicates that end in a number, such as child3; the number is bound too."""
+        s, prop, o = pattern.split()
+        found = self.paths.store.numbered([f"{prop}{n}" for n in numbers])
+        number = F.substring("p", len(prop) + 1, 9).cast("int")
+        return self._join(found.select(F.col("s").alias(s[1:]), number.alias(var), F.col("o").alias(o[1:])))
+
+    def classes(self, var: str, names: dict[str, str], name: str) -> "Bindings":
+        """Members of classes, narrower ones included, with a value for each class."""
+        rows = None
+        for cls, value in names.items():
+            one = self.paths.store.typed(cls).select(F.col("s").alias(var), F.lit(value).alias(name))
+            rows = one if rows is None else rows.unionByName(one)
+        return self._join(rows)
+
+    def only_one(self, keys: list[str], var: str) -> "Bindings":
+        """Of keys with a single value of a variable: keys and value."""
+        one = self.rows.groupBy(*keys).agg(F.count_distinct(var).alias("k_"), F.min(var).alias(var)).filter("k_ = 1")
+        return self._with(one.select(*keys, var))
+
 
 def construct(b: Bindings, template: str) -> DataFrame:
     """Facts of a template "subject predicate object"; ``?x`` and quoted SQL-free constants are allowed in all places."""

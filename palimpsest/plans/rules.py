@@ -27,18 +27,39 @@ class Rule:
         return out
 
 
-def materialize(store: FactStore, rules: list[Rule], rounds: int = 1) -> int:
+    def predicates(self) -> list[str] | None:
+        """Those of its facts, if its templates say so."""
+        names = [t.split()[1] for t in self.templates]
+        return None if any(n[0] == "?" for n in names) else sorted(set(names))
+
+
+class Agenda:
+    """Runs rules, but none again before a predicate that it has read got new facts."""
+
+    def __init__(self, store: FactStore):
+        self.store = store
+        self.last: dict[str, tuple[int, set[str]]] = {}  # rule: (step before it was run, what it read)
+
+    def run(self, rule: Rule) -> int:
+        step, reads = self.last.get(rule.name, (0, None))
+        if reads is not None and not self.store.changed_since(step, reads):
+            return 0
+        self.store.reads = set()
+        step, facts = self.store.step, rule.facts(self.store)
+        self.last[rule.name] = step, self.store.reads
+        return self.store.insert(facts, rule.predicates())
+
+
+def materialize(store: FactStore, rules: list[Rule], rounds: int = 1, agenda: Agenda | None = None) -> int:
     """Runs the rules in order, ``rounds`` times; later rules see the facts of earlier ones.  Returns how many facts are new."""
-    before = store.count()
-    for _ in range(rounds):
-        for r in rules:
-            store.insert(r.facts(store))
-    return store.count() - before
+    agenda = agenda or Agenda(store)
+    return sum(agenda.run(r) for _ in range(rounds) for r in rules)
 
 
 def fixpoint(store: FactStore, rules: list[Rule], most: int = 100) -> int:
-    """Rounds until one adds nothing; returns their number."""
+    """Rounds until one adds nothing; returns their number.  In each, only rules run whose predicates got facts."""
+    agenda = Agenda(store)
     for n in range(1, most + 1):
-        if not materialize(store, rules):
+        if not materialize(store, rules, 1, agenda):
             return n
     raise RuntimeError("the rules don't come to an end")

@@ -25,7 +25,8 @@ def qualified(spark: SparkSession, path: str) -> str:
     jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(conf)
-    fs.mkdirs(p)
+    if not fs.exists(p):
+        fs.mkdirs(p)
     return fs.resolvePath(p).toString().rstrip("/")
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from html import escape
+
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 #: Counters of a statistics text, by the label in front of them (fixed values).
 COUNTERS = {"nodes": r"nodes: (\d+) and (\d+)", "deletes": r"deletes\s*:\s*(\d+)", "inserts": r"inserts\s*:\s*(\d+)", "relabels": r"relabels\s*:\s*(\d+)", "moves": r"moves?\s*:\s*(\d+)", "mapping": r"mapping size\s*:\s*(\d+)"}
@@ -40,3 +42,35 @@ def write_classes(pairs: DataFrame, path: str) -> None:
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.json(path)
+
+
+def _report(lines: DataFrame, order: list, path: str) -> None:
+    """One text file; a report is small."""
+    lines.repartitionByRange(1, *order).sortWithinPartitions(*order).select("value").write.text(path)
+
+
+def dot_lines(edges: DataFrame, source: str, target: str, label: str | None = None, name: str = "g") -> DataFrame:
+    """(section, value): lines of a DOT graph of the distinct edges."""
+    quoted = lambda c: F.concat(F.lit('"'), F.regexp_replace(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), '"', '\\\\"'), F.lit('"'))
+    mark = F.concat(F.lit(" [label="), quoted(label), F.lit("]")) if label else F.lit("")
+    body = edges.select(F.lit(1).alias("section"), F.concat(F.lit("  "), quoted(source), F.lit(" -> "), quoted(target), mark, F.lit(";")).alias("value")).distinct()
+    ends = edges.sparkSession.createDataFrame([(0, f"digraph {name} {{"), (2, "}")], "section int, value string")
+    return body.unionByName(ends)
+
+
+def write_dot(edges: DataFrame, path: str, source: str, target: str, label: str | None = None, name: str = "g") -> None:
+    _report(dot_lines(edges, source, target, label, name), ["section", "value"], path)
+
+
+def html_lines(df: DataFrame, title: str, order: list[str]) -> DataFrame:
+    """(section, place, value): lines of a page with a table of all rows, in this order."""
+    escaped = lambda c: F.replace(F.replace(F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    cells = F.concat(*(F.concat(F.lit("<td>"), escaped(F.col(c)), F.lit("</td>")) for c in df.columns))
+    body = df.select(F.lit(1).alias("section"), F.row_number().over(W.orderBy(*order)).alias("place"), F.concat(F.lit("<tr>"), cells, F.lit("</tr>")).alias("value"))
+    head = "".join(f"<th>{escape(c)}</th>" for c in df.columns)
+    ends = [(0, 0, f"<!DOCTYPE html><html><head><meta charset=\"utf-8\"><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1><table>"), (0, 1, f"<tr>{head}</tr>"), (2, 0, "</table></body></html>")]
+    return body.unionByName(df.sparkSession.createDataFrame(ends, "section int, place int, value string"))
+
+
+def write_html(df: DataFrame, path: str, title: str, order: list[str]) -> None:
+    _report(html_lines(df, title, order), ["section", "place"], path)

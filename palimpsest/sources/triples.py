@@ -13,7 +13,7 @@ LINE = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(?:<([^>]*)>|(_:\S+)|"((?:[^"\\]|\\.)
 
 
 def read_triples(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(s, p, o, literal, datatype) of all lines of all files under a path; comments and broken lines are left out.
+    """(s, p, o, literal, datatype) of all lines of all files under a path; comments and broken lines are left out (``broken_lines`` has the latter).
 
     literal: whether o is a literal.  Files are found recursively; ``.gz`` ones are unpacked.
     """
@@ -51,6 +51,21 @@ def merge(spark: SparkSession, paths: list[str], out: str, files: int) -> None:
 
 def load(spark: SparkSession, path: str, store: FactStore, glob: str | None = None) -> int:
     """Bulk load into a store, all files in one job; loading again adds nothing."""
-    before = store.count() if store.written else 0
-    store.insert(read_triples(spark, path, glob).select("s", "p", "o"))
-    return store.count() - before
+    return store.insert(read_triples(spark, path, glob).select("s", "p", "o"))
+
+
+def broken_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """(file, line) of the lines that read_triples leaves out, but for empty ones and comments."""
+    r = spark.read.option("recursiveFileLookup", "true")
+    if glob:
+        r = r.option("pathGlobFilter", glob)
+    d = r.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+    return d.filter(~F.col("line").rlike(LINE) & ~F.col("line").rlike(r"^\s*(#.*)?$"))
+
+
+def dump(store: FactStore, path: str, facts_a_file: int = FACTS_A_FILE) -> None:
+    """All facts of a store as triple files; predicates and nodes are written as they are named, and objects that no fact is about as literals."""
+    facts = store.facts()
+    nodes = facts.select(F.col("s").alias("o")).distinct().withColumn("known_", F.lit(True))
+    d = facts.join(nodes, "o", "left").select("s", "p", "o", F.col("known_").isNull().alias("literal"), F.lit(None).cast("string").alias("datatype"))
+    write_triples(d, path, facts_a_file)

@@ -51,3 +51,21 @@ def test_rescue_against_mapped_files(spark):
     assert got == want
     plain = {(r["path1"], r["path2"]) for r in refine.rescue(table(a), table(b), "block").collect()}
     assert plain == {("p/pair.c", "q/pair.c")}
+
+
+def test_moves_within_moves(spark):
+    l = spark.createDataFrame([("p", "r", None), ("p", "a", "r"), ("p", "b", "a"), ("p", "c", "b"), ("p", "n", "r")], "pair_id string, path string, parent string")
+    r = spark.createDataFrame([("p", "r", None), ("p", "a2", "n"), ("p", "b2", "a2"), ("p", "c2", "r"), ("p", "n", "r")], l.schema)
+    m = spark.createDataFrame([("p", "r", "r"), ("p", "a", "a2"), ("p", "b", "b2"), ("p", "c", "c2"), ("p", "n", "n")], "pair_id string, path1 string, path2 string")
+    e = spark.createDataFrame([("p", "MOV", "a", "a2"), ("p", "MOV", "b", "b2"), ("p", "MOV", "c", "c2"), ("p", "DEL", "z", None)], "pair_id string, op string, path1 string, path2 string")
+    got = {(x["op"], x["path1"]) for x in refine.outer_moves(e, m, l, r).collect()}
+    assert got == {("MOV", "a"), ("MOV", "c"), ("DEL", "z")}
+
+
+def test_elaboration(spark):
+    node = "pair_id string, path string, parent string, label string"
+    l = spark.createDataFrame([("p", "r", None, "R"), ("p", "a", "r", "A"), ("p", "b", "r", "B"), ("p", "b2", "r", "B"), ("p", "x", "a", "X"), ("p", "q", None, "Q"), ("p", "k", "q", "K")], node)
+    r = spark.createDataFrame([("p", "R", None, "R"), ("p", "A", "R", "A"), ("p", "B", "R", "B"), ("p", "X", "A", "X"), ("p", "Q", None, "Q"), ("p", "K", "Q", "K")], node)
+    m = spark.createDataFrame([("p", "r", "R"), ("p", "k", "K")], "pair_id string, path1 string, path2 string")
+    got = {(x["path1"], x["path2"]) for x in refine.elaborated(m, l, r).collect()}
+    assert got == {("r", "R"), ("k", "K"), ("a", "A"), ("x", "X"), ("q", "Q")}  # of the two B none is the only one
