@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import sys
 from collections.abc import Callable, Iterator
-from functools import wraps
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -19,19 +19,40 @@ CHUNK = 2 << 20
 pa.set_memory_pool(pa.system_memory_pool())
 
 
+_caches: list = []
+
+
+def for_a_task(most: int) -> Callable:
+    """lru_cache for what a task has read; lean() empties it."""
+
+    def cached(f: Callable) -> Callable:
+        _caches.append(lru_cache(most)(f))
+        return _caches[-1]
+
+    return cached
+
+
+def release() -> None:
+    """Drop what for_a_task() holds, and give freed memory back to the system."""
+    for f in _caches:
+        f.cache_clear()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def lean(run: Callable) -> Callable:
-    """A mapInArrow function that gives freed memory back to the system when its task ends: workers are kept between tasks."""
+    """A mapInArrow function that keeps no memory when its task ends: workers are kept between tasks."""
 
     @wraps(run)
     def task(batches):
-        yield from run(batches)
-        if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-            libc.malloc_trim(0)
+        try:
+            yield from run(batches)
+        finally:
+            release()
 
     return task
 
 
-
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

@@ -10,14 +10,13 @@ shuffled, and a key that is everywhere costs one entry a block, not one an occur
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .batches import chunks, column, lean, rows_at
+from .batches import chunks, column, for_a_task, lean, rows_at
 from .shared import scratch, ship, stored
 
 #: Bytes of text in a block, and of all texts for one bucket of keys.
@@ -26,12 +25,14 @@ BUCKET_BYTES = 8 << 20
 LEAST_BUCKETS = 8
 #: Tasks that buckets are dealt to, at most.
 MOST_TASKS = 20_000
-#: Blocks of a part whose answers are stored, and read, together.
+#: Blocks of a part for which answers, and other rows about them, are stored and read together.
 STRETCH = 16
 
 
 def write_blocks(docs: DataFrame, text_col: str) -> DataFrame:
-    """(part, block, bytes, rows): blocks of rows of ``docs``, each within one row of the written table."""
+    """(part, block, bytes, rows): blocks of rows of ``docs``, each within one row of the written table, and alone in
+    its row group: what a task holds doesn't grow with the parts.
+    """
     ship(docs.sparkSession)
     most = BLOCK_BYTES
     schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("bytes", T.LongType()), T.StructField("rows", T.ArrayType(docs.schema))])
@@ -58,7 +59,7 @@ def write_blocks(docs: DataFrame, text_col: str) -> DataFrame:
         if held:
             yield flush()
 
-    return stored(docs.mapInArrow(run, schema), "blocks")
+    return stored(docs.mapInArrow(run, schema), "blocks", rows_a_group=1)
 
 
 def rows_of(batch: pa.RecordBatch) -> Iterator[tuple[int, int, pa.RecordBatch]]:
@@ -144,7 +145,7 @@ def answer(asked: DataFrame, buckets: int) -> tuple[str, int]:
     return path, STRETCH
 
 
-@lru_cache(4)
+@for_a_task(2)
 def _answers_of(path: str, part: int, stretch: int) -> dict[int, dict[int, bytes]]:
     out: dict[int, dict[int, bytes]] = {}
     for r in rows_at(f"{path}/part={part}/stretch={stretch}", "answers", ["block", "bucket", "bits"]):

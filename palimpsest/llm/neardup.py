@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .batches import column, lean, rows_at
-from .blocks import ASKED, answer, answered, ask, distinct, rows_of, write_blocks
+from .batches import column, for_a_task, lean, rows_at
+from .blocks import ASKED, STRETCH, answer, answered, ask, distinct, rows_of, write_blocks
 from .bpe import Ragged, spread
 from .components import components, forest
 from .shared import scratch, ship, stored
@@ -135,7 +135,7 @@ def _packed(classes: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return stored(classes.select("node", "sig").mapInArrow(pack, "part int, block int, nodes binary, sigs binary"), "dup-packed")
+    return stored(classes.select("node", "sig").mapInArrow(pack, "part int, block int, nodes binary, sigs binary"), "dup-packed", rows_a_group=1)
 
 
 def shared_keys(classes: DataFrame) -> DataFrame:
@@ -316,7 +316,7 @@ def _confirm(compare: Callable, across: bool):
     return run
 
 
-@lru_cache(4)
+@for_a_task(1)
 def _side(path: str, part: int) -> dict[int, list[dict]]:
     """Rows of a table stored by part, for one part, by block."""
     out: dict[int, list[dict]] = {}
@@ -328,13 +328,19 @@ def _side(path: str, part: int) -> dict[int, list[dict]]:
 
 
 def _by_part(df: DataFrame, blocks: DataFrame, what: str) -> str:
-    """Path of ``df`` (part, block, at, ...) stored by part; every block has a row (with ``at`` -1), so that a missing one is an error."""
+    """Path of ``df`` (part, block, at, ...) stored by stretch of blocks and part; every block has a row (with ``at`` -1), so that a missing one is an error."""
     path = scratch(df.sparkSession, what)
     df = df.unionByName(blocks.select("part", "block", F.lit(-1).alias("at")), allowMissingColumns=True)
-    df.repartition("part").write.option("compression", "zstd").partitionBy("part").parquet(path)
+    df = df.withColumn("stretch", F.floor(F.col("block") / STRETCH).cast("int"))
+    df.repartition("part", "stretch").write.option("compression", "zstd").partitionBy("stretch", "part").parquet(path)
     return path
 
 
+def _beside(path: str, part: int, block: int) -> list[dict]:
+    """Rows of a table written by _by_part, for one block."""
+    return _side(f"{path}/stretch={block // STRETCH}", part)[block]
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(blocks, rows): the written blocks of ``docs``; and for each row its place (part, block, at), doc_id,
     n_shingles, component_id, kept and leads.
@@ -378,7 +384,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         def gather(batches):
             for batch in batches:
                 for part, block, rows in rows_of(batch):
-                    wanted = sorted(_side(side, part)[block], key=lambda r: r["at"])
+                    wanted = sorted(_beside(side, part, block), key=lambda r: r["at"])
                     for k in range(0, len(wanted), 500):
                         some = wanted[k : k + 500]
                         sets = shingle_sets(*utf8(column(rows, text_col).take(pa.array([r["at"] for r in some]))))
@@ -422,7 +428,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
         for batch in batches:
             for part, block, rows in rows_of(batch):
                 ok = np.ones(len(rows), bool)
-                ok[[r["at"] for r in _side(path, part)[block]]] = False
+                ok[[r["at"] for r in _beside(path, part, block)]] = False
                 yield rows.filter(pa.array(ok))
 
     return blocks.mapInArrow(keep, docs.schema)
