@@ -43,11 +43,11 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str = "fid") -> DataFra
 
 
 def outermost(ranges: DataFrame, key: str = "fid") -> DataFrame:
-    """Ranges that no other range of the file strictly holds: one window, no self-join."""
+    """Ranges that no other range of the file strictly holds: one window, no self-join.  One without a file or an end holds none and is held by none."""
     # In the order of starts (longest first) a range is held by an earlier one that reaches as far.
     earlier = W.partitionBy(key).orderBy("so", F.desc("eo")).rowsBetween(W.unboundedPreceding, -1)
-    top = ranges.select(key, "so", "eo").distinct().withColumn("reach_", F.max("eo").over(earlier))
-    return ranges.join(top.filter("reach_ is null or reach_ < eo").drop("reach_"), [key, "so", "eo"], "left_semi")
+    held = ranges.select(key, "so", "eo").dropna().distinct().withColumn("reach_", F.max("eo").over(earlier)).filter("reach_ >= eo")
+    return ranges.join(held.drop("reach_"), [key, "so", "eo"], "left_anti")
 
 
 def islands(rows: DataFrame, key: list[str], value: str) -> DataFrame:

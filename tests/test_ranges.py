@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from palimpsest.operators import ranges as R
 from palimpsest.plans.closure import ancestors_by_interval
 from palimpsest.operators import trees as T
@@ -33,3 +35,22 @@ def test_ancestors(spark):
             parent = nodes[parent][2]
     df = spark.createDataFrame([("t", i, left) for i, (_, left, _) in enumerate(nodes)], "tree_id string, gid int, leftmost int")
     assert {(r["gid"], r["ancestor"]) for r in ancestors_by_interval(df).collect()} == want
+
+
+def _against_sql(spark, tmp_path, names, rows):
+    """Queries over events of which some lack a user or a time, or have ids below 0, against their SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    import __spark_entry__ as e
+
+    path = str(tmp_path / "events.parquet")
+    con = duckdb.connect()
+    con.sql(f"copy (select event_id::bigint as event_id, timestamp '2024-01-01' + to_minutes(minute::bigint) as ts, user_id::bigint as user_id from (values {', '.join(rows)}) t(event_id, minute, user_id)) to '{path}' (format parquet)")
+    con.sql(f"create view events as select * from '{path}'")
+    order = lambda found: sorted((tuple(r) for r in found), key=repr)
+    for name in names:
+        want = con.sql(e.oracle_sql()[name])
+        assert order(e.queries()[name](spark, str(tmp_path)).select(*want.columns).collect()) == order(want.fetchall()), name
+
+
+def test_outermost_ranges_without_a_file_or_an_end(spark, tmp_path):
+    _against_sql(spark, tmp_path, ["u5_outermost_ranges"], ["(3, 0, 1)", "(1, 5, 1)", "(96, 7, NULL)", "(2, 8, NULL)", "(4, NULL, 1)", "(NULL, 9, 1)", "(50, 2, 2)"])
