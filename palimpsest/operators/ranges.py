@@ -74,8 +74,8 @@ def from_fragment(df: DataFrame, fragment: str, value: str) -> DataFrame:
 
 
 def merged(ranges: DataFrame, key: list[str], touching: int = 1) -> DataFrame:
-    """Ranges that overlap or touch become one: (key, so, eo, n)."""
-    w = W.partitionBy(*key).orderBy("so", "eo")
+    """Ranges that overlap or touch become one: (key, so, eo, n).  Those without a start come last, and belong to the last one."""
+    w = W.partitionBy(*key).orderBy(F.asc_nulls_last("so"), F.asc_nulls_last("eo"))
     reach = F.max("eo").over(w.rowsBetween(W.unboundedPreceding, -1))
     d = ranges.withColumn("new_", F.when(reach.isNull() | (F.col("so") > reach + touching), 1).otherwise(0))
     d = d.withColumn("g_", F.sum("new_").over(w.rowsBetween(W.unboundedPreceding, 0)))

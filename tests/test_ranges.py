@@ -54,3 +54,7 @@ def _against_sql(spark, tmp_path, names, rows):
 
 def test_outermost_ranges_without_a_file_or_an_end(spark, tmp_path):
     _against_sql(spark, tmp_path, ["u5_outermost_ranges"], ["(3, 0, 1)", "(1, 5, 1)", "(96, 7, NULL)", "(2, 8, NULL)", "(4, NULL, 1)", "(NULL, 9, 1)", "(50, 2, 2)"])
+
+
+def test_merged_ranges_without_a_start(spark, tmp_path):
+    _against_sql(spark, tmp_path, ["w4_merged_ranges"], ["(3, 0, 1)", "(1, 5, 1)", "(4, NULL, 1)", "(5, 900, 1)", "(6, NULL, NULL)", "(7, 1, NULL)", "(8, NULL, 3)"])
