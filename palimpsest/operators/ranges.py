@@ -34,12 +34,15 @@ def containment_join(outer: DataFrame, inner: DataFrame, key: str = "fid", stric
 
 
 def overlap_join(left: DataFrame, right: DataFrame, key: str = "fid") -> DataFrame:
-    """Pairs of ranges of one file that share something, with what they share as (mso, meo): one begins in the other."""
+    """Pairs of ranges of one file that share something, with what they share as (mso, meo): one begins in the other.
+
+    A range that ends before it begins meets those that hold both its ends, as so <= eo2 and so2 <= eo have it.
+    """
     b = _second(right, key)
-    m = ident.meet(F.col("so"), F.col("eo"), F.col("so2"), F.col("eo2"))
     found = points_in(left, b, [key], "so", "eo", "so2")
-    found = found.unionByName(points_in(b, left, [key], "so2", "eo2", "so").filter("so > so2"))
-    return found.withColumn("m", m).filter("m is not null").withColumn("mso", F.col("m.so")).withColumn("meo", F.col("m.eo")).drop("m")
+    found = found.unionByName(points_in(b, left, [key], "so2", "eo2", "so").filter("so > so2 or so > eo"))
+    found = found.filter(ident.overlaps(F.col("so"), F.col("eo"), F.col("so2"), F.col("eo2")))
+    return found.withColumn("mso", F.greatest("so", "so2")).withColumn("meo", F.least("eo", "eo2"))
 
 
 def outermost(ranges: DataFrame, key: str = "fid") -> DataFrame:

@@ -58,3 +58,7 @@ def test_outermost_ranges_without_a_file_or_an_end(spark, tmp_path):
 
 def test_merged_ranges_without_a_start(spark, tmp_path):
     _against_sql(spark, tmp_path, ["w4_merged_ranges"], ["(3, 0, 1)", "(1, 5, 1)", "(4, NULL, 1)", "(5, 900, 1)", "(6, NULL, NULL)", "(7, 1, NULL)", "(8, NULL, 3)"])
+
+
+def test_overlaps_of_ranges_that_end_before_they_begin(spark, tmp_path):
+    _against_sql(spark, tmp_path, ["j12_overlap"], ["(90, 0, 1)", "(-3, 500, 1)", "(-1, 1900, 1)", "(2, 490, 1)", "(-4, 20, 1)", "(NULL, 3, 1)", "(5, 500, 1)", "(-2, 500, 1)"])
