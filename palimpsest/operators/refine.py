@@ -119,6 +119,27 @@ def token_delta(left: DataFrame, right: DataFrame) -> DataFrame:
     return d.groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("tokens1"), F.lit(0)).alias("tokens1"), F.coalesce(F.sum("tokens2"), F.lit(0)).alias("tokens2"))
 
 
+#: Ratios of strings shorter than this are 1 for equal ones only; those of longer ones may be rounded to it.
+ROUNDED = 500_000
+#: What meets in a block and class of lengths is dealt to so many tasks.
+SLICES = 8
+
+
+def _alike(x: DataFrame, y: DataFrame, block: str, n: int, m: int, bound: float) -> DataFrame:
+    """(block, id{n}, id{m}, score) of values (block, id{n}, v{n}) and (block, id{m}, v{m}) with this score or more.
+
+    Those of a block whose lengths differ by less than a factor meet without their values, by classes of length; values are fetched for those.
+    """
+    width = math.log((2 - bound) / bound) * 1.001
+    narrow = lambda d, k, c: d.select(block, f"id{k}", F.length(f"v{k}").alias(c), F.floor(F.log(F.greatest(F.length(f"v{k}"), F.lit(1))) / width).cast("int").alias("class_"))
+    k = F.col("class_")
+    far = narrow(x, n, "n_").withColumn("slice_", F.pmod(F.xxhash64(f"id{n}"), F.lit(SLICES)).cast("int"))
+    near = narrow(y, m, "m_").withColumn("class_", F.explode(F.array(k - 1, k, k + 1))).withColumn("slice_", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+    pairs = far.join(near, [block, "class_", "slice_"]).filter(2 * F.least("n_", "m_") >= bound * (F.col("n_") + F.col("m_"))).select(block, f"id{n}", f"id{m}")
+    pairs = pairs.join(x.select(block, f"id{n}", f"v{n}"), [block, f"id{n}"]).join(y.select(block, f"id{m}", f"v{m}"), [block, f"id{m}"])
+    return pairs.select(block, f"id{n}", f"id{m}", ratio(f"v{n}", f"v{m}").alias("score")).filter(F.col("score") >= bound)
+
+
 def rescue(removed: DataFrame, added: DataFrame, block: str, least: float = 0.7, least_path: float = 0.8, modified1: DataFrame | None = None, modified2: DataFrame | None = None, least_mapped: float = 0.9) -> DataFrame:
     """Pairs (path1, path2, score) of files (path, content, block) left over, by similarity of contents or of paths.
 
@@ -127,40 +148,57 @@ def rescue(removed: DataFrame, added: DataFrame, block: str, least: float = 0.7,
     several pairs; of equal scores the first path wins.  ``modified1`` and ``modified2`` are the files of
     either side that are mapped already: a file without a candidate by content is compared with those
     of the other side, and its best one over ``least_mapped`` is a pair too.
+
+    Equal contents count once, and no candidate beats one of equal content or path.  So only contents that
+    the other side hasn't in the block are compared, and the paths of files of which it has neither: that
+    work grows with their number times the number of contents or files of the block.
     """
     ship(removed.sparkSession)
-    side = lambda d, n: d.select(F.col(block), F.col("path").alias(f"path{n}"), F.col("content").alias(f"c{n}"))
-    a, b = side(removed, 1), side(added, 2)
-
-    def alike(x: DataFrame, y: DataFrame, by: str, bound: float) -> DataFrame:
-        """Pairs of a block whose lengths differ by less than a factor meet without contents, by classes of length; contents are fetched for those."""
-        sides = ["1" if "path1" in d.columns else "2" for d in (x, y)]
-        (px, vx), (py, vy) = ((f"path{n}", f"{by}{n}") for n in sides)
-        width = math.log((2 - bound) / bound) * 1.001
-        narrow = lambda d, p, v, n: d.select(block, p, F.length(v).alias(n), F.floor(F.log(F.greatest(F.length(v), F.lit(1))) / width).cast("int").alias("class_"))
-        k = F.col("class_")
-        near = narrow(y, py, vy, "m_").withColumn("class_", F.explode(F.array(k - 1, k, k + 1)))
-        pairs = narrow(x, px, vx, "n_").join(near, [block, "class_"]).filter(2 * F.least("n_", "m_") >= bound * (F.col("n_") + F.col("m_"))).select(px, py)
-        if by == "c":
-            pairs = pairs.join(x.select(px, vx), px).join(y.select(py, vy), py)
-        return pairs.select("path1", "path2", ratio(vx, vy).alias("score"))
-
-    by_content = alike(a, b, "c", least).filter(F.col("score") >= least)
-    mapped = modified1 is not None or modified2 is not None
-    if mapped:
-        by_content = stored(by_content, "rescued")
-    by_path = alike(a, b, "path", least_path).filter(F.col("score") >= least_path)
-    found = by_content.unionByName(by_path).groupBy("path1", "path2").agg(F.max("score").alias("score"))
-    best = lambda side, other: F.row_number().over(W.partitionBy(side).orderBy(F.desc("score"), other))
-    out = found.withColumn("b1", best("path1", "path2")).withColumn("b2", best("path2", "path1")).filter("b1 = 1 or b2 = 1").drop("b1", "b2")
-    if not mapped:
-        return out
-    for lone, other, n, m in ((a, modified2, 1, 2), (b, modified1, 2, 1)):
+    files, values, sides = {}, {}, ((1, 2), (2, 1))
+    for d, n in ((removed, 1), (added, 2)):
+        files[n] = stored(d.select(F.col(block), F.col("path").alias(f"path{n}"), F.sha2("content", 256).alias(f"id{n}")), "files")
+        v = d.filter("content is not null").groupBy(F.col(block), F.sha2("content", 256).alias(f"id{n}")).agg(F.min("content").alias(f"v{n}"), F.min("path").alias(f"first{n}"))
+        values[n] = stored(v, "contents")
+    short = lambda c: F.length(c) < ROUNDED
+    rename = lambda d, **names: d.withColumnsRenamed(names)
+
+    def compared(x: DataFrame, y: DataFrame, equal: DataFrame, bound: float) -> DataFrame:
+        """Pairs of values of which one side isn't among the equal ones (block, id)."""
+        free, rest = (x.join(rename(equal, id="id1"), [block, "id1"], how) for how in ("left_anti", "left_semi"))
+        return _alike(free, y, block, 1, 2, bound).unionByName(_alike(rest, y.join(rename(equal, id="id2"), [block, "id2"], "left_anti"), block, 1, 2, bound))
+
+    # Contents, each with its first path; of all that a content meets, it keeps the best.
+    equal = values[1].filter(short("v1")).select(block, F.col("id1").alias("id")).join(values[2].select(block, F.col("id2").alias("id")), [block, "id"])
+    equal = stored(equal, "equal")
+    alike = stored(compared(values[1].drop("first1"), values[2].drop("first2"), equal, least), "alike")
+    alike = alike.unionByName(equal.select(block, F.col("id").alias("id1"), F.col("id").alias("id2"), F.lit(1.0).alias("score")))
+    best = lambda d, *keys: d.groupBy(*keys).agg(F.min(F.struct((-F.col("score")).alias("less"), "other")).alias("b")).select(*keys, F.col("b.other").alias("other"), (-F.col("b.less")).alias("score"))
+    by_content = {}
+    for n, m in sides:
+        met = alike.join(values[m].select(block, f"id{m}", F.col(f"first{m}").alias("other")), [block, f"id{m}"])
+        by_content[n] = files[n].join(best(met, block, f"id{n}"), [block, f"id{n}"]).select(f"path{n}", "other", "score")
+
+    # Paths, but for files with an equal of either kind.
+    paths = {n: files[n].select(block, F.col(f"path{n}").alias(f"id{n}"), F.col(f"path{n}").alias(f"v{n}")).dropna().distinct() for n in (1, 2)}
+    same = stored(paths[1].filter(short("v1")).select(block, F.col("id1").alias("id")).join(paths[2].select(block, F.col("id2").alias("id")), [block, "id"]), "equal")
+    done = {n: files[n].join(rename(equal, id=f"id{n}"), [block, f"id{n}"], "left_semi").select(block, F.col(f"path{n}").alias("id")).unionByName(same).distinct() for n in (1, 2)}
+    free, rest = (paths[1].join(rename(done[1], id="id1"), [block, "id1"], how) for how in ("left_anti", "left_semi"))
+    near = _alike(free, paths[2], block, 1, 2, least_path).unionByName(_alike(rest, paths[2].join(rename(done[2], id="id2"), [block, "id2"], "left_anti"), block, 1, 2, least_path))
+    near = near.unionByName(same.select(block, F.col("id").alias("id1"), F.col("id").alias("id2"), F.lit(1.0).alias("score")))
+    way = lambda n, m: F.struct(F.lit(n).alias("side"), F.col(f"id{n}").alias("path"), F.col(f"id{m}").alias("other"))
+    found = near.select(F.explode(F.array(way(1, 2), way(2, 1))).alias("w"), "score").select("w.*", "score")
+    for n, _ in sides:
+        found = found.unionByName(by_content[n].select(F.lit(n).alias("side"), F.col(f"path{n}").alias("path"), "other", "score"))
+    pick = lambda one, other: F.when(F.col("side") == 1, F.col(one)).otherwise(F.col(other))
+    out = best(found, "side", "path").select(pick("path", "other").alias("path1"), pick("other", "path").alias("path2"), "score")
+    out = out.groupBy("path1", "path2").agg(F.max("score").alias("score"))
+    for (n, m), d, other in ((sides[0], removed, modified2), (sides[1], added, modified1)):
         if other is not None:
-            lone = lone.join(by_content.select(f"path{n}").distinct(), f"path{n}", "left_anti")
-            more = alike(lone, side(other, m), "c", least_mapped).filter(F.col("score") > least_mapped)
-            more = more.withColumn("r", best(f"path{n}", f"path{m}")).filter("r = 1").select("path1", "path2", "score")
-            out = out.unionByName(more)
+            side = lambda d, n: d.select(F.col(block), F.col("path").alias(f"id{n}"), F.col("content").alias(f"v{n}"))
+            lone = side(d, n).join(by_content[n].select(F.col(f"path{n}").alias(f"id{n}")).distinct(), f"id{n}", "left_anti")
+            more = _alike(lone, side(other, m), block, n, m, least_mapped).filter(F.col("score") > least_mapped).withColumnRenamed(f"id{m}", "other")
+            more = best(more, f"id{n}").select(F.col(f"id{n}").alias(f"path{n}"), F.col("other").alias(f"path{m}"), "score")
+            out = out.unionByName(more.select("path1", "path2", "score"))
     return out
 
 

@@ -1,5 +1,9 @@
 import difflib
 import itertools
+import random
+
+import pandas as pd
+from pyspark.sql import functions as F
 
 from palimpsest.operators import refine
 from palimpsest.sources.ontology import read_ontology
@@ -53,6 +57,33 @@ def test_rescue_against_mapped_files(spark):
     assert plain == {("p/pair.c", "q/pair.c")}
 
 
+def test_rescue_of_many_files_of_few_contents(spark, monkeypatch):
+    """Equal contents and paths are in several files, some of them in two blocks; null contents are nobody's equal."""
+    rng = random.Random(5)
+    words = ["", "red ring", "red rings", "old plate", "cold plate", "bolt", "hot bolts", None, "something else"]
+    row = lambda i: (f"{rng.choice(['dir', 'other'])}/{rng.randrange(40)}.c", rng.choice(words[:6] if i % 2 else words), rng.choice("xyz"))
+    a, b = [row(0) for _ in range(70)], [row(1) for _ in range(60)]
+    schema = "path string, content string, block string"
+    got = {(r[0], r[1]): r[2] for r in refine.rescue(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), "block").collect()}
+    score = lambda x, y: round(difflib.SequenceMatcher(None, x, y).ratio(), 6)
+    every: dict = {}
+    for (p, c, k), (q, e, m) in itertools.product(a, b):
+        by_content = score(c, e) if c is not None and e is not None else 0
+        if k == m and (s := max(by_content * (by_content >= 0.7), score(p, q) * (score(p, q) >= 0.8))):
+            every[p, q] = max(s, every.get((p, q), 0))
+    best1 = {p: min((-s, q) for (o, q), s in every.items() if o == p) for p in {p for p, _ in every}}
+    best2 = {q: min((-s, p) for (p, o), s in every.items() if o == q) for q in {q for _, q in every}}
+    assert got == {(p, q): -s for p, (s, q) in best1.items()} | {(p, q): -s for q, (s, p) in best2.items()}
+
+    # 4,000 files of one content: no two are compared.
+    def never(a: pd.Series, b: pd.Series) -> pd.Series:
+        raise AssertionError("compared")
+
+    monkeypatch.setattr(refine, "ratio", F.pandas_udf(never, "double"))
+    many = spark.range(4000).selectExpr("concat('file', id) as path", "'the same' as content", "'x' as block", "id % 2 as side")
+    assert refine.rescue(many.filter("side = 0"), many.filter("side = 1"), "block").count() == 3999
+
+
 def test_moves_within_moves(spark):
     l = spark.createDataFrame([("p", "r", None), ("p", "a", "r"), ("p", "b", "a"), ("p", "c", "b"), ("p", "n", "r")], "pair_id string, path string, parent string")
     r = spark.createDataFrame([("p", "r", None), ("p", "a2", "n"), ("p", "b2", "a2"), ("p", "c2", "r"), ("p", "n", "r")], l.schema)
