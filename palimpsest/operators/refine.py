@@ -66,16 +66,12 @@ def rename_votes(renames: DataFrame, by: list[str]) -> DataFrame:
 def by_unit(edits: DataFrame, mapping: DataFrame, units: DataFrame) -> DataFrame:
     """(pair_id, unit, edits, mapped) of the nearest enclosing unit (pair_id, path) of each edit and mapped node."""
     u = units.select("pair_id", F.col("path").alias("ancestor"))
-
-    def nearest(d: DataFrame) -> DataFrame:
-        up = ancestors(d).join(u, ["pair_id", "ancestor"])
-        return up.groupBy("pair_id", "path").agg(F.min_by("ancestor", "depth").alias("unit"))
-
     e = edits.select("pair_id", F.coalesce("path1", "path2").alias("path"), F.lit(1).alias("e"), F.lit(0).alias("m"))
     m = mapping.select("pair_id", F.col("path1").alias("path"), F.lit(0).alias("e"), F.lit(1).alias("m"))
-    both = e.unionByName(m)
-    at = nearest(both.select("pair_id", "path").distinct())
-    return both.join(at, ["pair_id", "path"]).groupBy("pair_id", "unit").agg(F.sum("e").alias("edits"), F.sum("m").alias("mapped"))
+    each = e.unionByName(m).groupBy("pair_id", "path").agg(F.sum("e").alias("e"), F.sum("m").alias("m"))
+    up = ancestors(each, "pair_id", "e", "m").join(u, ["pair_id", "ancestor"])
+    at = up.groupBy("pair_id", "path").agg(F.min_by(F.struct("ancestor", "e", "m"), "depth").alias("x"))
+    return at.groupBy("pair_id", F.col("x.ancestor").alias("unit")).agg(F.sum("x.e").alias("edits"), F.sum("x.m").alias("mapped"))
 
 
 _HUNK = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("start1", "n1", "start2", "n2")]))

@@ -40,3 +40,13 @@ def test_lines_are_grouped_once(spark):
     for d in _edits(spark, "/root/testdata/sf0.001"):
         plan = d._jdf.queryExecution().optimizedPlan().toString()
         assert "Aggregate" not in plan and "FullOuter" not in plan
+
+
+def test_units_in_units(spark):
+    """The nearest unit counts, and a path that is edited and mapped counts for both."""
+    e = spark.createDataFrame([("p", "REL", "a/0/x", "a/0/x"), ("p", "MOV", "a/0/x", "a/0/x"), ("p", "INS", None, "a/1"), ("p", "DEL", "b/1", None)], "pair_id string, op string, path1 string, path2 string")
+    m = spark.createDataFrame([("p", "a/0/x", "a/0/x"), ("p", "a/2", "a/2"), ("p", "a", "a")], "pair_id string, path1 string, path2 string")
+    units = spark.createDataFrame([("p", "a"), ("p", "a/0")], "pair_id string, path string")
+    found = refine.by_unit(e, m, units)
+    assert {tuple(r) for r in found.collect()} == {("p", "a/0", 2, 1), ("p", "a", 1, 1)}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
