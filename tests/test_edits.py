@@ -50,3 +50,8 @@ def test_units_in_units(spark):
     found = refine.by_unit(e, m, units)
     assert {tuple(r) for r in found.collect()} == {("p", "a/0", 2, 1), ("p", "a", 1, 1)}
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_nesting(spark):
+    d = spark.createDataFrame([("a",), ("a/b",), ("a/b/c",)], "path string")
+    assert [r[0] for r in d.select(edits.nesting("path")).collect()] == [0, 1, 2]
