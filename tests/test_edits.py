@@ -55,3 +55,16 @@ def test_units_in_units(spark):
 def test_nesting(spark):
     d = spark.createDataFrame([("a",), ("a/b",), ("a/b/c",)], "path string")
     assert [r[0] for r in d.select(edits.nesting("path")).collect()] == [0, 1, 2]
+
+
+def test_delta_of_any_mapping(spark):
+    """Nodes that go to other paths, and a script that is made once."""
+    l, r, left, right = _tables(spark)
+    l, r = ([x for x in rows if x[0] == "p"] for rows in (l, r))
+    left, right = left.filter("pair_id = 'p'"), right.filter("pair_id = 'p'")
+    m = spark.createDataFrame([("p", x[1], y[1]) for x, y in zip(l, reversed(r))], "pair_id string, path1 string, path2 string")
+    script = edits.delta(left, right, m)
+    assert "Join" not in script._jdf.queryExecution().optimizedPlan().toString()
+    rows = lambda d: sorted((tuple(x) for x in d.collect()), key=repr)
+    assert rows(edits.apply_delta(left, script)) == rows(right)
+    assert rows(edits.apply_delta(right, edits.reverse_delta(left, script))) == rows(left)
