@@ -29,11 +29,13 @@ def compete(a: DataFrame, b: DataFrame, group: str = "pair_id") -> DataFrame:
 
 def support(mapping: DataFrame, left: DataFrame) -> DataFrame:
     """(pair_id, path1, path2, n): how many ancestors of path1 are mapped to ancestors of path2 at the same height."""
-    up1 = ancestors(left).select("pair_id", F.col("path").alias("path1"), F.col("ancestor").alias("a1"), "depth")
-    up2 = ancestors(mapping.select("pair_id", F.col("path2").alias("path")).distinct()).select("pair_id", F.col("path").alias("path2"), F.col("ancestor").alias("a2"), "depth")
-    m = mapping.select("pair_id", F.col("path1").alias("a1"), F.col("path2").alias("a2"))
-    n = mapping.join(up1, ["pair_id", "path1"]).join(up2, ["pair_id", "path2", "depth"]).join(m, ["pair_id", "a1", "a2"]).groupBy("pair_id", "path1", "path2").agg(F.count(F.lit(1)).alias("n"))
-    return mapping.join(n, ["pair_id", "path1", "path2"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    p, q = F.split("path1", "/"), F.split("path2", "/")
+    up = lambda parts, depth: F.array_join(F.slice(parts, 1, F.size(parts) - depth), "/")
+    least = F.least(F.size(p), F.size(q))
+    pairs = F.when(least > 1, F.transform(F.sequence(F.lit(1), least - 1), lambda k: F.struct(up(p, k).alias("a1"), up(q, k).alias("a2"))))
+    m = mapping.select("pair_id", F.col("path1").alias("a1"), F.col("path2").alias("a2"), F.lit(1).alias("hit"))
+    d = mapping.select("pair_id", "path1", "path2", F.explode_outer(pairs).alias("a")).select("pair_id", "path1", "path2", "a.*")
+    return d.join(m, ["pair_id", "a1", "a2"], "left").groupBy("pair_id", "path1", "path2").agg(F.count("hit").alias("n"))
 
 
 def reordered(mapped: DataFrame, group: list[str]) -> DataFrame:

@@ -68,3 +68,13 @@ def test_delta_of_any_mapping(spark):
     rows = lambda d: sorted((tuple(x) for x in d.collect()), key=repr)
     assert rows(edits.apply_delta(left, script)) == rows(right)
     assert rows(edits.apply_delta(right, edits.reverse_delta(left, script))) == rows(left)
+
+
+def test_support(spark):
+    """Ancestors of either side at the same height that are mapped to one another."""
+    pairs = [("a", "b"), ("a/1", "b/2"), ("a/1/x", "b/2/y"), ("a/1/z", "b/3/z"), ("a/1/w", "b"), ("c/1", "b/1")]
+    m = spark.createDataFrame([("p", *x) for x in pairs], "pair_id string, path1 string, path2 string")
+    left = spark.createDataFrame([("p", x) for x, _ in pairs], "pair_id string, path string")
+    found = refine.support(m, left)
+    assert {(r["path1"], r["path2"]): r["n"] for r in found.collect()} == {("a", "b"): 0, ("a/1", "b/2"): 1, ("a/1/x", "b/2/y"): 2, ("a/1/z", "b/3/z"): 1, ("a/1/w", "b"): 0, ("c/1", "b/1"): 0}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
