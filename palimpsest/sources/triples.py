@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import gzip
+import os
+import uuid
+from urllib.parse import unquote, urlsplit
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import escape_literal, unescape_literal
 from ..plans.store import FactStore
+from ..session import qualified, ship
 
 #: Facts a file, as the fact tools write them by default.
 FACTS_A_FILE = 1000
@@ -39,11 +47,55 @@ def triple_line(literal: str = "literal", datatype: str = "datatype"):
 
 def write_triples(facts: DataFrame, path: str, facts_a_file: int = FACTS_A_FILE, compression: str = "gzip", by: list[str] | None = None) -> None:
     """Files of at most ``facts_a_file`` lines; ``by``: folders by version or cache name.  A null in s, p or o (a ghost) drops the triple."""
-    d = facts.dropna(subset=["s", "p", "o"])
-    w = d.select(triple_line().alias("value"), *(by or [])).write.mode("append").option("maxRecordsPerFile", facts_a_file).option("compression", compression)
+    d = facts.dropna(subset=["s", "p", "o"]).select(triple_line().alias("value"), *(by or []))
+    if not by and compression in _PACK and (folder := qualified(facts.sparkSession, path)).startswith("file:"):
+        return _write_folder(d, unquote(urlsplit(folder).path), facts_a_file, compression)
+    w = d.write.mode("append").option("maxRecordsPerFile", facts_a_file).option("compression", compression)
     (w.partitionBy(*by) if by else w).text(path)
 
 
+#: How a file is packed, and how its name ends.
+_PACK = {"gzip": (lambda text: gzip.compress(text, 6, mtime=0), ".txt.gz"), "none": (bytes, ".txt")}
+
+
+def _write_folder(lines: DataFrame, folder: str, lines_a_file: int, compression: str) -> None:
+    """Many small files in a folder that all executors see as theirs.  Without its native library Hadoop starts a process for each file there, and it writes a checksum file too.
+
+    A task's files have hidden names until all are written; their names and number are the same in each attempt.
+    """
+    ship(lines.sparkSession)
+    run, (pack, suffix) = uuid.uuid4().hex, _PACK[compression]
+
+    def write(batches):
+        task = TaskContext.get()
+        named: list[tuple[str, str]] = []
+
+        def flush(some: list[str]) -> None:
+            name = f"part-{task.partitionId():05d}-{run}-c{len(named):06d}{suffix}"
+            named.append((os.path.join(folder, f".{name}.{task.taskAttemptId()}"), os.path.join(folder, name)))
+            with open(named[-1][0], "wb") as f:
+                f.write(pack(("\n".join(some) + "\n").encode()))
+
+        held: list[str] = []
+        try:
+            for batch in batches:
+                held += batch.column(0).to_pylist()
+                while len(held) >= lines_a_file:
+                    flush(held[:lines_a_file])
+                    del held[:lines_a_file]
+            if held:
+                flush(held)
+        except BaseException:
+            for hidden, _ in named:
+                os.path.exists(hidden) and os.remove(hidden)
+            raise
+        for hidden, name in named:
+            os.replace(hidden, name)
+        yield pa.RecordBatch.from_pydict({"files": pa.array([len(named)], pa.int64())})
+
+    lines.mapInArrow(write, "files long").agg(F.sum("files")).collect()
+
+
 def merge(spark: SparkSession, paths: list[str], out: str, files: int) -> None:
     """The distinct lines of many fact folders, in a given number of files."""
     spark.read.option("recursiveFileLookup", "true").text(paths).distinct().repartition(files).write.option("compression", "gzip").text(out)
